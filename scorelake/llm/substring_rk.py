@@ -181,4 +181,4 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, gram: int = ANCHOR, name
         return pd.DataFrame(got, columns=["n_words", "n_removed", "kept"])
 
     joined = docs.join(gone, docs["doc_id"].cast("bigint") == gone["_id"], "left")
-    return joined.select(*[docs[c] for c in docs.columns], cut(docs["text"].cast("string"), "_gone").alias(name))
+    return joined.select(*[docs[c] for c in docs.columns], cut(docs["text"].cast("string"), gone["_gone"]).alias(name))
