@@ -49,6 +49,6 @@ def answer_documents(marked: DataFrame) -> DataFrame:
 def text_table(scores: DataFrame, models: list, row: str = "task", form: str = "csv") -> DataFrame:
     """A line for each row with a score of two decimals for each model, as CSV or LaTeX."""
     wide = scores.groupBy(row).pivot("model_id", models).agg(F.max("score"))
-    cells = [F.coalesce(F.format_string("%.2f", F.col(str(m))), F.lit("")) for m in models]
+    cells = [F.when(F.col(str(m)).isNotNull(), F.format_string("%.2f", F.col(str(m)))).otherwise("") for m in models]
     line = F.concat_ws(",", row, *cells) if form == "csv" else F.concat(F.concat_ws(" & ", F.replace(F.col(row), F.lit("_"), F.lit("\\_")), *cells), F.lit(r" \\"))
     return wide.select(row, line.alias("line"))
