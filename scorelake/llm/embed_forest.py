@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import runs, shard_pairs
-from .common import lean, written
+from .common import lean, width, written
 from .components import connected
 
 CUT = 0.93
@@ -188,7 +188,7 @@ def near_duplicates(embeddings: DataFrame, cut: float = CUT, trees: int = TREES,
         for g in runs(batches, by):
             yield _compare(g, cut)
 
-    found = written(dealt.repartition(*by).sortWithinPartitions(*by).mapInPandas(compare, "rep bigint, n bigint, root bigint"), "found")
+    found = written(dealt.repartition(width(rows.sparkSession), *by).sortWithinPartitions(*by).mapInPandas(compare, "rep bigint, n bigint, root bigint"), "found")
     joined = connected(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).where("a != b"))
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     known = nodes.join(links, "rep", "left").join(joined, nodes["rep"] == joined["node"], "left")
