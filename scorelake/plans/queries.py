@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import identity, metering
 from ..functions import marks as M
 from ..functions import text as T
-from ..operators import analysis, joins, marking, scores, usage
+from ..operators import analysis, exports, joins, marking, readings, scores, usage
 from ..sources import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -607,3 +607,86 @@ def answer_documents(spark, d):
     rows = rows.groupBy("task", "sample_index", "question_index", "model_id").agg(F.max("l_returnflag").alias("answer")).select("*", F.lit(1.0).alias("accuracy"), F.lit(1).alias("instruction"), F.lit(None).cast("double").alias("other"), F.lit(None).cast("int").alias("pair"))
     out = writers.answer_documents(rows)
     return out.select(F.col("sample_index").alias("l_orderkey"), F.col("question_index").alias("l_linenumber"), F.size("answers").cast("bigint").alias("models"), F.array_min(F.map_keys("answers")).alias("first_model"))
+
+
+# ---- readings and reports -----------------------------------------------------------------------
+
+GRID = """g AS (SELECT l_suppkey AS model_id, p_brand AS task, (l_linenumber % 2 = 0) AS box, CASE WHEN l_returnflag = 'N' THEN 1.0 WHEN l_returnflag = 'R' THEN 0.5 ELSE 0.0 END::DOUBLE AS acc, l_discount * 10 AS iou,
+(l_linestatus = 'O')::INTEGER AS ins FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13')),
+c AS (SELECT model_id, task, (sum(CASE WHEN box THEN 0 ELSE acc END) + count(*) FILTER (box AND iou > 0.5)) / count(*) AS accuracy, avg(iou) FILTER (box) AS mean_iou, count(*) FILTER (box) AS boxes, count(*) FILTER (box AND iou > 0.5) AS hits,
+100 * (coalesce(avg(iou) FILTER (box), 0) * 0.3 + (sum(CASE WHEN box THEN 0 ELSE acc END) + count(*) FILTER (box AND iou > 0.5)) / count(*) * 0.5 + avg(ins) * 0.2) AS score FROM g GROUP BY model_id, task)"""
+
+
+def grid_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).where(F.col("p_brand").isin("Brand#11", "Brand#12", "Brand#13"))
+    acc = F.when(F.col("l_returnflag") == "N", 1.0).when(F.col("l_returnflag") == "R", 0.5).otherwise(0.0)
+    marked = rows.select(F.col("l_suppkey").alias("model_id"), F.col("p_brand").alias("task"), F.when(F.col("l_linenumber") % 2 == 0, "box").otherwise("choice").alias("kind"), acc.alias("accuracy"), (F.col("l_linestatus") == "O").cast("int").alias("instruction"), (F.col("l_discount") * 10).alias("grid_iou"), F.lit(0.3).alias("w_other"), F.lit(0.5).alias("w_accuracy"), F.lit(0.2).alias("w_instruction"))
+    return readings.grid_composite(marked, ["model_id", "task"])
+
+
+@registered(f"WITH {GRID} SELECT model_id, task, round(accuracy, 6) AS accuracy, round(mean_iou, 6) AS mean_iou, boxes, hits, round(score, 6) AS score FROM c")
+def grid_composite(spark, d):
+    """AGG-22."""
+    return grid_scores(spark, d).select("model_id", "task", r6("accuracy").alias("accuracy"), r6("mean_iou").alias("mean_iou"), "boxes", "hits", r6("score").alias("score"))
+
+
+@registered(f"""WITH {SCORES}, {GRID}, j AS (SELECT ts.*, c.score AS grid FROM ts LEFT JOIN c USING (model_id, task))
+SELECT model_id, round(sum(score * n) / sum(n), 6) AS pixels, round(sum(coalesce(grid, score) * n) / sum(n), 6) AS grid, round(sum(score * n) FILTER (grid IS NULL) / sum(n) FILTER (grid IS NULL), 6) AS "none" FROM j GROUP BY model_id""")
+def reading_variants(spark, d):
+    """AGG-23."""
+    out = readings.variants(task_scores(spark, d), grid_scores(spark, d))
+    return out.select("model_id", *[r6(c).alias(c) for c in ("pixels", "grid", "none")])
+
+
+@registered("""WITH a AS (SELECT l_orderkey, l_linenumber, l_linenumber * 3 AS x, l_quantity AS q FROM lineitem), i AS (SELECT *, greatest(least(x + 100, trunc((x + 20) * 2.0)) - greatest(x, trunc(x * 2.0)) + 1, 0) * greatest(least(50, trunc(q * 1.0)) - greatest(1, 1) + 1, 0) AS shared,
+101 * 50 AS a1, (trunc((x + 20) * 2.0) - trunc(x * 2.0) + 1) * (trunc(q * 1.0) - 1 + 1) AS a2 FROM a)
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 5 THEN 0.0 ELSE round(shared::DOUBLE / (a1 + a2 - shared), 6) END::DOUBLE AS grid_iou FROM i""")
+def grid_overlaps(spark, d):
+    """MRK-10, JN-13."""
+    x = F.col("l_linenumber") * 3
+    rows = table(spark, d, "lineitem").withColumn("id", F.col("l_orderkey"))
+    answer = F.when(F.col("l_linenumber") == 5, F.lit("nowhere")).otherwise(F.concat(F.lit("["), F.concat_ws(", ", x, F.lit("1"), x + 20, F.format_string("%.1f", F.col("l_quantity"))), F.lit("]")))
+    boxes = rows.select("id", "l_orderkey", "l_linenumber", F.lit("grid").alias("convention"), F.array(x.cast("double"), F.lit(1.0), (x + 100).cast("double"), F.lit(50.0)).alias("reference"), answer.alias("answer"))
+    dims = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit(2000).alias("width"), F.lit(1000).alias("height"))
+    out = readings.grid_marks(boxes, dims)
+    return out.select("l_orderkey", "l_linenumber", r6("grid_iou").alias("grid_iou"))
+
+
+@registered(f"""WITH {SCORES}, c AS (SELECT model_id, task, 'accuracy' AS component, score / 100 AS value, 0.8 AS weight FROM ts UNION ALL SELECT model_id, task, 'instruction', n / 1000.0, 0.2 FROM ts UNION ALL SELECT model_id, task, 'other', 0.5, 0.3 FROM ts WHERE task = 'Brand#12')
+SELECT model_id, task, component, round(value::DOUBLE, 6) AS value, weight::DOUBLE AS weight, round(100 * value * weight, 6)::DOUBLE AS points FROM c""")
+def component_breakdown(spark, d):
+    """PRJ-11."""
+    rows = task_scores(spark, d).select("model_id", "task", (F.col("score") / 100).alias("accuracy"), (F.col("n") / 1000.0).cast("double").alias("instruction"), F.lit(0.5).alias("other"), F.when(F.col("task") == "Brand#12", 0.3).otherwise(0.0).alias("w_other"), F.lit(0.8).alias("w_accuracy"), F.lit(0.2).alias("w_instruction"))
+    out = exports.component_rows(rows)
+    return out.select("model_id", "task", "component", r6("value").alias("value"), "weight", r6("points").alias("points"))
+
+
+@registered(f"SELECT l_orderkey, count(*) FILTER ({ACC} >= 1) AS \"right\" FROM lineitem GROUP BY l_orderkey ORDER BY 2, 1 LIMIT 60 OFFSET 60")
+def hardest_page(spark, d):
+    """SRT-7, FLT-8 (the second page of a report)."""
+    return exports.page(analysis.difficulty(accuracies(spark, d), ["l_orderkey"], 7), [F.asc("right"), F.asc("l_orderkey")], 1).select("l_orderkey", "right")
+
+
+@registered("""SELECT event_id, 'm' AS model_id, event_type AS answer, CAST(len(event_type) AS INTEGER) AS answer_chars, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 5 AS INTEGER) ELSE 1 END AS attempt, CAST(json_extract_string(props, '$.k') AS BIGINT) AS prompt_tokens, 'full-original' AS condition, false AS lossy_fallback, 'off · high' AS chips FROM events""")
+def exported_answers(spark, d):
+    """PRJ-4, PRJ-5, PRJ-7, PRJ-8."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    none = lambda t: F.lit(None).cast(t)
+    usage_ = F.struct(k.alias("prompt_tokens"), none("bigint").alias("completion_tokens"), none("double").alias("cost"), F.struct(none("bigint").alias("reasoning_tokens")).alias("completion_tokens_details"))
+    rows = table(spark, d, "events").select(
+        "event_id", F.lit("m").alias("model_id"), F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("answer"), none("string").alias("finish_reason"), F.when(F.col("event_id") % 3 == 0, (F.col("event_id") % 5).cast("int")).alias("attempt"),
+        F.col("props").alias("response"), "value", F.col("value").alias("elapsed_seconds"), usage_.alias("usage"), none("string").alias("condition"), none("boolean").alias("lossy_fallback"), none("string").alias("protocol_sha256"), F.col("ts").alias("timestamp"),
+    )
+    out = exports.answers_table(rows)
+    chips = exports.condition_chips(exports.reasoning_label(F.lit("none")), none("string"), exports.reasoning_label(F.lit("high")))
+    return out.select(F.col("question_id").cast("bigint").alias("event_id"), "model_id", "answer", "answer_chars", "attempt", "prompt_tokens", "condition", "lossy_fallback", chips.alias("chips"))
+
+
+@registered("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN CASE WHEN l_quantity > 25 THEN 'bad box' END WHEN 1 THEN CASE WHEN l_quantity > 25 THEN 'bad relation' END WHEN 2 THEN CASE WHEN l_quantity <= 25 THEN 'bad speed pair' END ELSE CASE WHEN l_quantity > 25 THEN 'empty reference' END END AS error FROM lineitem""")
+def reference_checks(spark, d):
+    """FLT-9, FLT-10."""
+    k, many = F.col("l_linenumber") % 4, F.col("l_quantity") > 25
+    family = F.when(k == 0, "grounding").when(k == 1, "relation").when(k == 2, "speed").otherwise("choice")
+    text = F.when(k == 1, F.when(many, "1/").otherwise("1/2")).when(k == 2, F.when(many, "x [1, 2]").otherwise("[1]")).otherwise(F.when(many, " ").otherwise("A"))
+    box = F.array(F.when(many, 9.0).otherwise(1.0), F.lit(1.0), F.lit(5.0), F.lit(5.0))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", exports.reference_errors(family, k == 0, text, box).alias("error"))

@@ -90,3 +90,11 @@ def spec(text: str, keys: set[str]) -> dict:
     if set(found) != keys:
         raise ValueError(f"spec keys: missing {sorted(keys - set(found))}, unknown {sorted(set(found) - keys)}")
     return found
+
+
+def frame_dimensions(spark: SparkSession, path: str) -> DataFrame:
+    """url, width, height from receipts that list frames; of a url seen twice the later file's."""
+    frames = "array<struct<url: string, width: int, height: int>>"
+    rows = spark.read.schema(f"frames {frames}").option("multiLine", True).json(path)
+    flat = rows.select(F.col("_metadata.file_path").alias("file"), F.posexplode("frames").alias("pos", "f"))
+    return flat.groupBy(F.col("f.url").alias("url")).agg(F.max_by(F.struct("f.width", "f.height"), F.struct("file", "pos")).alias("d")).select("url", "d.width", "d.height")

@@ -149,3 +149,24 @@ def test_identity(spark):
     assert got == [identity.digest({"a": [1.0, "é"], "b": 1}), None]
     pair = spark.createDataFrame([("ab", "c"), ("a", "bc")], "x string, y string").select(identity.short_id(F.col("x"), F.col("y")).alias("i")).distinct().count()
     assert pair == 2
+
+
+def test_grid_composite(spark):
+    from scorelake.operators import readings
+
+    w = dict(w_other=0.3, w_accuracy=0.5, w_instruction=0.2)
+    rows = [("all", "box", 0.0, 1, 1.0), ("mixed", "box", 1.0, 1, 0.0), ("mixed", "choice", 1.0, 1, None), ("mixed", "choice", 1.0, 1, None), ("mixed", "choice", 0.0, 1, None)]
+    df = spark.createDataFrame(rows, "task string, kind string, accuracy double, instruction int, grid_iou double").select("*", *[F.lit(v).alias(k) for k, v in w.items()])
+    got = {r["task"]: r for r in readings.grid_composite(df, ["task"]).collect()}
+    assert got["all"]["score"] == pytest.approx(100) and got["mixed"]["accuracy"] == 0.5 and got["mixed"]["hits"] == 0
+
+
+def test_reference_errors_and_order(spark):
+    from scorelake.operators import exports
+
+    df = spark.createDataFrame([("grounding", "", None), ("grounding", "", [1.0, 1.0, 2.0]), ("grounding", "", [1.0, 1.0, 2.0, 2.0]), ("relation", "1/2/3", None), ("relation", None, None), ("speed", "to [1, 2]", None), ("choice", " ", None)], "f string, t string, b array<double>")
+    got = [r[0] for r in df.select(exports.reference_errors(F.col("f"), F.col("f") == "grounding", F.col("t"), F.col("b"))).collect()]
+    assert got == ["bad box", "bad box", None, None, "bad relation", None, "empty reference"]
+    s = spark.createDataFrame([("g", 1, 2.0), ("g", 2, None), ("g", 3, 2.0), ("h", 4, 9.0)], "g string, at int, v double")
+    assert [r["at"] for r in s.orderBy(*exports.by_statistic("v", "g", "at")).collect()] == [3, 1, 2, 4]
+    assert [r["at"] for r in s.orderBy(*exports.by_statistic("v", "g", "at", descending=False)).collect()] == [2, 1, 3, 4]
