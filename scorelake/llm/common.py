@@ -25,6 +25,17 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes the tables that ``written`` made in this process; results that read them must be stored before."""
+    jvm = spark._jvm
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder.
 
@@ -32,6 +43,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     later joins true sizes, from which Spark decides whether a side may be broadcast.
     """
     path = fresh_dir(df.sparkSession, name)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -153,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
         lean(labels, doc_id="bigint", quality="int")
         .where("doc_id is not null and quality in (0, 1)")
         .where(~held_out(F.col("doc_id")))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min("quality").alias("quality"))  # of labels that disagree, the lower
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )  # at most max_rows rows of two numbers: a bounded side to broadcast
