@@ -65,3 +65,18 @@ def lean(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast; a column that the table lacks is null."""
     have = {c: t for c, t in df.dtypes}
     return df.select(*[(df[c].cast(t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in types.items()])
+
+
+def slices(batches, column: str, chunk: int = 1 << 20):
+    """Parts of Arrow batches in which the column has about chunk bytes (list: values), or one row that has more."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for b in batches:
+        c = b.column(column)
+        size = (pc.binary_length(c) if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) else pc.list_value_length(c)).fill_null(0).to_numpy(zero_copy_only=False)
+        part = (np.cumsum(size) - size) // chunk
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(b)] if len(b) else [0]
+        for s, e in zip(cuts, cuts[1:]):
+            yield b.slice(s, e - s)

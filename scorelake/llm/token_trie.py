@@ -14,14 +14,15 @@ doc_ids are each counted.  An empty table gives no rows.  Extra columns are igno
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import lean
+from .common import lean, slices
 from .pieces import Pieces, distinct, load, mix, points_of, powers, prefix_hashes, segments, utf8_sizes
 
 #: Words up to each length share a trie; the pad of shorter words costs memory only.
 CLASSES = (12, 32, 128)
+CELLS = 1 << 20
 
 
 def _trie_counts(found: list[str], p: Pieces) -> np.ndarray:
@@ -62,7 +63,7 @@ def _trie_counts(found: list[str], p: Pieces) -> np.ndarray:
     return out
 
 
-def pre_token_counts(found: list[str], p: Pieces, cells: int = 1 << 22) -> np.ndarray:
+def pre_token_counts(found: list[str], p: Pieces, cells: int = CELLS) -> np.ndarray:
     """Token counts of distinct pre-tokens, in their order."""
     size = np.fromiter(map(len, found), np.int64, len(found))
     out = np.zeros(len(found), np.int64)
@@ -78,23 +79,14 @@ def pre_token_counts(found: list[str], p: Pieces, cells: int = 1 << 22) -> np.nd
     return out
 
 
-def count_texts(texts: list[str | None], p: Pieces, chunk: int = 1 << 22) -> tuple[list, list]:
+def count_texts(texts: list[str | None], p: Pieces, cells: int = CELLS) -> tuple[list, list]:
     """Pre-tokens and tokens of each text."""
-    words, tokens, at = [], [], 0
-    while at < len(texts):
-        end, chars = at, 0
-        while end < len(texts) and (end == at or chars + len(texts[end] or "") <= chunk):
-            chars += len(texts[end] or "")
-            end += 1
-        cut = [segments(t) if t is not None else [] for t in texts[at:end]]
-        codes, found = distinct(cut)
-        per = pre_token_counts(found, p)
-        doc = np.repeat(np.arange(len(cut)), [len(x) for x in cut])
-        total = np.bincount(doc, per[codes], len(cut)).astype(np.int64) if len(codes) else np.zeros(len(cut), np.int64)
-        words += [len(x) if t is not None else None for x, t in zip(cut, texts[at:end])]
-        tokens += [int(n) if t is not None else None for n, t in zip(total, texts[at:end])]
-        at = end
-    return words, tokens
+    cut = [segments(t) if t is not None else [] for t in texts]
+    codes, found = distinct(cut)
+    per = pre_token_counts(found, p, cells)
+    doc = np.repeat(np.arange(len(cut)), [len(x) for x in cut])
+    total = np.bincount(doc, per[codes], len(cut)) if len(codes) else np.zeros(len(cut))
+    return [None if t is None else len(x) for x, t in zip(cut, texts)], [None if t is None else int(n) for n, t in zip(total, texts)]
 
 
 def token_counts(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
@@ -102,8 +94,8 @@ def token_counts(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(pieces or load())  # as large as the vocabulary
 
     def run(batches):
-        for b in batches:
-            words, tokens = count_texts(b["text"].tolist(), sent.value)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_pretokens": pd.array(words, "Int64"), "n_tokens": pd.array(tokens, "Int64")})
+        for b in slices(batches, "text"):
+            words, tokens = count_texts(b.column("text").to_pylist(), sent.value)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_pretokens", "n_tokens"])
 
-    return lean(docs, doc_id="bigint", text="string").mapInPandas(run, "doc_id bigint, n_pretokens bigint, n_tokens bigint")
+    return lean(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, n_pretokens bigint, n_tokens bigint")
