@@ -44,7 +44,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token_ids, n_tokens and n_chars (code points of what the ids decode to)."""
-    both = piece_viterbi.decode(piece_viterbi.encode(docs))
+    both = piece_viterbi.encode_and_decode(docs)
     n_tokens = F.when(F.col("token_ids").isNotNull(), F.size("token_ids")).cast("bigint")
     return both.select("doc_id", "token_ids", n_tokens.alias("n_tokens"), F.char_length("text").cast("bigint").alias("n_chars"))
 

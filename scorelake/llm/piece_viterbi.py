@@ -6,7 +6,7 @@ sorted piece keys, and a vectorised maximum stores the backpointers.  Ties go to
 last piece.  The result is the segmentation of the largest score sum, as of a unigram model
 over the pieces and scores of the file.
 
-Texts are worked whole, ``chunk`` characters at a time.  Null text encodes as null and
+Texts are worked whole, about a megabyte of them at a time.  Null text encodes as null and
 decodes as null; the empty text is one token (the space that every text starts with).
 Rows with null or repeated doc_ids are each encoded.  An empty table gives no rows.  Extra
 columns are ignored.  Decoding gives back every text exactly.
@@ -15,13 +15,13 @@ columns are ignored.  Decoding gives back every text exactly.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import lean
+from .common import lean, slices
 from .pieces import MARK, Pieces, distinct, load, mix, points_of, powers, prefix_hashes, segments, utf8_sizes
 
-CELLS = 1 << 18
+CELLS = 1 << 17
 
 
 def _advance(points: np.ndarray, p: Pieces) -> np.ndarray:
@@ -107,22 +107,18 @@ def spread(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.repeat(offsets[codes] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
 
 
-def encode_texts(texts: list[str | None], p: Pieces, chunk: int = 1 << 21) -> list[np.ndarray | None]:
-    out: list[np.ndarray | None] = []
-    at = 0
-    while at < len(texts):
-        end, chars = at, 0
-        while end < len(texts) and (end == at or chars + len(texts[end] or "") <= chunk):
-            chars += len(texts[end] or "")
-            end += 1
-        cut = [segments(t) if t is not None else [] for t in texts[at:end]]
-        codes, found = distinct(cut)
-        flat, offsets = encode_segments(found, p)
-        ids = flat[spread(codes, offsets)]
-        ends = np.concatenate([[0], np.cumsum(np.diff(offsets)[codes])])[np.cumsum([len(x) for x in cut])]
-        out += [a if t is not None else None for a, t in zip(np.split(ids, ends[:-1]), texts[at:end])]
-        at = end
-    return out
+def encode_flat(texts: list[str | None], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and offsets; null has none."""
+    cut = [segments(t) if t is not None else [] for t in texts]
+    codes, found = distinct(cut)
+    flat, offsets = encode_segments(found, p)
+    ends = np.concatenate([[0], np.cumsum(np.diff(offsets)[codes])])
+    return flat[spread(codes, offsets)], ends[np.concatenate([[0], np.cumsum([len(x) for x in cut])]).astype(np.int64)]
+
+
+def encode_texts(texts: list[str | None], p: Pieces) -> list[np.ndarray | None]:
+    ids, ends = encode_flat(texts, p)
+    return [None if t is None else ids[a:b] for t, a, b in zip(texts, ends, ends[1:])]
 
 
 def decode_ids(ids: np.ndarray, p: Pieces) -> str:
@@ -130,15 +126,20 @@ def decode_ids(ids: np.ndarray, p: Pieces) -> str:
     return b"".join(p.raw[ids].tolist()).decode("utf-8", "replace")[1:]
 
 
+def _listed(ids: np.ndarray, ends: np.ndarray, texts: list[str | None]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts]))
+
+
 def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     """doc_id, token_ids."""
     sent = docs.sparkSession.sparkContext.broadcast(pieces or load())  # as large as the vocabulary
 
     def run(batches):
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "token_ids": encode_texts(b["text"].tolist(), sent.value)})
+        for b in slices(batches, "text"):
+            texts = b.column("text").to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _listed(*encode_flat(texts, sent.value), texts)], ["doc_id", "token_ids"])
 
-    return lean(docs, doc_id="bigint", text="string").mapInPandas(run, "doc_id bigint, token_ids array<int>")
+    return lean(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, token_ids array<int>")
 
 
 def decode(tokens: DataFrame, pieces: Pieces | None = None) -> DataFrame:
@@ -147,7 +148,23 @@ def decode(tokens: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     schema = ", ".join(f"`{c}` {t}" for c, t in tokens.dtypes) + ", text string"
 
     def run(batches):
-        for b in batches:
-            yield b.assign(text=[None if i is None else decode_ids(np.asarray(i), sent.value) for i in b["token_ids"]])
+        for b in slices(batches, "token_ids"):
+            ids = b.column("token_ids")
+            texts = [decode_ids(x.values.to_numpy(), sent.value) if x.is_valid else None for x in ids]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "text"])
+
+    return tokens.mapInArrow(run, schema)
+
+
+def encode_and_decode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
+    """doc_id, token_ids, and text, decoded from these ids in the same task."""
+    sent = docs.sparkSession.sparkContext.broadcast(pieces or load())
+
+    def run(batches):
+        for b in slices(batches, "text"):
+            texts = b.column("text").to_pylist()
+            ids, ends = encode_flat(texts, sent.value)
+            again = [None if t is None else decode_ids(ids[s:e], sent.value) for t, s, e in zip(texts, ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _listed(ids, ends, texts), pa.array(again, pa.string())], ["doc_id", "token_ids", "text"])
 
-    return tokens.mapInPandas(run, schema)
+    return lean(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, token_ids array<int>, text string")

@@ -50,7 +50,7 @@ def op9_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again; the hash of its ids, and what they decode to."""
-    both = piece_viterbi.decode(piece_viterbi.encode(table(spark, sf_dir, "documents")))
+    both = piece_viterbi.encode_and_decode(table(spark, sf_dir, "documents"))
     return both.select(
         "doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), F.hex(F.xxhash64("token_ids")).alias("ids_hash"),
         F.char_length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),

@@ -155,10 +155,13 @@ def parse(content: bytes):
 
     Block digests, and payload digests of responses, are checked against the bytes.
     """
-    while content:
-        z = zlib.decompressobj(31)
-        data = z.decompress(content)
-        content = z.unused_data
+    view, at = memoryview(content), 0
+    while at < len(view):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof and at < len(view):  # a member at a time, in steps, so that no rest is copied again and again
+            parts.append(z.decompress(view[at : at + 8192]))
+            at += min(8192, len(view) - at) - len(z.unused_data)
+        data = b"".join(parts)
         head, _, rest = data.partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         block = rest[: int(fields["Content-Length"])]

@@ -73,7 +73,7 @@ def test_words_equal_the_library():
 def test_trie_counts_equal_encoding():
     words, tokens = T.count_texts([*TEXTS, None], P)
     assert tokens == [*[len(x) for x in V.encode_texts(TEXTS, P)], None] and words[-1] is None
-    assert T.count_texts(TEXTS, P, chunk=50)[1] == tokens[:-1]
+    assert T.count_texts(TEXTS, P, cells=300)[1] == tokens[:-1]
 
 
 def test_operators_on_awkward_rows(spark):
@@ -82,6 +82,7 @@ def test_operators_on_awkward_rows(spark):
     both = V.decode(tokens).join(T.token_counts(df).withColumnRenamed("doc_id", "id").distinct(), F.col("doc_id").eqNullSafe(F.col("id"))).collect()
     assert len(both) == len(awkward())
     texts = {r[0]: r[1] for r in awkward()}
+    assert sorted(map(str, V.encode_and_decode(df).collect())) == sorted(map(str, V.decode(tokens).collect()))
     assert all(r["text"] == texts[r["doc_id"]] and (r["n_tokens"] is None if r["text"] is None else r["n_tokens"] == len(r["token_ids"])) for r in both)
     empty = spark.createDataFrame([], DOCS)
     assert V.decode(V.encode(empty)).count() == T.token_counts(empty).count() == 0
