@@ -49,11 +49,12 @@ def _hash(part: Column) -> Column:
 
 def _fingerprint(terms: Column, known: list[str]) -> list[tuple[str, object]]:
     """Columns to add one after another, ending in ``fingerprint`` (53 hashes of 6 hex digits)."""
-    band = (lambda w: w.isin(known)) if known else (lambda w: F.lit(False))
+    # one SQL text: a literal object for each of thousands of terms would take the driver seconds to make
+    listed = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in known) or "null"
     pick = lambda c, at, keys: F.filter(c, lambda m: F.substring(m, at, len(keys[0])).isin(keys))
     steps: list[tuple[str, object]] = [
         ("_t", F.filter(terms, lambda w: w != "")),
-        ("_b", F.filter("_t", band)),
+        ("_b", F.expr(f"filter(_t, w -> w in ({listed}))")),
         ("_m", F.sort_array(F.transform(F.when(F.size("_b") > 0, F.col("_b")).otherwise(F.col("_t")), lambda w: F.md5(w.cast("binary"))))),
         ("_e", pick("_m", 1, ["e"])),
         ("_f", pick("_m", 1, ["f"])),
