@@ -3,9 +3,12 @@
 A tree splits recursively at the median of a random projection, one direction a level, and
 sends vectors near a split to both sides (spill).  Medians come from a bounded sample of
 ``SAMPLE`` vectors, by node while a node has 16 of them and by level below that, so the
-model stays small at any depth; depth follows from the largest label's count.  Every vector
-is routed through every tree, leaves of a label are compared whole (in blocks when large),
-and pairs with cosine >= ``CUT`` in double precision are links.
+model stays small at any depth.  Depth follows from the label's own count, so that a label
+that fits one leaf is compared whole and exactly.  A label that is split gets as many trees
+(``TREES`` to ``MOST``) as join at least ``RECALL`` of trial pairs, made ones at cosine ``CUT``
+and links among a sample of the label, routed through these very trees.  Where ``MOST`` trees do
+not reach it, the label is split less deep.  Leaves of a label are compared whole (in blocks
+when large), and pairs with cosine >= ``CUT`` in double precision are links.
 
 A pair that shares several leaves counts once: in the least leaf of both.  A task returns
 counts and one link to its local root for each vector, never pairs.  Equal vectors of a label
@@ -33,6 +36,10 @@ from .components import connected
 
 CUT = 0.93
 TREES = 6
+MOST = 24
+RECALL = 0.99
+#: Vectors of a label, and made pairs for each, that its number of trees is measured with.
+TRIALS, NEIGHBOURS = 256, 4
 LEAF = 512
 SAMPLE = 4096
 SPILL = 0.35
@@ -55,29 +62,58 @@ class Forest:
             for k in range(depth):
                 p = sample @ self.directions[t, k]
                 self.level[t, k] = np.median(p)
-                for x in np.unique(at):
-                    here = p[at == x]
-                    if len(here) >= 16:
-                        self.node[t][k][int(x)] = float(np.median(here))
+                names, many = np.unique(at, return_counts=True)
+                for x in names[many >= 16]:
+                    self.node[t][k][int(x)] = float(np.median(p[at == x]))
                 at = at * 2 + (p > self._cuts(t, k, at))
 
     def _cuts(self, t: int, k: int, at: np.ndarray) -> np.ndarray:
         names, back = np.unique(at, return_inverse=True)
         return np.array([self.node[t][k].get(int(x), self.level[t, k]) for x in names])[back] if len(at) else np.zeros(0)
 
-    def leaves(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) for every leaf of every row; a leaf's number starts with its tree's."""
-        rows, names = [], []
-        for t in range(self.trees):
-            row, at = np.arange(len(units)), np.zeros(len(units), np.int64)
-            p = units @ self.directions[t].T
-            for k in range(self.depth):
-                d = p[row, k] - self._cuts(t, k, at)
-                left, right = d <= self.spill, d > -self.spill
-                row, at = np.concatenate([row[left], row[right]]), np.concatenate([2 * at[left], 2 * at[right] + 1])
-            rows.append(row)
-            names.append(at + (t << 48))
-        return np.concatenate(rows), np.concatenate(names)
+    def walk(self, t: int, units: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, node) for every node of a tree's level that a row reaches."""
+        row, at = np.arange(len(units)), np.zeros(len(units), np.int64)
+        p = units @ self.directions[t, :depth].T
+        for k in range(depth):
+            d = p[row, k] - self._cuts(t, k, at)
+            left, right = d <= self.spill, d > -self.spill
+            row, at = np.concatenate([row[left], row[right]]), np.concatenate([2 * at[left], 2 * at[right] + 1])
+        return row, at
+
+    def leaves(self, units: np.ndarray, depth: int | None = None, trees: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) for every leaf of every row in the first trees; a leaf's number starts with its tree's."""
+        found = [self.walk(t, units, self.depth if depth is None else depth) for t in range(self.trees if trees is None else trees)]
+        return np.concatenate([r for r, _ in found]), np.concatenate([x + (t << 48) for t, (_, x) in enumerate(found)])
+
+    def needed(self, units: np.ndarray, depth: int, least: int, cut: float, recall: float = RECALL) -> tuple[int, int]:
+        """Depth and number of trees in which recall of trial pairs share a leaf, both of made pairs and of the links among units.
+
+        Made pairs are at the cut, around points that lie as close together as the middles of
+        pairs of a label do.  Of the links, those of least cosine are taken.
+        """
+        rng, many = np.random.default_rng(13), len(units) * NEIGHBOURS
+        middle = units.mean(axis=0)
+        m = np.repeat(middle + (units - middle) / np.sqrt(2), NEIGHBOURS, axis=0)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        off = rng.normal(size=m.shape)
+        off -= (off * m).sum(axis=1, keepdims=True) * m
+        off /= np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-12)
+        m, off = m * np.sqrt((1 + cut) / 2), off * np.sqrt((1 - cut) / 2)
+        cosine = np.triu(units @ units.T, 1)
+        i, j = np.nonzero(cosine >= cut)
+        hard = np.argsort(cosine[i, j], kind="stable")[:many]
+        a, b = np.concatenate([m + off, units[i[hard]]]), np.concatenate([m - off, units[j[hard]]])
+        n = len(a)
+        for d in range(depth, 0, -1):
+            joined = np.zeros(n, bool)
+            for t in range(self.trees):
+                row, at = self.walk(t, np.concatenate([a, b]), d)
+                pair = at * n + row % n
+                joined[np.intersect1d(pair[row < n], pair[row >= n]) % n] = True
+                if t + 1 >= least and joined[:many].mean() >= recall and (n == many or joined[many:].mean() >= recall):
+                    return d, t + 1
+        return 0, 1
 
 
 def unit(v) -> np.ndarray | None:
@@ -112,10 +148,11 @@ def _keyed(rows: DataFrame) -> DataFrame:
 def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least leaf in both rows; -1 pads."""
     out = np.empty(len(a), np.int64)
-    for s in range(0, len(a), 20_000):
-        x, y = a[s : s + 20_000], b[s : s + 20_000]
+    step = max(1, (1 << 24) // max(1, a.shape[1] ** 2))
+    for s in range(0, len(a), step):
+        x, y = a[s : s + step], b[s : s + step]
         same = (x[:, :, None] == y[:, None, :]).any(axis=2) & (x >= 0)
-        out[s : s + 20_000] = np.where(same, x, np.iinfo(np.int64).max).min(axis=1)
+        out[s : s + step] = np.where(same, x, np.iinfo(np.int64).max).min(axis=1)
     return out
 
 
@@ -153,6 +190,10 @@ def _compare(g: pd.DataFrame, cut: float) -> pd.DataFrame:
     return out[(out["n"] > 0) | (out["root"] != out["rep"])]
 
 
+def _depth(count: int, leaf: int) -> int:
+    return max(0, int(np.ceil(np.log2(max(1, count) / leaf))))
+
+
 def near_duplicates(embeddings: DataFrame, cut: float = CUT, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     kind = dict(embeddings.dtypes).get("embedding")
@@ -160,27 +201,41 @@ def near_duplicates(embeddings: DataFrame, cut: float = CUT, trees: int = TREES,
     nodes = written(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "nodes")
     first = rows.join(nodes, "key").where("vec_id = rep").dropDuplicates(["key"]).select("key", "rep", "copies", "embedding", "label")
     first = written(first, "distinct")
-    most = first.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    large = written(first.groupBy("label").count().where(F.col("count") > leaf), "large")
+    most = large.agg(F.max("count")).first()[0] or 0
     sample = [unit(r["embedding"]) for r in first.orderBy("key").limit(SAMPLE).select("embedding").collect()]
     dims = pd.Series([len(x) for x in sample]).mode() if sample else [1]
     dim = int(dims[0])
-    depth = max(0, int(np.ceil(np.log2(max(1, most) / leaf))))
+    deepest = _depth(most, leaf)
     fixed = np.stack([x for x in sample if len(x) == dim]) if sample else np.zeros((1, 1))
-    sent = rows.sparkSession.sparkContext.broadcast(Forest(fixed, depth, trees, cut))  # at most SAMPLE / 16 thresholds a tree and level
+    sent = rows.sparkSession.sparkContext.broadcast(Forest(fixed, deepest, max(trees, MOST), cut))  # at most SAMPLE / 16 thresholds a tree and level
+
+    def measure(g: pd.DataFrame) -> pd.DataFrame:
+        units = [x for x in map(unit, g["embedding"]) if len(x) == dim]
+        depth, n = sent.value.needed(np.stack(units), _depth(int(g["count"].iloc[0]), leaf), trees, cut) if units else (0, 1)
+        return pd.DataFrame({"label": [g["label"].iloc[0]], "depth": [depth], "trees": [n]})
+
+    tried = first.join(large, "label").where(F.pmod(F.xxhash64("key"), F.ceil(F.col("count") / TRIALS)) == 0).select("label", "count", "embedding")
+    split = written(tried.groupBy("label").applyInPandas(measure, "label string, depth int, trees int"), "split")
 
     def route(batches):
         for b in batches:
             units = [unit(v) for v in b["embedding"]]
-            usual = [k for k, x in enumerate(units) if len(x) == dim]
             own: list[list[int]] = [[(len(x) << 32) | (1 << 62)] if len(x) != dim else [] for x in units]
-            if usual:
-                row, name = sent.value.leaves(np.stack([units[k] for k in usual]))
+            alike: dict[tuple[int, int], list[int]] = {}
+            for k, (x, d, n) in enumerate(zip(units, b["depth"].tolist(), b["trees"].tolist())):
+                if len(x) == dim:
+                    alike.setdefault((d, n), []).append(k)
+            for (d, n), at in alike.items():
+                row, name = sent.value.leaves(np.stack([units[k] for k in at]), d, n)
                 for r, x in zip(row.tolist(), name.tolist()):
-                    own[usual[r]].append(x)
-            yield b.assign(leaves=own)
+                    own[at[r]].append(x)
+            yield b.drop(columns=["depth", "trees"]).assign(leaves=own)
 
-    routed = first.mapInPandas(route, ", ".join(f"{c} {t}" for c, t in first.dtypes) + ", leaves array<bigint>")
-    placed = routed.withColumn("leaf", F.explode("leaves")).withColumn("place", F.concat_ws(":", "leaf", "label"))
+    # a label without a row in split is one leaf of one tree
+    known = first.join(split, "label", "left").select(*first.columns, F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("trees", F.lit(1)).alias("trees"))
+    routed = known.mapInPandas(route, ", ".join(f"{c} {t}" for c, t in first.dtypes) + ", leaves array<bigint>")
+    placed = routed.withColumn("leaf", F.explode("leaves")).withColumn("leaves", F.expr("filter(leaves, x -> x <= leaf)")).withColumn("place", F.concat_ws(":", "leaf", "label"))
     dealt = shard_pairs(placed.drop("label"), "place", F.xxhash64("key"), block)
     by = ["place", "group_i", "group_j"]
 

@@ -55,3 +55,27 @@ def test_awkward_rows(spark):
     assert found(spark, rows) == brute(rows)
     assert E.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert found(spark, [(1, None, 1)]) == [(1, 0, 1)]
+
+
+def close_pairs(rng, n, dim, spread, cosine):
+    """n unit vectors around one direction, and for each a neighbour at the cosine."""
+    base = np.eye(dim)[0] + rng.normal(size=(n, dim)) * spread / np.sqrt(dim)
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    off = rng.normal(size=(n, dim))
+    off -= (off * base).sum(axis=1, keepdims=True) * base
+    return np.stack([base, cosine * base + np.sqrt(1 - cosine**2) * off / np.linalg.norm(off, axis=1, keepdims=True)], axis=1).reshape(2 * n, dim)
+
+
+def test_a_small_label_stays_exact_beside_a_large_one(spark):
+    rng = np.random.default_rng(3)
+    small, large = close_pairs(rng, 16, 32, 20, 0.932), rng.normal(size=(4200, 32))
+    rows = [(k, v.astype(np.float32).tolist(), 1) for k, v in enumerate(small)] + [(100 + k, v.astype(np.float32).tolist(), 2) for k, v in enumerate(large)]
+    assert [g for g in found(spark, rows, leaf=32, trees=1) if g[0] < 100] == brute(rows[:32])
+
+
+def test_recall_in_a_large_tight_label(spark):
+    e = close_pairs(np.random.default_rng(4), 2000, 32, 0.35, 0.932).astype(np.float32)
+    u = e / np.linalg.norm(e.astype(float), axis=1, keepdims=True)
+    links = (u @ u.T >= 0.93).sum() - len(u)
+    got = found(spark, [(k, v.tolist(), 1) for k, v in enumerate(e)], leaf=32)
+    assert 0.985 * links <= sum(g[1] for g in got) <= links
