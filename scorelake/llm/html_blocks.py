@@ -8,7 +8,8 @@ labels every block as main text or not, so each decision uses the whole document
 The network is trained here, on the driver, on pages that ``made_page`` generates with known
 labels: a bounded number (``PAGES``), of random layouts and words, and none of any corpus.
 
-Comments, scripts, styles and other raw or hidden elements are markup and never blocks.  Character
+Comments, scripts, styles and other raw or hidden elements are markup and never blocks; they
+end at their own end tag.  Text in math belongs to the block around it, that in object is blocks.  Character
 references are decoded, white space inside a block becomes one space, blocks are trimmed,
 and those labelled main are joined in page order by one space.  Pages are read whole.  Null
 or empty html gives the empty text.  Rows with null or repeated page_ids are each extracted.
@@ -37,17 +38,28 @@ PAGES = 900
 CELLS = 1 << 15
 
 #: Fixed names of HTML: elements that do not end a block, that have no end tag, and whose content is not text of the page.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img "
+    "math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mspace mpadded mphantom menclose mmultiscripts mprescripts merror maction semantics annotation annotation-xml".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|template|noscript|textarea|iframe|svg|object|math|select|canvas"
+RAW = "script|style|textarea|iframe"
+#: As RAW, but only up to an end tag of the same name: one that is self-closed or never closed hides nothing.
+HIDDEN_TAGS = "template|noscript|svg|select|canvas"
 #: A start tag of the key ends an open element of the value.
 ENDS = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)} | {
     k: ("p",) for k in "article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header main nav ol pre section table ul".split()
 }
 
+_IN = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+_OWN = r"<(?P=hid)(?=[\s/>])" + _IN
+_BODY = r"[^<]*+(?:<(?!/?(?P=hid)[\s/>])[^<]*+)*+"
+for _ in range(3):  # nested elements of the same name
+    _BODY = rf"[^<]*+(?:(?:<(?!/?(?P=hid)[\s/>])|{_OWN}(?<=/)>|{_OWN}(?<!/)>{_BODY}</(?P=hid)[^>]*+>)[^<]*+)*+"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?:{RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+/?>.*?(?:</(?:{RAW})\s*+>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|([^<]++|<)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>]){_IN}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+(?:>|\Z)|\Z)"
+    rf"|<(?P<hid>{HIDDEN_TAGS})(?=[\s/>]){_IN}(?<!/)>{_BODY}</(?P=hid)[^>]*+>|<[!?][^>]*+(?:>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_IN})>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|([^<]++|<)",
     re.S | re.I,
 )
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -85,7 +97,7 @@ def leaf_blocks(source: str | None) -> list[Block]:
         parts, linked = [], 0
 
     for m in _TOKEN.finditer(source or ""):
-        text = m[7]
+        text = m[9]
         if text is not None:
             if not parts and not text.isspace():
                 path = tuple(dict.fromkeys(x for _, n in stack for x in n))
@@ -94,10 +106,10 @@ def leaf_blocks(source: str | None) -> list[Block]:
             parts.append(text)
             linked += len(text) * (links > 0)
             continue
-        name = m[2] or m[5]
+        name = m[4] or m[7]
         if name is None:
             continue
-        name, end = name.lower(), bool(m[1] or m[4])
+        name, end = name.lower(), bool(m[3] or m[6])
         if name not in INLINE:
             flush()
         elif name == "br":
@@ -115,8 +127,8 @@ def leaf_blocks(source: str | None) -> list[Block]:
                     break
                 if stack[k][0] not in INLINE and stack[k][0] not in ("p", "li", "td", "th", "dt", "dd"):
                     break
-            if name not in VOID and not (m[3] or m[6] or "").endswith("/"):
-                stack.append((name, _names(name, m[3] or m[6] or "")))
+            if name not in VOID and not (m[5] or m[8] or "").endswith("/"):
+                stack.append((name, _names(name, m[5] or m[8] or "")))
                 links += name == "a"
     flush()
     return out

@@ -76,3 +76,13 @@ def test_pages_of_the_tables():
         blocks = [" ".join(html.unescape(re.sub("</?b>", "", x).replace("<br>", " ")).split()) for x in re.split("</?(?:p|h1)>", inside)]
         bad += text != " ".join(b for b in blocks if b)
     assert bad == 0
+
+
+def test_only_raw_elements_are_left_out():
+    texts = lambda page: [b.text for b in H.leaf_blocks(page)]
+    article = "<article><p>One.</p><p>Two.</p></article>"
+    for ahead in ("<svg-icon></svg-icon>", "<math-renderer>", "<style-guide/>", "<svg width='1'/>", "<svg><path d='x'/>", "<select><option>", "<SVG><svg/><title>no</title></SVG>", "<template><p>no</p></template>", "<script>a</style>b</script>", "<script>1</scripts>2</script >", "<canvas id=c></canvas>"):
+        assert texts(ahead + article + "<script>no</script><svg><text>no</text></svg>")[-2:] == ["One.", "Two."], ahead
+        if "no" in ahead or "script" in ahead:
+            assert texts(ahead + article) == ["One.", "Two."], ahead
+    assert texts("<p>so <math><mi>E</mi><mo>=</mo><mn>2</mn></math> holds</p><object data='x'><p>A chart.</p></object>") == ["so E=2 holds", "A chart."]
