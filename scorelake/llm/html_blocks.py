@@ -70,7 +70,7 @@ _PART = re.compile(r"[a-z]+")
 def _names(tag: str, attrs: str) -> tuple[str, ...]:
     found = [tag]
     for _, a, b, c in _ATTR.findall(attrs):
-        found += [f".{x}" for x in _PART.findall((a or b or c).lower())[:12]]
+        found += [f".{x}" for x in _PART.findall((a or b or c).lower())]
     return tuple(found)
 
 

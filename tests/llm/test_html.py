@@ -86,3 +86,8 @@ def test_only_raw_elements_are_left_out():
         if "no" in ahead or "script" in ahead:
             assert texts(ahead + article) == ["One.", "Two."], ahead
     assert texts("<p>so <math><mi>E</mi><mo>=</mo><mn>2</mn></math> holds</p><object data='x'><p>A chart.</p></object>") == ["so E=2 holds", "A chart."]
+
+
+def test_every_class_name_is_in_the_path():
+    names = "flex flex-col md:w-full p-4 m-2 text-sm bg-white border rounded shadow grid gap-2 hidden lg:block sidebar"
+    assert ".sidebar" in H.leaf_blocks(f'<div class="{names}">x</div>')[0].path
