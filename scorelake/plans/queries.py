@@ -468,6 +468,18 @@ def accuracy_by_label(spark, d):
     return out.select("kind", "gold", "n", r6("`1`").alias("1"), r6("`2`").alias("2"), r6("`3`").alias("3"), r6("best").alias("best"), "nobody")
 
 
+LINES = range(1, 8)
+
+
+@registered(f"""SELECT l_linestatus AS kind, l_returnflag AS gold, count(*) AS n, {", ".join(f'round(avg({ACC}) FILTER (l_linenumber = {k}), 6) AS "{k}"' for k in LINES)},
+round(greatest({", ".join(f"avg({ACC}) FILTER (l_linenumber = {k})" for k in LINES)}), 6) AS best, max({ACC}) < 1 AS nobody FROM lineitem GROUP BY ALL""")
+def accuracy_by_label_lines(spark, d):
+    """AGG-18 over all rows: each of the seven line numbers is a model."""
+    rows = accuracies(spark, d).select(F.col("l_linestatus").alias("kind"), F.col("l_returnflag").alias("gold"), F.col("l_linenumber").alias("model"), "accuracy")
+    out = analysis.accuracy_by_label(rows, list(LINES))
+    return out.select("kind", "gold", "n", *[r6(f"`{k}`").alias(str(k)) for k in LINES], r6("best").alias("best"), "nobody")
+
+
 @registered(f"SELECT l_orderkey, count(*) FILTER ({ACC} >= 1) AS \"right\", count(*) FILTER ({ACC} >= 1) BETWEEN 1 AND 6 AS disagree, count(*) FILTER ({ACC} >= 1) = 0 AS allwrong FROM lineitem GROUP BY l_orderkey")
 def question_difficulty(spark, d):
     """AGG-19, FLT-7, SRT-5."""
@@ -600,6 +612,15 @@ def text_table(spark, d):
     return writers.text_table(rows, [1, 2, 3])
 
 
+@registered(f"""WITH s AS (SELECT p_brand AS task, l_linenumber AS model_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT)::DOUBLE AS score FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
+SELECT task, task || {" || ".join(f"',' || coalesce(printf('%.2f', max(score) FILTER (model_id = {k})), '')" for k in LINES)} AS line FROM s GROUP BY task""")
+def text_table_lines(spark, d):
+    """SNK-7 over all rows: each of the seven line numbers is a model; sums of whole numbers, so that two decimals never stand on a tie."""
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.groupBy(F.col("p_brand").alias("task"), F.col("l_linenumber").alias("model_id")).agg(F.sum(F.col("l_quantity").cast("bigint")).cast("double").alias("score"))
+    return writers.text_table(rows, list(LINES))
+
+
 @registered("""SELECT l_orderkey, l_linenumber, count(DISTINCT l_suppkey) AS models, min(l_suppkey) AS first_model FROM lineitem GROUP BY ALL""")
 def answer_documents(spark, d):
     """SNK-5."""

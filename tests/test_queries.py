@@ -41,3 +41,9 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_model_columns_take_every_row(spark, con):
+    total, quantity = con.execute("select count(*), sum(l_quantity) from lineitem").fetchone()
+    assert sum(r["n"] for r in QUERIES["accuracy_by_label_lines"](spark, DATA).collect()) == total
+    assert sum(float(x) for r in QUERIES["text_table_lines"](spark, DATA).collect() for x in r["line"].split(",")[1:] if x) == quantity
