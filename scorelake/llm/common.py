@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space and the five ASCII controls 09-0D.
@@ -12,12 +15,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, where the session sets no limit of its own.
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where unset, on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file:///tmp/scorelake-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -25,15 +34,25 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_WRITTEN: list[str] = []
+def drop_dir(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
-def drop_written(spark: SparkSession) -> None:
-    """Deletes the tables that ``written`` made in this process; results that read them must be stored before."""
-    jvm = spark._jvm
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that ``written`` made inside; what reads them must be stored before."""
+    mine: list[str] = []
+    token = _SCRATCH.set(mine)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for uri in mine:
+            drop_dir(spark, uri)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -43,11 +62,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     later joins true sizes, from which Spark decides whether a side may be broadcast.
     """
     path = fresh_dir(df.sparkSession, name)
-    _WRITTEN.append(path)
+    if (mine := _SCRATCH.get()) is not None:
+        mine.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def running(df: DataFrame, order: list[Column], name: str, **sums: Column) -> DataFrame:
+    """Adds ``place`` (from 0) and, for each named column, its sum over all rows before in a total order.
+
+    Rows are dealt by ranges of the order; sums inside a range come from a window of that
+    range, and those of the ranges before it from a table with one row a range.
+    """
+    dealt = df.repartitionByRange(width(df.sparkSession), *order).withColumn("_part", F.spark_partition_id())
+    part = written(dealt.withColumns({f"_v{k}": c for k, c in enumerate(sums.values())}), name)
+    inside = Window.partitionBy("_part").orderBy(*order)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    totals = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(f"_v{k}").alias(f"_s{k}") for k in range(len(sums))])
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_part", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_base") for c in totals.columns[1:]])
+    out = part.withColumns(
+        {"_place": F.row_number().over(inside) - 1} | {f"_r{k}": F.coalesce(F.sum(f"_v{k}").over(before), F.lit(0)) for k in range(len(sums))}
+    ).join(F.broadcast(totals), "_part")  # as many rows as there are ranges
+    return out.select(*df.columns, (F.col("_place") + F.col("_n_base")).alias("place"), *[(F.col(f"_r{k}") + F.col(f"_s{k}_base")).alias(c) for k, c in enumerate(sums)])
+
+
 def words(text: Column) -> Column:
     """Words of a text in order; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
@@ -62,7 +101,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lean(df: DataFrame, **types: str) -> DataFrame:
-    """Only the named columns, cast; a column that the table lacks is null."""
+    """Only the named columns, cast; a column that the table lacks is null.
+
+    Rows of any length may follow into Python, so batches get a limit in bytes, unless the session has one.
+    """
+    conf = df.sparkSession.conf
+    conf.set(_BATCH, conf.get(_BATCH, BATCH_BYTES))
     have = {c: t for c, t in df.dtypes}
     return df.select(*[(df[c].cast(t) if c in have else F.lit(None).cast(t)).alias(c) for c, t in types.items()])
 

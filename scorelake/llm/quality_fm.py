@@ -4,11 +4,16 @@ score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum (v_if x_i)^
 pairwise part in linear time by the sum-of-squares identity.  Features come from the text and
 n_chars only; labels, lang, source and doc_id are never inputs.
 
-The model is fitted on the driver on at most ``max_rows`` labelled rows (a documented
-bound: those with the least hash of doc_id); features of these rows are computed by tasks.
+The model is fitted on the driver on at most ``max_rows`` labelled documents whose hashed
+features take at most ``max_bytes`` (documented bounds: those with the least hash of doc_id);
+features of these are computed by tasks.  A small set is passed over more often, so that every
+fit takes at least ``LEAST_STEPS`` steps.
+
 Every text is read whole.  Null or empty texts have the features of an empty text.  Rows
-with a null doc_id are scored, with held_out false.  Repeated rows are all scored.  With no
-usable labelled row the score is 0.5 for all.  Extra columns are ignored.
+with a null doc_id are scored, with held_out false.  Repeated rows are all scored; of rows
+that share a labelled doc_id one is learned from (the least features), and of labels that
+disagree the lower.  With no usable labelled row the score is 0.5 for all.  Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import lean
@@ -28,6 +33,9 @@ from .common import lean
 BITS = 16
 RANK = 8
 MAX_ROWS = 8000
+MAX_BYTES = 64 << 20
+LEAST_STEPS = 750
+STEP = 128
 CUT = 0.3
 
 _UPPER, _LOWER, _DIGIT, _BLANK, _MARK = (np.zeros(256, bool) for _ in range(5))
@@ -47,7 +55,8 @@ def _log(x: float) -> int:
 
 def structure(text: str, ws: list[str], count: Counter, n_chars: float | None) -> list[str]:
     """Bucketed statistics as names; each is a feature of value one."""
-    b = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    b = sum((np.bincount(raw[s : s + (1 << 20)], minlength=256) for s in range(0, len(raw), 1 << 20)), np.zeros(256, np.int64))
     n, m = max(1, int(b.sum())), max(1, len(ws))
     up, low = int(b[_UPPER].sum()), int(b[_LOWER].sum())
     lines = [x for x in text.split("\n") if x]
@@ -119,10 +128,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: int = BI
     p = y.mean()
     m.w0 = float(np.log(p / (1 - p)))
     g0, gw, gv = 1e-8, np.full(size, 1e-8), np.full((size, rank), 1e-8)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * STEP // len(y)))):
         order = rng.permutation(len(y))
-        for s in range(0, len(order), 128):
-            pick = order[s : s + 128]
+        for s in range(0, len(order), STEP):
+            pick = order[s : s + STEP]
             indptr, idx, val = pack([rows[k] for k in pick])
             n = len(pick)
             row = np.repeat(np.arange(n), np.diff(indptr))
@@ -147,14 +156,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int = BITS, rank: int = RANK) -> FM:
-    """A machine fitted on at most max_rows labelled rows whose document is there and is not held out."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: int = BITS, rank: int = RANK, max_bytes: int = MAX_BYTES) -> FM:
+    """A machine fitted on at most max_rows labelled documents, none of them held out."""
     known = (
         lean(labels, doc_id="bigint", quality="int")
         .where("doc_id is not null and quality in (0, 1)")
         .where(~held_out(F.col("doc_id")))
         .groupBy("doc_id")
-        .agg(F.min("quality").alias("quality"))  # of labels that disagree, the lower
+        .agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )  # at most max_rows rows of two numbers: a bounded side to broadcast
@@ -163,11 +172,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, bits: in
     def run(batches):
         for b in batches:
             got = [features(t, n, bits) for t, n in zip(b["text"], b["n_chars"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["quality"], "i": [i.astype(np.int32) for i, _ in got], "x": [x for _, x in got]})
-
-    got = texts.mapInPandas(run, "doc_id bigint, y int, i array<int>, x array<double>").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["y"], r["i"]))
-    return fit([(np.asarray(r["i"], np.int64), np.asarray(r["x"])) for r in got], np.array([r["y"] for r in got], float), bits, rank)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["quality"], "i": [i.astype(np.int32).tobytes() for i, _ in got], "x": [x.astype(np.float32).tobytes() for _, x in got]})
+
+    one = texts.mapInPandas(run, "doc_id bigint, y int, i binary, x binary").groupBy("doc_id").agg(F.min(F.struct("i", "x", "y")).alias("d"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over max_rows rows at most
+    size = F.sum(F.octet_length("d.i") + F.octet_length("d.x")).over(order)
+    got = one.withColumn("so_far", size).where(F.col("so_far") <= max_bytes).select("d.i", "d.x", "d.y").collect()
+    rows = [(np.frombuffer(r["i"], np.int32).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(float)) for r in got]
+    return fit(rows, np.array([r["y"] for r in got], float), bits, rank)
 
 
 def scores(spark: SparkSession, model: FM, bits: int = BITS, step: int = 256):
