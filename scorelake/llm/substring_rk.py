@@ -7,13 +7,15 @@ document of smaller doc_id; windows are judged on the input.
    it.  Equal windows have equal anchors, and a run of windows shares one, so counting
    anchors (once a document) takes a fraction of the rows that counting windows would.
    A window whose anchor occurs in one document occurs in one document.
-2. Windows with an anchor of two or more documents give (hash, doc_id); Spark takes the
-   least doc_id of each hash, and a document gets back the hashes that a smaller one has.
+2. Windows with an anchor of two or more documents give (hash, check, doc_id); Spark takes the
+   least doc_id of each (hash, check), and a document gets back the hashes that a smaller one has.
 3. Documents recompute their windows; those with a returned hash merge into maximal
    intervals, whose words are removed.
 
 Counts and minima are pre-aggregated before their shuffles; the joins back are plain
-shuffled joins which adaptive execution may split.  Hashes have 64 bits.
+shuffled joins which adaptive execution may split.  A window is known by 95 bits: a hash
+modulo 2**64 and a check modulo the prime 2**31 - 1 (which strings made to collide modulo a
+power of two do not share).  Bytes are hashed in blocks of ``CHUNK``, cut between words.
 
 Null text has no words.  A row with a null doc_id is kept whole and removes nothing
 elsewhere.  Rows that share a doc_id do not remove each other.  Shorter texts than a window
@@ -22,6 +24,7 @@ are kept.  An empty table gives no rows.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -33,23 +36,34 @@ from .common import SPACE, lean, written
 
 WINDOW = 13
 ANCHOR = 5
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _SPACE = re.compile(SPACE)
 _BASE, _WORD = (0x9E3779B97F4A7C15 | 1), (0xD6E8FEB86659FD93 | 1)
+_PRIME, _BASE31, _WORD31 = (1 << 31) - 1, 1_103_515_245, 1_812_433_253
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64, kept for the next call."""
-    have = _POWERS.get(base)
-    if have is None or len(have) <= n:
-        have = np.full(max(n, CHUNK) + 1, base, np.uint64)
-        have[0] = 1
-        _POWERS[base] = have = np.multiply.accumulate(have)
-    return have
+def _made_powers(base: int, n: int, prime: int) -> np.ndarray:
+    if not prime:
+        out = np.full(n + 1, base, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+    out = np.ones(1, np.int64)
+    while len(out) <= n:
+        out = np.concatenate([out, out * pow(base, len(out), prime) % prime])
+    return out[: n + 1]
+
+
+@functools.lru_cache(8)
+def _short_powers(base: int, prime: int) -> np.ndarray:
+    return _made_powers(base, CHUNK, prime)
+
+
+def _powers(base: int, n: int, prime: int = 0) -> np.ndarray:
+    """base**0 .. base**n modulo 2**64 or a prime; those of a chunk are kept, longer ones are not."""
+    return _short_powers(base, prime)[: n + 1] if n <= CHUNK else _made_powers(base, n, prime)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -62,28 +76,44 @@ def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
     """Rabin-Karp hash of values[s:e] for each range, alike wherever the range lies."""
     n = len(values)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _powers(base, n)[:n], out=sums[1:])
+    np.cumsum(values.astype(np.uint64, copy=False) * _powers(base, n)[:n], out=sums[1:])
     back = _powers(pow(base, -1, 1 << 64), n)
     return _mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of all texts in order, and the number of the text that it is in."""
+def _checks(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """The same modulo the prime, for values below it."""
+    n = len(values)
+    sums = np.zeros(n + 1, np.int64)
+    np.cumsum(values.astype(np.int64, copy=False) * _powers(base, n, _PRIME)[:n] % _PRIME, out=sums[1:])
+    return (sums[ends] - sums[starts]) % _PRIME * _powers(pow(base, -1, _PRIME), n, _PRIME)[starts] % _PRIME
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and check of every word of all texts in order, and the number of the text that it is in."""
     raw = [(t or "").encode() for t in texts]
     b = np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)
     blank = _BLANK[b]
     starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
     ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
     firsts = np.cumsum([1, *(len(r) + 1 for r in raw)])
-    return _ranges(b.astype(np.uint64) + np.uint64(1), starts, ends, _BASE), np.searchsorted(firsts, starts, "right") - 1
+    h, c = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.int64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK, "right")))
+        at = starts[i]
+        v, s, e = b[at : ends[j - 1]] + np.uint16(1), starts[i:j] - at, ends[i:j] - at
+        c[i:j] = _checks(v, s, e, _BASE31)
+        h[i:j] = _mix(_ranges(v, s, e, _BASE) ^ (c[i:j].astype(np.uint64) << np.uint64(33)))
+        i = j
+    return h, c, np.searchsorted(firsts, starts, "right") - 1
 
 
-def windows(h: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of windows that lie in one document, and their hashes."""
-    if len(h) < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    s = np.flatnonzero(doc[: len(h) - size + 1] == doc[size - 1 :])
-    return s, _ranges(h, s, s + size, _WORD)
+def windows(doc: np.ndarray, size: int) -> np.ndarray:
+    """Starts of windows that lie in one document."""
+    if len(doc) < size:
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(doc[: len(doc) - size + 1] == doc[size - 1 :])
 
 
 def anchors(h: np.ndarray, doc: np.ndarray, starts: np.ndarray, size: int, gram: int) -> np.ndarray:
@@ -109,22 +139,22 @@ def _chunks(batches, columns: list[str]):
             yield [piece[c].tolist() for c in columns]
 
 
-def _pairs(doc: np.ndarray, value: np.ndarray, ids: list) -> pd.DataFrame:
-    """Distinct (doc_id, value)."""
+def _pairs(doc: np.ndarray, value: np.ndarray, ids: list, check: np.ndarray | None = None) -> pd.DataFrame:
+    """Distinct (doc_id, value), with a check of the value."""
     order = np.lexsort((value, doc))
     doc, value = doc[order], value[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-    return pd.DataFrame({"doc_id": np.array(ids, np.int64)[doc[new]], "h": value[new].view(np.int64)})
+    more = {} if check is None else {"c": check[order][new].astype(np.int32)}
+    return pd.DataFrame({"doc_id": np.array(ids, np.int64)[doc[new]], "h": value[new].view(np.int64)} | more)
 
 
 def _anchor_rows(docs: DataFrame, size: int, gram: int) -> DataFrame:
     def run(batches):
         for ids, texts in _chunks(batches, ["doc_id", "text"]):
-            h, doc = word_hashes(texts)
-            s, _ = windows(h, doc, size)
-            a = anchors(h, doc, s, size, gram)
-            yield _pairs(doc[s], a, ids)
+            h, _, doc = word_hashes(texts)
+            s = windows(doc, size)
+            yield _pairs(doc[s], anchors(h, doc, s, size, gram), ids)
 
     return docs.mapInPandas(run, "doc_id bigint, h bigint")
 
@@ -134,18 +164,19 @@ def _window_rows(docs: DataFrame, size: int, gram: int) -> DataFrame:
 
     def run(batches):
         for ids, texts, found in _chunks(batches, ["doc_id", "text", "found"]):
-            h, doc = word_hashes(texts)
-            s, w = windows(h, doc, size)
-            ok = np.isin(anchors(h, doc, s, size, gram), np.concatenate(found).view(np.uint64))
-            yield _pairs(doc[s[ok]], w[ok], ids)
+            h, c, doc = word_hashes(texts)
+            s = windows(doc, size)
+            s = s[np.isin(anchors(h, doc, s, size, gram), np.concatenate(found).view(np.uint64))]
+            yield _pairs(doc[s], _ranges(h, s, s + size, _WORD), ids, _checks(c, s, s + size, _WORD31))
 
-    return docs.mapInPandas(run, "doc_id bigint, h bigint")
+    return docs.mapInPandas(run, "doc_id bigint, h bigint, c int")
 
 
 def _cut(texts: list, gone: list, size: int):
     """For each text: words, removed words, kept text."""
-    h, doc = word_hashes(texts)
-    s, w = windows(h, doc, size)
+    h, _, doc = word_hashes(texts)
+    s = windows(doc, size)
+    w = _ranges(h, s, s + size, _WORD)
     out = np.zeros(len(h) + 1, np.int64)
     have = [(k, np.sort(np.asarray(g, np.int64).view(np.uint64))) for k, g in enumerate(gone) if g is not None and len(g)]
     if have:
@@ -172,8 +203,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, gram: int = ANCHOR, name
     shared = written(grams.groupBy("h").count().where("count > 1").select("h"), "anchors")
     flagged = written(grams.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("found")), "flagged")
     seen = written(_window_rows(named.join(flagged, "doc_id"), size, gram), "windows")
-    first = written(seen.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "first"), "firsts")
-    gone = written(seen.join(first, "h").where("doc_id > first").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("h").alias("_gone")), "gone")
+    first = written(seen.groupBy("h", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "c", "first"), "firsts")
+    gone = written(seen.join(first, ["h", "c"]).where("doc_id > first").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("h").alias("_gone")), "gone")
 
     @F.pandas_udf("n_words bigint, n_removed bigint, kept string")
     def cut(text: pd.Series, hashes: pd.Series) -> pd.DataFrame:
