@@ -12,9 +12,10 @@ A shard task returns one link a fingerprint at most, to the root of its local gr
 never all pairs within a group.  Equal fingerprints are one node, so that any number of
 exact copies costs nothing more.
 
-Null text counts as empty: no words, fingerprint zero, which links like any other.  Rows
-with a null doc_id get the component of their fingerprint.  Repeated doc_ids keep all
-their rows.  An empty table gives no rows.  Extra columns are ignored.
+Null text counts as empty: no words, fingerprint zero, which links like any other.  Links
+run between fingerprints, so rows with a null doc_id join others as well and get the component
+of their fingerprint (null if no row of it has a doc_id), and rows that share a doc_id each get
+the component of their own.  An empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ class BKTree:
                     todo.append(down)
 
 
-def _local_links(fp: np.ndarray, rep: np.ndarray, shard: np.ndarray, i: int, j: int, radius: int) -> list[tuple[int, int]]:
+def _local_links(fp: np.ndarray, shard: np.ndarray, i: int, j: int, radius: int) -> list[tuple[int, int]]:
     """Links from each member to the root of its group, within shard i or between shards i and j."""
     tree, roots = BKTree(), list(range(len(fp)))
 
@@ -117,7 +118,7 @@ def _local_links(fp: np.ndarray, rep: np.ndarray, shard: np.ndarray, i: int, j:
                 roots[theirs] = mine
         if i == j:
             tree.add(values[x])
-    return [(rep[x], rep[root(x)]) for x in range(len(values)) if root(x) != x]
+    return [(fp[x], fp[root(x)]) for x in range(len(values)) if root(x) != x]
 
 
 def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -132,20 +133,20 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def bk_links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """nodes: fp (distinct), rep.  Links (a, b) between reps that join all fingerprints within the radius."""
+    """nodes: fp (distinct).  Links (a, b) that join all fingerprints within the radius."""
     cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
     keys = F.array(*[
         F.concat_ws(":", F.lit(i), F.expr(f"shiftrightunsigned(shiftleft(fp, {lo}), {64 - (hi - lo)})").cast("string")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:]))
     ])
-    keyed = nodes.where("rep is not null").select(F.explode(keys).alias("block"), "fp", "rep")
+    keyed = nodes.select(F.explode(keys).alias("block"), "fp")
     dealt = shard_pairs(keyed, "block", F.xxhash64("fp"), shard)
     by = ["block", "group_i", "group_j"]
 
     def run(batches):
         for g in runs(batches, by):
-            fp, rep = g["fp"].to_numpy(np.int64), g["rep"].to_numpy(np.int64)
-            order = np.argsort(fp, kind="stable")
-            found = _local_links(fp[order], rep[order], g["shard"].to_numpy()[order], int(g["group_i"].iloc[0]), int(g["group_j"].iloc[0]), radius)
+            fp = g["fp"].to_numpy(np.int64)
+            order = np.argsort(fp)
+            found = _local_links(fp[order], g["shard"].to_numpy()[order], int(g["group_i"].iloc[0]), int(g["group_j"].iloc[0]), radius)
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
@@ -155,28 +156,37 @@ def bk_links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE, shard: int = SHARD) -> DataFrame:
     """One row per document: doc_id, fp (long), component_id (least doc_id reachable by links)."""
     marked = written(fingerprints(docs, k), "fingerprints")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
-    joined = connected(bk_links(nodes, radius, shard))
-    owner = written(
-        nodes.join(joined, nodes["rep"] == joined["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "owners"
-    )
-    return marked.join(owner, "fp", "left").select("doc_id", "fp", "component_id")
+    return marked.join(_owners(marked, radius, shard), "fp").select("doc_id", "fp", F.col("owner.doc_id").alias("component_id"))
+
+
+def _owners(marked: DataFrame, radius: int, shard: int) -> DataFrame:
+    """marked: doc_id, fp and more.  For each fingerprint, the least row of its component as ``owner``: by doc_id, null last, then by the other columns."""
+    whole = F.struct(F.col("doc_id").isNull().alias("none"), *marked.columns)
+    nodes = written(marked.groupBy("fp").agg(F.min(whole).alias("least")), "nodes")
+    joined = connected(bk_links(nodes.select("fp"), radius, shard))
+    known = written(nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root")), "roots")
+    owner = known.groupBy("root").agg(F.min("least").alias("owner"))
+    return written(known.join(owner, "root").select("fp", "owner"), "owners")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE, shard: int = SHARD) -> DataFrame:
-    """The rows of docs, with all their columns, that stay: of each component the document with the least doc_id.
+    """The rows of docs, with all their columns, that stay: one of each component, that of the
+    least doc_id (null last), then of the least fingerprint and hash of the row.
 
-    Rows that repeat a doc_id stay once.  Of rows without a doc_id one stays for each
-    fingerprint that no document with a doc_id is linked to.
+    The hash takes columns of plain types; of rows alike in all of these one stays.
     """
-    found = written(near_duplicates(docs, radius, k, shard), "components")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi").dropDuplicates(["doc_id"])
-
-    @F.pandas_udf("bigint")
-    def prints(text: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter((fingerprint(t, k) for t in text), np.uint64, len(text)).view(np.int64))
+    plain = [c for c, t in docs.dtypes if "<" not in t and t not in ("variant", "void")]
+    rows = docs.withColumn("_row", F.xxhash64(*plain))
 
-    alone = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_fp")).distinct()
-    rest = docs.where("doc_id is null").withColumn("_fp", prints(F.col("text").cast("string"))).join(alone, "_fp", "left_semi")
-    return named.unionByName(rest.dropDuplicates(["_fp"]).drop("_fp"))
+    def run(batches):
+        for b in batches:
+            fp = np.fromiter((fingerprint(t, k) for t in b["text"]), np.uint64, len(b)).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp, "row": b["_row"]})
+
+    marked = written(lean(rows, doc_id="bigint", text="string", _row="bigint").mapInPandas(run, "doc_id bigint, fp bigint, row bigint"), "fingerprints")
+    owners = _owners(marked, radius, shard).select(F.col("owner.doc_id").alias("_id"), F.col("owner.row").alias("_keep")).distinct()
+    same = lambda df, one: df["doc_id"].cast("bigint").eqNullSafe(one["_id"])
+    kept = written(marked.join(owners, same(marked, owners) & (marked["row"] == owners["_keep"])).groupBy("_id", "_keep").count(), "kept")
+    once, more = (rows.join(one := kept.where(x), same(rows, one) & (rows["_row"] == one["_keep"]), "left_semi") for x in ("count = 1", "count > 1"))
+    # only rows that repeat exactly are gathered again, to leave one of them
+    return once.unionByName(more.dropDuplicates(["doc_id", "_row"])).drop("_row")

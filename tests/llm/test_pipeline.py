@@ -44,7 +44,7 @@ def test_stages_against_brute_force(spark):
     assert sorted(kept[0]) == sorted(plain)
     prints = [(r[0], brute_fingerprint(r[1])) for r in kept[0]]
     own = brute_components(prints)
-    assert sorted(kept[1]) == sorted(r for r in kept[0] if own[r[0]] == r[0])
+    assert sorted(kept[1]) == sorted(r for r in kept[0] if own[brute_fingerprint(r[1])] == r[0])
     cut = {x[0]: x for x in brute([r[:2] for r in kept[1]], 13)}
     want = [(r[0], cut[r[0]][3] if cut[r[0]][2] else r[1]) for r in kept[1] if not (cut[r[0]][2] and not cut[r[0]][3])]
     assert sorted(r[:2] for r in kept[2]) == sorted(want) and all(r[4] == len(r[1]) for r in kept[2])

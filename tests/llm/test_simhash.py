@@ -15,17 +15,17 @@ def brute_fingerprint(text):
 
 
 def brute_components(rows):
-    """Least doc_id reachable, over pairs of at most two differing bits."""
+    """By fingerprint: the least doc_id reachable, over pairs of at most two differing bits."""
     own = {}
-    for a, fa in rows:
-        own.setdefault(a, a)
+    for i, f in rows:
+        own[f] = min((x for x in (own.get(f), i) if x is not None), default=None)
     change = True
     while change:
         change = False
-        for a, fa in rows:
-            for b, fb in rows:
-                if (fa ^ fb).bit_count() <= 2 and own[b] < own[a]:
-                    own[a], change = own[b], True
+        for a in own:
+            for b in own:
+                if (a ^ b).bit_count() <= 2 and own[a] is not None and (own[b] is None or own[a] < own[b]):
+                    own[b], change = own[a], True
     return own
 
 
@@ -50,9 +50,8 @@ def test_against_brute_force(spark):
     got = S.near_duplicates(spark.createDataFrame(rows, DOCS), shard=8).collect()
     prints = sorted((r["doc_id"], r["fp"] & (2**64 - 1)) for r in got)
     assert prints == sorted((r[0], brute_fingerprint(r[1])) for r in rows)
-    # documents that repeat an id are one node of the graph
     own = brute_components(prints)
-    assert {r["doc_id"]: r["component_id"] for r in got} == own
+    assert all(r["component_id"] == own[r["fp"] & (2**64 - 1)] for r in got)
 
 
 def test_planted_bits_link_in_shards(spark):
@@ -60,11 +59,11 @@ def test_planted_bits_link_in_shards(spark):
     rng = random.Random(9)
     base = rng.getrandbits(64)
     fps = sorted({base ^ (1 << rng.randrange(43, 64)) ^ (1 << rng.randrange(43, 64)) ^ (1 << rng.randrange(0, 64)) for _ in range(150)})
-    signed = [(f - 2**64 if f >= 2**63 else f, k) for k, f in enumerate(fps)]
-    links = S.bk_links(spark.createDataFrame(signed, "fp bigint, rep bigint"), shard=16)
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    links = S.bk_links(spark.createDataFrame([(f,) for f in signed], "fp bigint"), shard=16)
     got = {r["node"]: r["component"] for r in connected(links).collect()}
-    want = brute_components([(k, f) for k, f in enumerate(fps)])
-    assert {k: got.get(k, k) for k in want} == want
+    want = brute_components(zip(signed, fps))
+    assert {f: got.get(s, s) for f, s in zip(fps, signed)} == want
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -74,6 +73,16 @@ def test_components_of_a_chain_and_a_star(spark):
     assert connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_rows_without_id_join_others_and_one_id_may_have_unlike_texts(spark):
+    marked = spark.createDataFrame([(9, 1), (None, 7), (5, 31), (5, 960), (6, 960), (None, 61440 << 20)], "doc_id bigint, fp bigint")
+    owners = {r["fp"]: r["owner"]["doc_id"] for r in S._owners(marked, 2, 8).collect()}
+    assert owners == {1: 5, 7: 5, 31: 5, 960: 5, 61440 << 20: None}
+    base = "one two three four five six seven eight nine ten eleven"
+    rows = [doc(1, base), doc(1, base), doc(1, "wholly other words stand here, none of them alike"), doc(2, base.upper()), doc(None, base)]
+    kept = sorted((r["doc_id"], r["text"]) for r in S.one_of_each(spark.createDataFrame(rows, DOCS)).collect())
+    assert kept == [(1, base), (1, rows[2][1])]
+
+
 def test_awkward_rows(spark):
     df = spark.createDataFrame(awkward(), DOCS)
     assert S.near_duplicates(df).count() == len(awkward())
