@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-_PART = r"\s*([^\],]*\d+[^\],]*)\s*"
-BOX = rf"(?U)\[{_PART},{_PART},{_PART},{_PART}\]"
+# The patterns that marks are read by.
+BOX = (
+    r"(?U)\[\s*([^\],]*\d+[^\],]*)\s*,\s*([^\],]*\d+[^\],]*)\s*,\s*([^\],]*\d+[^\],]*)\s*,\s*([^\],]*\d+[^\],]*)\s*\]"
+)
 SPEED = r"(?U)\[\s*(-?\d+)\s*,\s*(-?\d+)\s*\]"
 NUMBERS = r"(?U)(-?\d+(?:/\d+)*)"
+CORRESPONDS = r"(?Ud)corresponds to No.([+-]?\d+|[+-]?\d+/\d+)"
+CORRESPONDING = r"(?Ud)corresponding to.*is\s+(-?\d+(?:/\d+)*)"
+BOX_QUESTION = "located in the image?"
 
 
 def _mark(accuracy: Column, instruction: Column, other: Column | None, kind: Column | str) -> Column:
@@ -24,39 +29,52 @@ def _mark(accuracy: Column, instruction: Column, other: Column | None, kind: Col
     )
 
 
-def _chosen(cleaned: Column, ref: Column, question: Column) -> Column:
+def _chosen(cleaned: Column, ref: Column, tips: Column) -> Column:
     """Right: the reference itself, or text that holds it and, of the listed options, it alone (and listed once)."""
-    tips = T.options(question)
     only = (F.size(F.filter(tips, lambda t: t == ref)) == 1) & ~F.exists(tips, lambda t: (t != ref) & F.contains(cleaned, t))
     return T.single(cleaned) & ((cleaned == ref) | (F.contains(cleaned, ref) & only))
 
 
 def choice_mark(raw_question: Column, reference: Column, answer: Column) -> Column:
-    q, ref = T.question_text(raw_question), F.lower(reference)
-    cleaned = T.clean(F.lower(T.remove_symbols(answer)))
-    return _mark(_chosen(cleaned, ref, q), T.single(cleaned) & F.contains(q, cleaned), None, "choice")
+    ref = F.lower(reference)
+
+    def made(q: Column, cleaned: Column, tips: Column) -> Column:
+        kind = F.when(ref.isin("true", "false"), "boolean").otherwise("choice")
+        return _mark(_chosen(cleaned, ref, tips), T.single(cleaned) & F.contains(q, cleaned), None, kind)
+
+    return _with_question(raw_question, answer, made)
 
 
 def judge_mark(raw_question: Column, reference: Column, answer: Column) -> Column:
-    q, ref = T.question_text(raw_question), T.clean(F.lower(reference))
-    cleaned = T.clean(F.lower(T.remove_symbols(answer)))
+    ref = T.clean(F.lower(reference))
     yes_no = ref.isin("yes", "no")
-    right = _chosen(cleaned, ref, q)
-    return _mark(right, T.single(cleaned) & F.contains(q, F.replace(cleaned, F.lit(";"), F.lit(""))), F.when(yes_no, right.cast("double")), F.when(yes_no, "judgment").otherwise("description"))
+
+    def made(q: Column, cleaned: Column, tips: Column) -> Column:
+        told = T.single(cleaned) & F.contains(q, F.replace(cleaned, F.lit(";"), F.lit("")))
+        mark = lambda right: _mark(right, told, F.when(yes_no, right.cast("double")), F.when(yes_no, "judgment").otherwise("description"))
+        return T.let(_chosen(cleaned, ref, tips), mark)
+
+    return _with_question(raw_question, answer, made)
+
+
+def _with_question(raw_question: Column, answer: Column, made) -> Column:
+    """made(question text, cleaned answer, options of the question), each of them computed once."""
+    cleaned = T.clean(F.lower(T.remove_symbols(answer)))
+    return T.let(T.question_text(raw_question), lambda q: T.let(cleaned, lambda c: T.let(T.options(q), lambda tips: made(q, c, tips))))
 
 
 def boxes_in(answer: Column) -> Column:
     return F.regexp_extract_all(answer, F.lit(BOX), F.lit(0))
 
 
-def _sides(answer: Column) -> Column:
-    """Four numbers of the only box: of each part the digits and points, signs lost; null if malformed."""
-    return F.array(*[F.regexp_replace(F.regexp_extract(answer, BOX, k), "[^0-9.]", "").try_cast("double") for k in range(1, 5)])
+def _sides(box: Column) -> Column:
+    """Four numbers of a box in brackets: of each part the digits and points, signs lost; null if malformed."""
+    return F.transform(F.split(box, ","), lambda part: F.regexp_replace(part, "[^0-9.]", "").try_cast("double"))
 
 
 def parse_box(answer: Column) -> Column:
     """[x1, y1, x2, y2] if the answer has exactly one box, else null."""
-    return F.when(F.size(boxes_in(answer)) == 1, _sides(answer))
+    return T.let(boxes_in(answer), lambda found: F.when(F.size(found) == 1, _sides(F.get(found, F.lit(0)))))
 
 
 def box_iou(a: Column, b: Column) -> Column:
@@ -78,10 +96,14 @@ def grown(box: Column, size: float = 1000.0) -> Column:
 
 def box_mark(reference: Column, answer: Column) -> Column:
     """reference: array of four.  Without exactly one box the answer counts as four zeros."""
-    found = F.size(boxes_in(answer)) == 1
-    box = F.when(found, _sides(answer)).otherwise(F.array(*[F.lit(0.0)] * 4))
-    iou = box_iou(reference, grown(box))
-    return _mark((iou > 0.5).cast("double"), found, iou, "box")
+
+    def made(found: Column) -> Column:
+        one = F.size(found) == 1
+        box = F.when(one, _sides(F.get(found, F.lit(0)))).otherwise(F.array(*[F.lit(0.0)] * 4))
+        iou = T.let(box, lambda b: T.let(grown(b), lambda g: box_iou(reference, g)))
+        return T.let(iou, lambda v: _mark((v > 0.5).cast("double"), one, v, "box"))
+
+    return T.let(boxes_in(answer), made)
 
 
 def to_pixels(box: Column, convention: Column, w: Column, h: Column, size: float = 1000.0) -> Column:
@@ -103,17 +125,17 @@ def rescaled(reference: Column, dimension: Column, scorer_model: str) -> Column:
 
 def relation_mark(reference: Column, answer: Column) -> Column:
     """Numbers joined by slashes: none may be wrong, each right one earns its share, repeats again."""
-    first = F.regexp_extract(answer, r"(?Ud)corresponds to No.([+-]?\d+|[+-]?\d+/\d+)", 1)
-    second = F.regexp_extract(answer, r"(?Ud)corresponding to.*is\s+(-?\d+(?:/\d+)*)", 1)
-    every = F.regexp_extract_all(answer, F.lit(NUMBERS), F.lit(1))
-    third = F.coalesce(F.when(F.size(every) > 0, F.element_at(every, -1)), F.lit(""))
     told, linked = F.contains(answer, F.lit("corresponds to")), F.contains(answer, F.lit("corresponding to"))
-    raw = F.when(told, first).when(linked, second).otherwise(third)
-    given = F.when(raw == "", F.array().cast("array<string>")).otherwise(F.split(raw, "/"))
-    ref = F.split(reference, "/")
-    wrong = F.exists(given, lambda n: ~F.array_contains(ref, n))
-    credit = F.when(wrong, 0.0).otherwise(F.aggregate(given, F.lit(0.0), lambda z, n: z + F.lit(1.0) / F.size(ref)))
-    return _mark(credit, ~told & ~linked & (F.size(every) > 0), None, "relation")
+    last = T.let(F.regexp_extract_all(answer, F.lit(NUMBERS), F.lit(1)), lambda every: F.when(F.size(every) > 0, F.element_at(every, -1)).otherwise(""))
+    raw = F.when(told, F.regexp_extract(answer, CORRESPONDS, 1)).when(linked, F.regexp_extract(answer, CORRESPONDING, 1)).otherwise(last)
+
+    def made(found: Column, ref: Column) -> Column:
+        given = F.when(found == "", F.array().cast("array<string>")).otherwise(F.split(found, "/"))
+        wrong = F.exists(given, lambda n: ~F.array_contains(ref, n))
+        credit = F.when(wrong, 0.0).otherwise(F.aggregate(given, F.lit(0.0), lambda z, n: z + F.lit(1.0) / F.size(ref)))
+        return _mark(credit, ~told & ~linked & (found != ""), None, "relation")
+
+    return T.let(raw, lambda found: T.let(F.split(reference, "/"), lambda ref: made(found, ref)))
 
 
 def speed_mark(reference: Column, answer: Column) -> Column:
@@ -124,7 +146,8 @@ def speed_mark(reference: Column, answer: Column) -> Column:
 
 
 def is_box_question(raw_question: Column) -> Column:
-    return F.contains(raw_question, F.lit("located in the image?"))
+    """Judged on the lower-cased text after the selector."""
+    return F.contains(T.question_text(raw_question), F.lit(BOX_QUESTION))
 
 
 def mark(family: Column, raw_question: Column, reference: Column, reference_box: Column, answer: Column) -> Column:

@@ -6,12 +6,19 @@ feed ends a line.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = r"(?U)^\s+|\s+$"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squish(c: Column) -> Column:
     """Without white space of any kind at either end (trim takes spaces only)."""
     return F.regexp_replace(c, BLANKS, "")
@@ -38,11 +45,13 @@ def clean(c: Column) -> Column:
 
 def options(text: Column) -> Column:
     """The entries of the last bracketed list; without quotes in it they part at comma and space, else between quotes."""
-    groups = F.regexp_extract_all(text, F.lit(r"\[([^\]]+)\]"), F.lit(1))
-    last = F.when(F.size(groups) > 0, F.element_at(groups, -1))
-    bare = F.split(last, ", ")
-    quoted = F.transform(F.split(last, "', '"), lambda x: F.btrim(squish(x), F.lit("'")))
-    return F.coalesce(F.when(F.contains(last, F.lit("'")), quoted).otherwise(bare), F.array().cast("array<string>"))
+    last = let(F.regexp_extract_all(text, F.lit(r"\[([^\]]+)\]"), F.lit(1)), lambda g: F.when(F.size(g) > 0, F.element_at(g, -1)))
+
+    def parted(one: Column) -> Column:
+        quoted = F.transform(F.split(one, "', '"), lambda x: F.btrim(squish(x), F.lit("'")))
+        return F.coalesce(F.when(F.contains(one, F.lit("'")), quoted).otherwise(F.split(one, ", ")), F.array().cast("array<string>"))
+
+    return let(last, parted)
 
 
 def single(cleaned: Column) -> Column:
@@ -79,8 +88,60 @@ def degenerate(answer: Column) -> Column:
     return F.coalesce((F.char_length(answer) >= 64) & (F.replace(answer, F.substring(answer, 1, 1), F.lit("")) == ""), F.lit(False))
 
 
+# Misspelt parts of task names, and what reports show for them.
+SPELLING = {"Bahavior": "Behavior", "Obsturction": "Obstruction"}
+
+
 def humanize(name: Column) -> Column:
-    return F.replace(name, F.lit("_"), F.lit(" "))
+    out = F.replace(name, F.lit("_"), F.lit(" "))
+    for wrong, right in SPELLING.items():
+        out = F.replace(out, F.lit(wrong), F.lit(right))
+    return out
+
+
+def number_text(c: Column) -> Column:
+    """A double as the shortest decimal that reads back as it: with a point, and an exponent from 1e16 up and below 1e-4."""
+    java = c.cast("string")
+    plain = F.regexp_replace(F.regexp_replace(java.cast("decimal(38,20)").cast("string"), r"0+$", ""), r"\.$", ".0")
+    digits = F.regexp_replace(F.regexp_extract(java, r"^(.*)E", 1), r"\.0$", "")
+    power = F.regexp_extract(java, r"E(-?\d+)$", 1).cast("int")
+    exponent = F.concat(digits, F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    far = (F.abs(c) >= 1e16) | ((F.abs(c) < 1e-4) & (c != 0))
+    return F.when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), F.when(c > 0, "inf").otherwise("-inf")).when(far, exponent).when(F.contains(java, F.lit("E")), plain).otherwise(java)
+
+
+def answer_text(token: Column) -> Column:
+    """A JSON token as the text that marks compare: strings as they are, whole numbers by their digits, others as number_text, booleans capitalised."""
+    fraction = F.rlike(token, F.lit(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$")) & F.rlike(token, F.lit(r"[.eE]"))
+    text = F.startswith(token, F.lit('"'))
+    return (
+        F.when(text, F.get_json_object(F.concat(F.lit('{"v":'), token, F.lit("}")), "$.v"))
+        .when(token.isin("true", "false"), F.initcap(token))
+        .when(fraction, number_text(token.try_cast("double")))
+        .otherwise(token)
+    )
+
+
+def message_text(content: Column) -> Column:
+    """The text of a chat message's content, as JSON: a string, or the text parts of a list joined; null if it has neither."""
+    parts = F.from_json(content, "array<struct<type: string, text: string>>")
+    joined = F.array_join(F.transform(F.filter(parts, lambda x: x["type"] == "text"), lambda x: F.coalesce(x["text"], F.lit(""))), "")
+    return F.when(F.startswith(F.ltrim(content), F.lit('"')), F.get_json_object(F.concat(F.lit('{"v":'), content, F.lit("}")), "$.v")).when(F.startswith(F.ltrim(content), F.lit("[")), joined)
+
+
+def two_decimals(c: Column) -> Column:
+    """The nearest two decimals of the double's exact value, ties away from zero: 0.125 gives 0.13, and 1.005, which is less, 1.00.
+
+    The fraction is split in two parts whose multiples by 200 are exact, so that the side of a tie is never rounded.
+    """
+    x = F.abs(c)
+    f = x - F.floor(x)
+    low = F.floor(f * 100)
+    part = F.floor(f * float(1 << 26))
+    over = f * float(1 << 26) - part
+    up = (over * 200 >= ((2 * low + 1) * (1 << 26) - part * 200).cast("double")).cast("bigint")
+    cents = F.floor(x).cast("bigint") * 100 + low + up
+    return F.when(F.isnan(c), "NaN").otherwise(F.concat(F.when(c < 0, "-").otherwise(""), F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")))
 
 
 def frame_url(base: str, folder: Column, name: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import marks as M
+from ..functions.text import let
 from .scores import weighted_mean
 
 
@@ -15,8 +16,9 @@ def grid_marks(boxes: DataFrame, dimensions: DataFrame) -> DataFrame:
     boxes: id, convention, reference (array of four), answer.  dimensions: id, width, height.
     """
     rows = boxes.join(dimensions, "id")
-    box = M.to_pixels(M.parse_box(F.col("answer")), F.col("convention"), F.col("width"), F.col("height"))
-    return rows.withColumn("grid_iou", F.coalesce(F.when(box.isNotNull(), M.box_iou(F.col("reference"), box)), F.lit(0.0)))
+    pixels = lambda b: M.to_pixels(b, F.col("convention"), F.col("width"), F.col("height"))
+    iou = let(M.parse_box(F.col("answer")), lambda b: let(pixels(b), lambda p: F.when(p.isNotNull(), M.box_iou(F.col("reference"), p))))
+    return rows.withColumn("grid_iou", F.coalesce(iou, F.lit(0.0)))
 
 
 def grid_composite(marked: DataFrame, keys: list[str], weights: tuple[str, str, str] = ("w_other", "w_accuracy", "w_instruction")) -> DataFrame:

@@ -1,13 +1,12 @@
-import random
+"""Marks against cases worked out by hand from the rules."""
+
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from scorelake.functions import marks as M
 from scorelake.functions import text as T
-from tests import spec
-
-rng = random.Random(4)
 
 
 def answers_of(spark, rows, schema, **columns):
@@ -15,51 +14,102 @@ def answers_of(spark, rows, schema, **columns):
     return [tuple(r) for r in df.select(*[c.alias(n) for n, c in columns.items()]).collect()]
 
 
-def test_choice_against_plain_python(spark):
-    words = ["red", "green", "yellow", "red light", "", "Red", "no"]
-    rows = []
-    for _ in range(1500):
-        t = [rng.choice(words) for _ in range(rng.randint(0, 4))]
-        listed = rng.choice(["['" + "', '".join(t) + "']", "[" + ", ".join(t) + "]", ""])
-        raw = f"image;Which; is it? {listed}"
-        answer = rng.choice(["{}", "The light is {}.", "correct answer is: *{}*", "{} or {}", "['{}', '{}']", '"{}"\n', " . "]).replace("{}", rng.choice(words), 1).replace("{}", rng.choice(words))
-        rows.append((raw, rng.choice(words[:4]), answer))
-    m = M.choice_mark(F.col("raw"), F.col("ref"), F.col("answer"))
-    got = answers_of(spark, rows, "raw string, ref string, answer string", a=m["accuracy"], i=m["instruction"])
-    assert got == [spec.choice(*r) for r in rows]
-
-
-def test_relation_against_plain_python(spark):
-    rows = []
-    for _ in range(800):
-        n = lambda: "/".join(str(rng.randint(0, 4)) for _ in range(rng.randint(1, 3)))
-        rows.append((n(), rng.choice(["{}", "corresponds to No.{}", "the one corresponding to the sign is {} ok", "No number", "sign 3 is {}.", "corresponds to {}"]).replace("{}", n())))
+# question after the selector, reference, answer; accuracy, instruction, kind
+CHOICES = [
+    ("Pick one from ['Red', 'Green', 'Yellow'].", "Red", "Red", 1.0, 1, "choice"),
+    ("Pick one from ['Red', 'Green', 'Yellow'].", "Red", "The light is red.", 1.0, 0, "choice"),
+    ("Pick one from ['Red', 'Green', 'Yellow'].", "Red", "Red or Green", 0.0, 0, "choice"),  # another option is there too
+    ("Pick one from ['Red', 'Green', 'Yellow'].", "Blue", "it is blue", 0.0, 0, "choice"),  # holds the reference, which is no option
+    ("Pick one from ['Red', 'Green', 'Yellow'].", "Blue", "BLUE", 1.0, 0, "choice"),  # equal, option or not
+    ("Pick one from ['Red', 'Green', 'Yellow'].", "Red", "['Red', 'Green']", 0.0, 0, "choice"),  # two options quoted: no single answer
+    ("Pick one from ['Red', 'Red', 'Green'].", "Red", "so red", 0.0, 0, "choice"),  # listed twice: the other one is in the answer
+    ("Pick one from ['Red', 'Dark red'].", "Red", "dark red", 0.0, 1, "choice"),
+    ("Pick one from ['Red', 'Dark red'].", "Dark red", "dark red", 1.0, 1, "choice"),
+    ("Pick one from ['', 'Red'].", "Red", "so red", 0.0, 0, "choice"),  # an empty option lies in every answer
+    ("Pick one from [Red, Green].", "Green", "a green one", 1.0, 0, "choice"),  # without quotes
+    ("First [a, b]; then ['Red', 'Green'].", "Red", "so red", 1.0, 0, "choice"),  # the last list counts
+    ("No list here.", "Red", "so red", 0.0, 0, "choice"),
+    ("Pick one from ['Red', 'Green'].", "Red", "", 0.0, 1, "choice"),  # nothing lies in every question
+    ("Pick one from ['Red', 'Green'].", "Red", "Green? The correct answer is: *Red*.\n", 1.0, 1, "choice"),
+    ("Pick one from ['Red', 'Green'].", "Red", "correct answer is: red, correct answer is: green", 0.0, 1, "choice"),  # the last marker counts
+    ("Pick one from ['Red', 'Green'].", "Red", '("Red")', 1.0, 1, "choice"),
+    ("Is it so? ['True', 'False']", "True", "true", 1.0, 1, "boolean"),
+    ("Is it so? ['True', 'False']", "FALSE", "true", 0.0, 1, "boolean"),
+]
+
+
+def test_choices(spark):
+    m = M.choice_mark(F.concat(F.lit("x.png;"), F.col("q")), F.col("ref"), F.col("answer"))
+    got = answers_of(spark, [c[:3] for c in CHOICES], "q string, ref string, answer string", a=m["accuracy"], i=m["instruction"], k=m["kind"])
+    assert got == [c[3:] for c in CHOICES]
+
+
+# reference, answer; accuracy, instruction
+RELATIONS = [
+    ("3", "3", 1.0, 1), ("3", "4", 0.0, 1), ("1/2", "1", 0.5, 1), ("1/2", "2/1", 1.0, 1), ("1/2", "1/3", 0.0, 1), ("2", "2/2/2", 3.0, 1), ("1/1", "1", 0.5, 1),
+    ("3", "sign 7 and then 3", 1.0, 1), ("3", "no number", 0.0, 0), ("-1", "-1", 1.0, 1), ("3", "-3", 0.0, 1),
+    ("3", "It corresponds to No.3.", 1.0, 0), ("3/4", "corresponds to No.3/4", 0.5, 0), ("3", "it corresponds to 3", 0.0, 0), ("3", "corresponds to No 3", 1.0, 0),
+    ("3/4", "The lane corresponding to it is 3/4 I think", 1.0, 0), ("3", "corresponding to that: 3", 0.0, 0), ("5", "corresponding to this is 4, and that is 5", 1.0, 0), ("3", "corresponding to it\nis 3", 0.0, 0),
+]
+
+
+def test_relations(spark):
     m = M.relation_mark(F.col("ref"), F.col("answer"))
-    got = answers_of(spark, rows, "ref string, answer string", a=m["accuracy"], i=m["instruction"])
-    for g, r in zip(got, rows):
-        want = spec.relation(*r)
-        assert g[1] == want[1] and g[0] == pytest.approx(want[0]), r
-
-
-def test_box_against_plain_python(spark):
-    rows = []
-    for _ in range(800):
-        ref = [float(rng.randint(0, 60)) for _ in range(4)]
-        side = lambda: rng.choice([str(rng.randint(0, 60)), f"{rng.random():.2f}", f"x={rng.randint(0, 60)}", "1.2.3", f"-{rng.randint(0, 9)}"])
-        one = lambda: "[" + ", ".join(side() for _ in range(4)) + "]"
-        rows.append((ref, rng.choice([one(), "at " + one(), one() + one(), "none"])))
+    got = answers_of(spark, [c[:2] for c in RELATIONS], "ref string, answer string", a=m["accuracy"], i=m["instruction"])
+    for (a, i), c in zip(got, RELATIONS):
+        assert a == pytest.approx(c[2]) and i == c[3], c
+
+
+# reference, answer; accuracy, instruction, overlap
+BOXES = [
+    ([10, 10, 109, 109], "[10, 10, 109, 109]", 1.0, 1, 1.0),
+    ([0, 0, 9, 9], "at [0, 0, 9, 4].", 0.0, 1, 0.5),  # half is not more than half
+    ([0, 0, 9, 9], "[0,0,9,5]", 1.0, 1, 0.6),
+    ([0, 0, 9, 9], "[20, 20, 29, 29]", 0.0, 1, 0.0),
+    ([0, 0, 9, 9], "[9, 9, 18, 18]", 0.0, 1, 1 / 199),  # both edges count
+    ([0, 0, 9, 9], "[0, 0, 9, 9] and [1, 1, 2, 2]", 0.0, 0, 1 / 100),  # two boxes: four zeros, which cover one pixel
+    ([5, 5, 9, 9], "none", 0.0, 0, 0.0),
+    ([100, 200, 300, 400], "[0.1, 0.2, 0.3, 0.4]", 1.0, 1, 1.0),  # fractions of the grid
+    ([0, 0, 9, 9], "[-0, 0, -9, 9]", 1.0, 1, 1.0),  # signs are lost
+    ([0, 0, 9, 9], "[x=0, y=0, x=9, y=9.9]", 1.0, 1, 1.0),  # and what is behind the point
+    ([0, 0, 19, 9], "[x1=0, 0, x1=9, 9]", 0.0, 1, 0.5),  # the digit of a name stays: 10 to 19
+    ([0, 0, 9, 9], "[1.2.3, 0, 9, 9]", None, 1, None),
+    ([9, 9, 0, 0], "[9, 9, 0, 0]", 0.0, 1, 0.0),
+    ([1, 0, 0, 5], "[1, 0, 0, 5]", None, 1, None),  # no area at all
+]
+
+
+def test_boxes(spark):
     m = M.box_mark(F.col("ref"), F.col("answer"))
-    got = answers_of(spark, rows, "ref array<double>, answer string", a=m["accuracy"], i=m["instruction"], o=m["other"])
-    assert got == [spec.box(*r) for r in rows]
+    got = answers_of(spark, [([float(v) for v in c[0]], c[1]) for c in BOXES], "ref array<double>, answer string", a=m["accuracy"], i=m["instruction"], o=m["other"])
+    for (a, i, o), c in zip(got, BOXES):
+        assert (a, i) == c[2:4] and (o is None if c[4] is None else math.isclose(o, c[4], abs_tol=1e-12)), c
+
+
+def test_each_pattern_is_read_once(spark):
+    df = spark.createDataFrame([([1.0] * 4, "[1, 1, 2, 2]")], "ref array<double>, answer string").withColumn("m", M.box_mark(F.col("ref"), F.col("answer")))
+    plan = df.select("m.accuracy", "m.instruction", "m.other")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") <= 3
+    df = spark.createDataFrame([("1", "1")], "ref string, answer string").withColumn("m", M.relation_mark(F.col("ref"), F.col("answer")))
+    assert df.select("m.accuracy", "m.instruction")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") <= 6
 
 
-def test_speed_and_judge(spark):
+def test_speed(spark):
     s = M.speed_mark(F.col("ref"), F.col("answer"))
     rows = [("[0, 80]", "[0, 50]"), ("[0, 80]", "[0,80]"), ("[0, 80]", "[00, 80]"), ("[0, 80]", "[0, 80] [1, 2]"), ("[0, 80]", "none")]
     assert answers_of(spark, rows, "ref string, answer string", a=s["accuracy"], i=s["instruction"]) == [(0.5, 1), (1.0, 1), (0.5, 1), (0.0, 0), (0.0, 0)]
+
+
+def test_judgments_and_descriptions(spark):
     j = M.judge_mark(F.lit("image;Is it? ['yes', 'no', 'car']"), F.col("ref"), F.col("answer"))
-    rows = [("yes", "Yes."), ("No", "yes"), ("car", "A car")]
-    assert answers_of(spark, rows, "ref string, answer string", a=j["accuracy"], o=j["other"], k=j["kind"]) == [(1.0, 1.0, "judgment"), (0.0, 0.0, "judgment"), (1.0, None, "description")]
+    rows = [("yes", "Yes."), ("No", "yes"), ("car", "A car"), ("(No.)", "no; "), ("yes", "maybe")]
+    got = answers_of(spark, rows, "ref string, answer string", a=j["accuracy"], i=j["instruction"], o=j["other"], k=j["kind"])
+    assert got == [(1.0, 1, 1.0, "judgment"), (0.0, 1, 0.0, "judgment"), (1.0, 0, None, "description"), (1.0, 1, 1.0, "judgment"), (0.0, 0, 0.0, "judgment")]
+
+
+def test_a_box_question_is_known_by_its_text_and_not_by_its_selector(spark):
+    rows = [("x.png;Where is it Located in the IMAGE?",), ("located in the image?;Which one?",), ("x.png;Which one?",)]
+    assert [r[0] for r in answers_of(spark, rows, "raw string", b=M.is_box_question(F.col("raw")))] == [True, False, False]
 
 
 def test_grid_reading(spark):
@@ -76,8 +126,30 @@ def test_rescale_by_model(spark):
 
 
 def test_text_steps(spark):
-    df = spark.createDataFrame([("  [key];Is it; so?", "  x \n", "a" * 64)], "raw string, padded string, long string")
+    df = spark.createDataFrame([("  [key];Is it; so?", "  x \n", "a" * 64)], "raw string, padded string, long string")
     r = df.select(T.question_text(F.col("raw")), T.is_sequence(F.col("raw")), T.prompt(F.col("raw"), F.lit("Y")), T.squish(F.col("padded")), T.degenerate(F.col("long")), T.frame_url("http://h", F.lit("a b"), F.lit("c/é.jpg"))).first()
     assert tuple(r) == ("is it so?", True, "The sequence is from Y. Is it; so?", "x", True, "http://h/a%20b/c/%C3%A9.jpg")
     blanks = spark.createDataFrame([("",), (" \t",), (None,), ("x",)], "a string").select(T.blank(F.col("a"))).collect()
     assert [r[0] for r in blanks] == [True, True, True, False]
+    assert spark.range(1).select(T.humanize(F.lit("Key_Obsturction_Bahavior"))).first()[0] == "Key Obstruction Behavior"
+
+
+def test_numbers_as_text(spark):
+    values = [0.0, 1.0, 0.1, 1e7, 123456789.125, 1e15, 1e16, 1.5e300, 1e-4, 0.00012345, 1e-5, -2.5e-7, 3e22]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(T.number_text(F.col("v"))).collect()
+    assert [r[0] for r in got] == [repr(v) for v in values]
+    tokens = [('"No. 3"', "No. 3"), ("3", "3"), ("007", "007"), ("2.50", "2.5"), ("1e3", "1000.0"), ("true", "True"), ("false", "False"), ('"a\\"b"', 'a"b')]
+    got = spark.createDataFrame([(t,) for t, _ in tokens], "t string").select(T.answer_text(F.col("t"))).collect()
+    assert [r[0] for r in got] == [w for _, w in tokens]
+
+
+def test_two_decimals_of_the_exact_value(spark):
+    cases = [(59.125, "59.13"), (56.375, "56.38"), (1.005, "1.00"), (1.115, "1.11"), (0.125, "0.13"), (2.5, "2.50"), (99.995, "100.00"), (0.015, "0.01"), (1.255, "1.25"), (8.345, "8.35"), (0.0, "0.00"), (-0.125, "-0.13"), (71.0, "71.00"), (1e-9, "0.00"), (123456.789, "123456.79")]
+    got = spark.createDataFrame([(v,) for v, _ in cases], "v double").select(T.two_decimals(F.col("v"))).collect()
+    assert [r[0] for r in got] == [w for _, w in cases]
+
+
+def test_text_of_chat_content(spark):
+    cases = [('"plain"', "plain"), ('[{"type":"text","text":"a"},{"type":"image_url"},{"type":"text","text":"b"}]', "ab"), ("[]", ""), ("null", None), (None, None)]
+    got = spark.createDataFrame([(c,) for c, _ in cases], "c string").select(T.message_text(F.col("c"))).collect()
+    assert [r[0] for r in got] == [w for _, w in cases]
