@@ -46,8 +46,7 @@ def choice_mark(raw_question: Column, reference: Column, answer: Column) -> Colu
 
 
 def judge_mark(raw_question: Column, reference: Column, answer: Column) -> Column:
-    ref = T.clean(F.lower(reference))
-    yes_no = ref.isin("yes", "no")
+    ref, yes_no = T.clean(F.lower(reference)), is_judgment(reference)
 
     def made(q: Column, cleaned: Column, tips: Column) -> Column:
         told = T.single(cleaned) & F.contains(q, F.replace(cleaned, F.lit(";"), F.lit("")))
@@ -57,6 +56,11 @@ def judge_mark(raw_question: Column, reference: Column, answer: Column) -> Colum
     return _with_question(raw_question, answer, made)
 
 
+def is_judgment(reference: Column) -> Column:
+    """Whether a judging task's reference is yes or no; else it describes."""
+    return T.clean(F.lower(reference)).isin("yes", "no")
+
+
 def _with_question(raw_question: Column, answer: Column, made) -> Column:
     """made(question text, cleaned answer, options of the question), each of them computed once."""
     cleaned = T.clean(F.lower(T.remove_symbols(answer)))

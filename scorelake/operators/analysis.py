@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import marking, scores
 
 
 def with_partners(excluded: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Excluded questions and their partners half a sample away.
+    """Excluded questions and, in paired families, their partners half a sample away (none in a sample of odd size).
 
-    excluded: sample, position (from 0).  sizes: sample, n.
+    excluded: task, sample, position (from 0).  sizes: task, family, sample, n.
     """
-    rows = excluded.join(sizes, "sample")
+    rows = excluded.join(sizes, ["task", "sample"])
     half = F.floor(F.col("n") / 2)
-    partner = F.when(F.col("position") < half, F.col("position") + half).when(F.col("position") < 2 * half, F.col("position") - half)
-    return rows.select("sample", F.explode(F.array_compact(F.array(F.col("position"), partner.cast("bigint")))).alias("position")).distinct()
+    partner = F.when(F.col("family").isin(*marking.PAIRED) & (F.col("n") % 2 == 0), F.when(F.col("position") < half, F.col("position") + half).otherwise(F.col("position") - half))
+    return rows.select("task", "sample", F.explode(F.array_compact(F.array(F.col("position"), partner.cast("bigint")))).alias("position")).distinct()
 
 
 def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,7 +93,7 @@ def published_check(rows: DataFrame, by: list[str], slack: float = 0.1) -> DataF
         F.max(F.when(F.col("aggregate"), F.col("score"))).alias("published"),
         F.try_divide(F.sum(F.when(~F.col("aggregate"), F.col("score") * F.col("n"))), F.sum(F.when(~F.col("aggregate"), F.col("n")))).alias("recomputed"),
     )
-    return out.where("published is not null and recomputed is not null").withColumn("agrees", F.abs(F.col("published") - F.col("recomputed")) <= slack)
+    return out.where("published is not null and recomputed is not null").withColumn("agrees", F.round(F.abs(F.col("published") - F.col("recomputed")), 6) <= slack)
 
 
 def first_seen(rows: DataFrame, value: str, order: str) -> DataFrame:
@@ -100,9 +101,19 @@ def first_seen(rows: DataFrame, value: str, order: str) -> DataFrame:
     return rows.groupBy(value).agg(F.min(order).alias("first"))
 
 
-def what_if(marked: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, kept, accuracy, instruction, other over the questions that stay; kept is the weight of a total."""
-    left = without(marked, gone, ["sample", "position"])
-    return left.groupBy(*keys).agg(F.count("*").alias("kept"), F.avg("accuracy").alias("accuracy"), F.avg("instruction").alias("instruction"), F.coalesce(F.avg("other"), F.lit(0.0)).alias("other"))
+def what_if(marked: DataFrame, gone: DataFrame, weights: DataFrame) -> DataFrame:
+    """model_id, task, score, n over the questions that stay: missing kinds and overlaps count 0, and n is the weight in a total.
+
+    marked: model_id, task, family, sample, position and the marks.  gone: task, sample, position.
+    """
+    parts = marking.components(without(marked, gone, ["task", "sample", "position"]), ["model_id", "task"], lenient=True)
+    parts = scores.with_weights(parts, weights)
+    made = scores.composite(F.col("other"), F.col("accuracy"), F.col("instruction"), F.col("w_other"), F.col("w_accuracy"), F.col("w_instruction"))
+    return parts.select("model_id", "task", made.alias("score"), F.col("questions").alias("n"))
 
 
+def what_if_totals(task_scores: DataFrame, changed: DataFrame) -> DataFrame:
+    """model_id, total, questions with score and weight of the changed tasks in place of their own; tasks that had no score stay out."""
+    new = changed.select("model_id", "task", F.col("score").alias("_score"), F.col("n").alias("_n"))
+    rows = task_scores.where("score is not null").join(new, ["model_id", "task"], "left")
+    return scores.totals(rows.select("model_id", "task", F.coalesce("_score", "score").alias("score"), F.coalesce("_n", "n").alias("n")))

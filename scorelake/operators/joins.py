@@ -54,3 +54,17 @@ def missing_from(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def by_position(items: DataFrame, requests: DataFrame) -> DataFrame:
     """Items and requests of the same sample and question; positions are columns, never the order of rows."""
     return items.join(requests, ["task", "sample_index", "question_index"], "full").withColumn("matched", items["item"].isNotNull() & requests["request"].isNotNull())
+
+
+def billed_clips(answers: DataFrame, shapes: DataFrame, text_tokens: int = 110, least: int = 20) -> DataFrame:
+    """model_id, frames, width, height, n, billed: the median of prompt tokens without the text's, for shapes of at least ``least`` answers.
+
+    answers: model_id, id, prompt_tokens.  shapes: id, frames, width, height.
+    """
+    rows = answers.join(shapes, "id").withColumn("tokens", F.col("prompt_tokens") - text_tokens)
+    return rows.groupBy("model_id", "frames", "width", "height").agg(F.count("tokens").alias("n"), F.median("tokens").alias("billed")).where(F.col("n") >= least)
+
+
+def priced(models: DataFrame, prices: DataFrame) -> DataFrame:
+    """All models with the list prices of their provider model, null where it is not listed.  models: model_id, slug.  prices: slug and prices."""
+    return models.join(F.broadcast(prices), "slug", "left")  # a row for each listed model

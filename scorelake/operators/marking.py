@@ -32,17 +32,20 @@ def mark_answers(answers: DataFrame, families: DataFrame) -> DataFrame:
 def pair_halves(rows: DataFrame, keys: list[str], position: str, accuracy: str, name: str = "pair") -> DataFrame:
     """Adds pair: on the second half of a sample, whether it is right with its first half or better than it.
 
-    The partner is n div 2 positions before.  A sample's rows meet in one window partition, which its questions bound; an odd last
-    row has no partner.
+    The partner is n div 2 positions before; an odd last row has none.  A sample's rows meet in one array, which its questions
+    bound, so each row finds its partner by place.  Columns must be of types that have an order (no maps).
     """
-    whole, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(position)
-    half = F.floor(F.count("*").over(whole) / 2)
-    at = F.row_number().over(order) - 1
-    held = rows.withColumn("_half", half).withColumn("_at", at).withColumn("_all", F.collect_list(accuracy).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    first = F.get(F.col("_all"), (F.col("_at") - F.col("_half")).cast("int"))
-    second = F.col(accuracy)
-    pair = ((second == 1) & (first == 1)) | (second > first)
-    return held.withColumn(name, F.when((F.col("_at") >= F.col("_half")) & (F.col("_at") < 2 * F.col("_half")), pair.cast("int"))).drop("_half", "_at", "_all")
+    rest = [c for c in rows.columns if c not in keys]
+    sample = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.struct(*rest).alias("r")))).alias("_all"))
+    half = F.floor(F.size("_all") / 2).cast("int")
+
+    def paired(x: Column, i: Column) -> Column:
+        first, second = F.get(F.col("_all"), i - half)["r"][accuracy], x["r"][accuracy]
+        pair = ((second == 1) & (first == 1)) | (second > first)
+        return F.struct(x["r"].alias("r"), F.when((i >= half) & (i < 2 * half), pair.cast("int")).alias("pair"))
+
+    out = sample.select(*keys, F.explode(F.transform("_all", paired)).alias("_one"))
+    return out.select(*[F.col(c) if c in keys else F.col(f"_one.r.`{c}`").alias(c) for c in rows.columns], F.col("_one.pair").alias(name))
 
 
 def released_pairs(rows: DataFrame, keys: list[str], position: str, accuracy: str) -> DataFrame:
@@ -54,45 +57,61 @@ def released_pairs(rows: DataFrame, keys: list[str], position: str, accuracy: st
     return out.select(*keys, F.when(half > 0, F.aggregate(flags, F.lit(0), lambda z, v: z + v)).otherwise(0).alias("pairs"))
 
 
-def components(marked: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean accuracy, instruction and the family's other part.
+def components(marked: DataFrame, keys: list[str], lenient: bool = False) -> DataFrame:
+    """Mean accuracy, instruction and the family's other part, with malformed (marks without a number) and questions.
 
     marked: keys, family, accuracy, instruction, other, kind, pair.  Judging tasks take the
     accuracy of descriptions (0 without any) and as other that of judgments (null without
     any: undefined); paired families twice the share of pairs; grounding the mean overlap of boxes.
+    ``lenient`` takes missing kinds and missing overlaps as 0.
     """
     judge, paired = F.col("family") == "judge", F.col("family").isin(*PAIRED)
-    of = lambda kind, c: F.avg(F.when(F.col("kind") == kind, F.col(c)))
+    of = lambda kind, c: F.avg(F.when(F.col("kind") == kind, c))
+    other = F.coalesce("other", F.lit(0.0)) if lenient else F.col("other")
+    made = F.when(judge, of("judgment", F.col("accuracy"))).when(paired, 2 * F.sum(F.coalesce("pair", F.lit(0))) / F.count("*")).when(F.col("family") == "grounding", of("box", other)).otherwise(0.0)
     return marked.groupBy(*keys, "family").agg(
-        F.when(judge, F.coalesce(of("description", "accuracy"), F.lit(0.0))).otherwise(F.avg("accuracy")).alias("accuracy"),
+        F.when(judge, F.coalesce(of("description", F.col("accuracy")), F.lit(0.0))).otherwise(F.avg("accuracy")).alias("accuracy"),
         F.avg("instruction").alias("instruction"),
-        F.when(judge, of("judgment", "accuracy")).when(paired, 2 * F.sum(F.coalesce("pair", F.lit(0))) / F.count("*")).when(F.col("family") == "grounding", of("box", "other")).otherwise(0.0).alias("other"),
+        (F.coalesce(made, F.lit(0.0)) if lenient else made).alias("other"),
+        F.count_if(F.col("accuracy").isNull()).alias("malformed"),
         F.count("*").alias("questions"),
     )
 
 
 def denominators(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Samples and questions expected, received and scored, and questions of each kind.
+    """Samples and questions expected, received and scored, questions of each kind, and pairs that are compared.
 
-    rows: keys, sample_index, answered, eligible, kind.
+    rows: keys, sample_index, family, answered, eligible (alike in a sample), kind.  Samples are summed up first, so that nothing is counted by distinct values.
     """
-    kinds = [F.count_if(F.col("eligible") & (F.col("kind") == k)).alias(k) for k in ("box", "judgment", "description")]
-    return rows.groupBy(*keys).agg(
-        F.count_distinct("sample_index").alias("samples_expected"), F.count("*").alias("questions_expected"), F.count_if("answered").alias("questions_received"),
-        F.count_distinct(F.when(F.col("eligible"), F.col("sample_index"))).alias("samples_scored"), F.count_if("eligible").alias("questions_scored"), *kinds,
+    kinds = ("box", "judgment", "description")
+    half = F.when(F.any_value("family").isin(*PAIRED), F.floor(F.count("*") / 2)).otherwise(0)
+    sample = rows.groupBy(*keys, "sample_index").agg(
+        F.count("*").alias("n"), F.count_if("answered").alias("received"), F.bool_and("eligible").alias("ok"), half.alias("pairs"), *[F.count_if(F.col("kind") == k).alias(k) for k in kinds]
+    )
+    scored = lambda c: F.coalesce(F.sum(F.when(F.col("ok"), F.col(c))), F.lit(0))
+    return sample.groupBy(*keys).agg(
+        F.count("*").alias("samples_expected"), F.sum("n").alias("questions_expected"), F.sum("received").alias("questions_received"),
+        F.count_if("ok").alias("samples_scored"), scored("n").alias("questions_scored"), *[scored(k).alias(k) for k in kinds], scored("pairs").alias("comparison_pairs"),
     )
 
 
 def eligible_samples(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, eligible, reason: a sample counts only if all its questions are answered and it has no error.
+    """keys, questions, eligible, reason, errors: a sample counts only if all its questions are answered and it has no error.
 
-    rows: keys, answer, error (null if valid).
+    rows: keys, answer, error (null if valid).  errors: the distinct ones in the order of their text, joined by '; ' (null without any).
     """
     answered = F.bool_and(~T.blank(F.col("answer")))
-    return rows.groupBy(*keys).agg(answered.alias("_all"), F.count("error").alias("_errors"), F.count("*").alias("questions")).select(
-        *keys, "questions", (F.col("_all") & (F.col("_errors") == 0)).alias("eligible"),
-        F.when(F.col("_errors") > 0, "invalid_sample").when(~F.col("_all"), "incomplete_sample").alias("reason"),
-    )
+    found = rows.groupBy(*keys).agg(answered.alias("_all"), F.sort_array(F.collect_set("error")).alias("_errors"), F.count("*").alias("questions"))
+    bad = F.size("_errors") > 0
+    return found.select(
+        *keys, "questions", (F.col("_all") & ~bad).alias("eligible"), F.when(bad, "invalid_sample").when(~F.col("_all"), "incomplete_sample").alias("reason"), F.when(bad, F.concat_ws("; ", "_errors")).alias("errors")
+    )
+
+
+def with_eligible(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds eligible to the rows themselves, by one window of a sample; the same rule."""
+    of = Window.partitionBy(*keys)
+    return rows.withColumn("eligible", F.bool_and(~T.blank(F.col("answer"))).over(of) & (F.count("error").over(of) == 0))
 
 
 def task_status(parts: DataFrame) -> DataFrame:

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import marking, scores
+from ..functions import marks, text
+from ..operators import exports, marking, scores
 from . import dims
 
 
 class Evaluation:
-    """answers: model_id, task, sample_index, question_index, raw_question, reference, reference_box, answer."""
+    """answers: model_id, task, sample_index, question_index, raw_question, reference, reference_box, answer, and
+    error (what is wrong with the sample) where that was found before; bad references are found here."""
+
+    KEYS = ["model_id", "task", "sample_index"]
 
     def __init__(self, answers: DataFrame, weights: DataFrame | None = None, families: DataFrame | None = None) -> None:
         spark = answers.sparkSession
@@ -18,18 +22,26 @@ class Evaluation:
         self.weights = weights if weights is not None else dims.task_weights(spark)
         self.families = families if families is not None else dims.task_families(spark)
 
+    def checked(self) -> DataFrame:
+        """Answers with family, error and eligible."""
+        rows = self.answers.join(F.broadcast(self.families), "task", "left")  # one row a task
+        bad = exports.reference_errors(F.col("family"), marks.is_box_question(F.col("raw_question")), F.col("reference"), F.col("reference_box"))
+        before = F.col("error") if "error" in self.answers.columns else F.lit(None).cast("string")
+        return marking.with_eligible(rows.withColumn("error", F.coalesce(before, bad)), self.KEYS)
+
     def marks(self) -> DataFrame:
-        """Answers of complete samples with their marks and pairs."""
-        keys = ["model_id", "task", "sample_index"]
-        rows = self.answers.withColumn("error", F.lit(None).cast("string"))
-        good = marking.eligible_samples(rows, keys).where("eligible").select(*keys)
-        marked = marking.mark_answers(self.answers.join(good, keys, "left_semi"), self.families)
-        flat = marked.select(*self.answers.columns, "family", "mark.*")
-        return marking.pair_halves(flat, keys, "question_index", "accuracy")
+        """Answers of complete, valid samples with their marks and pairs."""
+        rows = self.checked().where("eligible").drop("eligible", "error")
+        made = marks.mark(F.col("family"), F.col("raw_question"), F.col("reference"), F.col("reference_box"), F.col("answer"))
+        flat = rows.withColumn("mark", made).select(*rows.columns, "mark.*")
+        return marking.pair_halves(flat, self.KEYS, "question_index", "accuracy")
+
+    def denominators(self) -> DataFrame:
+        kind = F.when((F.col("family") == "grounding") & marks.is_box_question(F.col("raw_question")), "box").when(F.col("family") == "judge", F.when(marks.is_judgment(F.col("reference")), "judgment").otherwise("description"))
+        return marking.denominators(self.checked().withColumn("answered", ~text.blank(F.col("answer"))).withColumn("kind", kind), ["model_id", "task"])
 
     def components(self) -> DataFrame:
-        bad = self.marks().groupBy("model_id", "task").agg(F.count_if(F.col("accuracy").isNull()).alias("malformed"))
-        return marking.components(self.marks(), ["model_id", "task"]).join(bad, ["model_id", "task"])
+        return marking.components(self.marks(), ["model_id", "task"])
 
     def task_scores(self) -> DataFrame:
         return marking.task_status(scores.with_weights(self.components(), self.weights)).withColumn("n", F.col("questions"))

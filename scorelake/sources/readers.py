@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import identity
+
 JOURNAL = """
 id string, task string, sample_index int, question_index int, protocol_sha256 string, answer string, finish_reason string,
 usage struct<prompt_tokens: bigint, completion_tokens: bigint, cost: double,
@@ -21,7 +23,7 @@ SAMPLE = "id string, country string, questions array<string>, reference array<st
 
 
 def journal(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines with model_id and task taken from <model>/<task>.jsonl, and the file.
+    """JSON lines of <model>/<task>.jsonl: model_id is taken from the folder, task from the records; adds the file.
 
     Lines that are no JSON object are dropped; a path without files gives no rows.
     """
@@ -58,7 +60,7 @@ def sample_errors() -> Column:
         F.when(F.exists("questions", lambda q: F.startswith(F.trim(q), F.lit("["))) & F.col("sequence").isNull(), "a sequence without a folder"),
         F.when(F.col("dimension").isNotNull() & ((F.size("dimension") != 2) | F.exists("dimension", lambda d: d <= 0)), "bad dimension"),
     ]
-    found = F.array_compact(F.array(*checks))
+    found = F.array_distinct(F.array_compact(F.array(*checks)))
     return F.when(F.size(found) > 0, F.concat_ws("; ", found))
 
 
@@ -84,14 +86,65 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def spec(text: str, keys: set[str]) -> dict:
-    """A protocol spec with exactly the keys that are allowed."""
+def mismatches(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """name, expected, sha256 (null if the file is missing) of files that are not as expected.  found: path, sha256.  expected: name, sha256."""
+    own = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
+    return expected.select("name", F.col("sha256").alias("expected")).join(own, "name", "left").where(~F.col("expected").eqNullSafe(F.col("sha256")))
+
+
+def spec(text: str, keys: set[str], checks: dict | None = None) -> dict:
+    """A protocol spec with exactly the keys that are allowed, whose values pass the checks given for them."""
     found = json.loads(text)
     if set(found) != keys:
         raise ValueError(f"spec keys: missing {sorted(keys - set(found))}, unknown {sorted(set(found) - keys)}")
+    if bad := sorted(k for k, check in (checks or {}).items() if not check(found[k])):
+        raise ValueError(f"spec values: {bad}")
     return found
 
 
+def record(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One JSON document as a row; a missing file is an error."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+REGISTRY = "map<string, map<string, string>>"
+# What a registry entry must and may have.
+REQUIRED = ("box_convention", "color", "featured", "lab", "label", "parameters", "size_rank")
+OPTIONAL = ("not_featured_reason",)
+CONVENTIONS = ("grid", "grid_yx", "pixels")
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """model_id, the fields of its entry, and error (null if valid), from a JSON object of entries by model id."""
+    entries = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", REGISTRY)).alias("model_id", "entry"))
+    e, keys = F.col("entry"), F.map_keys("entry")
+    names = lambda found, what: F.when(F.size(found) > 0, F.concat(F.lit(f"{what} "), F.array_join(F.sort_array(found), ", ")))
+    flag, whole = e["featured"].isin("true", "false"), F.rlike(e["size_rank"], F.lit(r"^-?\d+$"))
+    checks = [
+        names(F.array_except(F.array(*map(F.lit, REQUIRED)), keys), "missing"), names(F.array_except(keys, F.array(*map(F.lit, REQUIRED + OPTIONAL))), "unknown"),
+        F.when(~e["box_convention"].isin(*CONVENTIONS), "bad box_convention"), F.when(~identity.is_colour(e["color"]), "bad color"), F.when(~(flag & whole), "bad size_rank or featured"),
+        F.when((e["featured"] == "false") & (F.coalesce(e["not_featured_reason"], F.lit("")) == ""), "no not_featured_reason"),
+    ]
+    found = F.array_compact(F.array(*checks))
+    return entries.select(
+        "model_id", *[e[k].alias(k) for k in ("label", "lab", "parameters", "box_convention", "color", "not_featured_reason")], e["size_rank"].try_cast("int").alias("size_rank"), e["featured"].try_cast("boolean").alias("featured"),
+        F.when(F.size(found) > 0, F.concat_ws("; ", found)).alias("error"),
+    )
+
+
+def prices(spark: SparkSession, path: str) -> DataFrame:
+    """slug and list prices of one token from a saved price list; of a slug listed twice the later entry."""
+    listed = "array<struct<id: string, pricing: struct<prompt: string, completion: string, input_cache_write: string, input_cache_read: string>>>"
+    rows = spark.read.schema(f"data {listed}").option("multiLine", True).json(path).select(F.posexplode("data").alias("at", "m"))
+    last = rows.groupBy(F.col("m.id").alias("slug")).agg(F.max_by("m.pricing", "at").alias("p"))
+    return last.select("slug", *[F.col(f"p.{k}").cast("double").alias(k) for k in ("prompt", "completion", "input_cache_write", "input_cache_read")])
+
+
+def task_answers(spark: SparkSession, path: str, task: str) -> DataFrame:
+    """The answers of one task from a table partitioned by task: only its folder is read."""
+    return spark.read.parquet(path).where(F.col("task") == task)
+
+
 def frame_dimensions(spark: SparkSession, path: str) -> DataFrame:
     """url, width, height from receipts that list frames; of a url seen twice the later file's."""
     frames = "array<struct<url: string, width: int, height: int>>"

@@ -1,12 +1,14 @@
 """The answer journal as a stream: an extension, as the journal is append-only files.
 
-Files of JSON lines arrive in a folder; records are deduplicated by id within a watermark
-and joined against the questions.  Late answers are refused by the completeness check, not
-dropped here.
+Files of JSON lines arrive in a folder.  However late a record arrives it is taken: no operator
+here has a watermark that would drop it.  Ids seen before are found by a join with the stored
+table in each batch, and the counts by task and time window keep one row for each window, in a
+state that grows with time and tasks only.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,17 +20,11 @@ def read(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
     return spark.readStream.schema(JOURNAL).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", files).json(path).where("id is not null")
 
 
-def once(answers: DataFrame, late: str = "7 days") -> DataFrame:
-    """One record an id; state of ids older than the watermark is let go."""
-    return answers.withWatermark("timestamp", late).dropDuplicatesWithinWatermark(["id"])
-
-
-def progress(answers: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+def progress(answers: DataFrame, window: str = "5 minutes") -> DataFrame:
     """Answers, cost and cut-off answers by task and time window."""
     cut = F.lower(F.coalesce("finish_reason", F.lit(""))).isin("length", "max_tokens")
     return (
-        answers.withWatermark("timestamp", late)
-        .groupBy(F.window("timestamp", window), "task")
+        answers.groupBy(F.window("timestamp", window), "task")
         .agg(F.count("*").alias("answers"), F.sum("usage.cost").alias("cost"), F.count_if(cut).alias("cut_off"))
         .select(F.col("window.start").alias("start"), "task", "answers", "cost", "cut_off")
     )
@@ -40,5 +36,23 @@ def known(answers: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def to_parquet(answers: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Appends what is there now, exactly once, and stops."""
-    return answers.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").partitionBy("task").trigger(availableNow=True).start(path)
+    """Appends what is there now, each id once ever, and stops.
+
+    Each batch is a folder of its own (``batch=N``), overwritten if the batch runs again, and joined against the ids of
+    the earlier ones.  Of records of one id in a batch the least by timestamp and answer stays.
+    """
+    spark = answers.sparkSession
+
+    def store(batch: DataFrame, number: int) -> None:
+        try:
+            stored = spark.read.parquet(path).where(F.col("batch") < number).select("id")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            stored = spark.createDataFrame([], "id string")
+        rest = [c for c in batch.columns if c != "id"]
+        first = batch.groupBy("id").agg(F.min(F.struct("timestamp", "answer", *[c for c in rest if c not in ("timestamp", "answer")])).alias("r"))
+        fresh = first.select("id", *[F.col(f"r.{c}").alias(c) for c in rest]).join(stored, "id", "left_anti")
+        fresh.write.mode("overwrite").partitionBy("task").parquet(f"{path}/batch={number}")
+
+    return answers.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

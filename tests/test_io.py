@@ -1,6 +1,8 @@
+import hashlib
 import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from scorelake.sources import readers, writers
@@ -43,7 +45,34 @@ def test_guarded_overwrite_and_record(spark, tmp_path):
     writers.guarded(table(4), path, force=True)
     assert spark.read.parquet(path).first()["answers"] == 4
     with pytest.raises(ValueError):
-        writers.record({"a": float("nan")}, str(tmp_path / "r.json"))
+        writers.record(spark, {"a": float("nan")}, str(tmp_path / "r.json"))
+    writers.record(spark, {"a": 1, "b": "é"}, str(tmp_path / "r.json"))
+    assert json.loads((tmp_path / "r.json").read_text()) == {"a": 1, "b": "é"}
+    assert readers.record(spark, str(tmp_path / "r.json"), "a int, b string").first()["b"] == "é"
+    with pytest.raises(AnalysisException):
+        readers.record(spark, str(tmp_path / "none.json"), "a int")
+
+
+def test_registry_prices_and_checksums(spark, tmp_path):
+    good = {"label": "M", "lab": "L", "parameters": "1B", "size_rank": 1, "featured": True, "box_convention": "grid", "color": "#00ff00"}
+    bad = {**good, "featured": False, "color": "#0F0", "box_convention": "yards", "more": 1}
+    del bad["label"]
+    (tmp_path / "models.json").write_text(json.dumps({"m": good, "n": bad}))
+    got = {r["model_id"]: r for r in readers.registry(spark, str(tmp_path / "models.json")).collect()}
+    assert got["m"]["error"] is None and (got["m"]["size_rank"], got["m"]["featured"], got["m"]["not_featured_reason"]) == (1, True, None)
+    assert got["n"]["error"] == "missing label; unknown more; bad box_convention; bad color; no not_featured_reason"
+    (tmp_path / "prices.json").write_text(json.dumps({"data": [{"id": "a/b", "pricing": {"prompt": "0.1", "completion": "0.2"}}, {"id": "a/b", "pricing": {"prompt": "0.3", "completion": "0.2", "input_cache_read": "0"}}]}))
+    assert tuple(readers.prices(spark, str(tmp_path / "prices.json")).first()) == ("a/b", 0.3, 0.2, None, 0.0)
+    expected = spark.createDataFrame([("prices.json", "0"), ("models.json", hashlib.sha256((tmp_path / "models.json").read_bytes()).hexdigest()), ("gone", "1")], "name string, sha256 string")
+    assert sorted(r["name"] for r in readers.mismatches(readers.checksums(spark, str(tmp_path / "*.json")), expected).collect()) == ["gone", "prices.json"]
+    with pytest.raises(ValueError):
+        readers.spec('{"a": 0}', {"a"}, {"a": lambda v: v > 0})
+
+
+def test_task_answers_read_one_folder(spark, tmp_path):
+    spark.createDataFrame([("A", 1), ("B", 2)], "task string, x int").write.partitionBy("task").parquet(str(tmp_path / "t"))
+    got = readers.task_answers(spark, str(tmp_path / "t"), "B")
+    assert [r["x"] for r in got.collect()] == [2] and "PartitionFilters: [isnotnull(task" in got._jdf.queryExecution().toString()
 
 
 def test_tables_and_documents(spark):
@@ -60,13 +89,14 @@ def test_stream_of_the_journal(spark, tmp_path):
     questions = spark.createDataFrame([("a",), ("b",)], "id string")
 
     def once():
-        rows = stream.known(stream.once(stream.read(spark, str(d))), questions)
+        rows = stream.known(stream.read(spark, str(d)), questions)
         q = stream.to_parquet(rows, str(tmp_path / "out"), str(tmp_path / "cp"))
         q.awaitTermination(120)
         return sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
 
     assert once() == ["a"]
-    (d / "b.jsonl").write_text(line("b", "2024-01-01T00:02:00Z") + "\n" + line("a", "2024-01-01T00:00:00Z"))
+    # records that arrive years late are taken, and ids that are stored are not taken again
+    (d / "b.jsonl").write_text(line("b", "2019-01-01T00:02:00Z") + "\n" + line("a", "2024-01-01T00:00:00Z"))
     assert once() == ["a", "b"]
 
 

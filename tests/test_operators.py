@@ -86,7 +86,8 @@ def test_pairs_and_eligibility(spark):
     assert rows_of(marking.released_pairs(shifted, ["s"], "q", "a")) == [("s", 0)]
     assert rows_of(marking.released_pairs(df, ["s"], "q", "a")) == [("s", 2), ("t", 1)]
     e = spark.createDataFrame([("a", "x", None), ("a", "y", None), ("b", "x", None), ("b", " ", None), ("c", "x", "bad")], "s string, answer string, error string")
-    assert rows_of(marking.eligible_samples(e, ["s"])) == [("a", 2, True, None), ("b", 2, False, "incomplete_sample"), ("c", 1, False, "invalid_sample")]
+    assert rows_of(marking.eligible_samples(e, ["s"])) == [("a", 2, True, None, None), ("b", 2, False, "incomplete_sample", None), ("c", 1, False, "invalid_sample", "bad")]
+    assert rows_of(marking.with_eligible(e, ["s"]).select("s", "eligible").distinct()) == [("a", True), ("b", False), ("c", False)]
 
 
 def test_evaluation_of_hand_made_answers(spark):
@@ -117,9 +118,35 @@ def test_first_of_kind(spark):
 
 
 def test_what_if_partners(spark):
-    sizes = spark.createDataFrame([("s", 5)], "sample string, n int")
-    gone = spark.createDataFrame([("s", 0), ("s", 4)], "sample string, position long")
-    assert rows_of(analysis.with_partners(gone, sizes)) == [("s", 0), ("s", 2), ("s", 4)]
+    sizes = spark.createDataFrame([("T", "speed", "s", 4), ("T", "speed", "odd", 5), ("C", "choice", "s", 4)], "task string, family string, sample string, n int")
+    gone = spark.createDataFrame([("T", "s", 0), ("T", "odd", 0), ("C", "s", 3)], "task string, sample string, position long")
+    assert rows_of(analysis.with_partners(gone, sizes)) == [("C", "s", 3), ("T", "odd", 0), ("T", "s", 0), ("T", "s", 2)]
+
+
+def test_what_if_scores_and_totals(spark):
+    schema = "model_id string, task string, family string, sample int, position long, kind string, accuracy double, instruction int, other double, pair int"
+    rows = [("m", "VRU_Cross", "judge", 0, 0, "judgment", 1.0, 1, 1.0, None), ("m", "VRU_Cross", "judge", 0, 1, "description", 0.0, 1, None, None), ("m", "Weather", "choice", 0, 0, "choice", 1.0, 0, None, None)]
+    gone = spark.createDataFrame([("VRU_Cross", 0, 0), ("Weather", 0, 0)], "task string, sample int, position long")
+    got = analysis.what_if(spark.createDataFrame(rows, schema), gone, dims.task_weights(spark))
+    assert rows_of(got) == [("m", "VRU_Cross", pytest.approx(20.0), 1)]  # no judgment is left: that part is 0; nothing of the other task is
+    before = spark.createDataFrame([("m", "VRU_Cross", 50.0, 2), ("m", "Weather", 80.0, 1), ("m", "Light", None, 5)], "model_id string, task string, score double, n int")
+    assert rows_of(analysis.what_if_totals(before, got)) == [("m", pytest.approx(50.0), 2)]
+
+
+def test_denominators(spark):
+    rows = [("speed", 0, True, True, "choice")] * 3 + [("speed", 1, False, False, "choice")] * 2 + [("judge", 2, True, True, "judgment"), ("judge", 2, True, True, "description")]
+    got = marking.denominators(spark.createDataFrame(rows, "family string, sample_index int, answered boolean, eligible boolean, kind string").withColumn("task", F.col("family")), ["task"])
+    assert rows_of(got) == [("judge", 1, 2, 2, 1, 2, 0, 1, 1, 0), ("speed", 2, 5, 3, 1, 3, 0, 0, 0, 1)]
+
+
+def test_invalid_samples_and_bad_references_are_left_out(spark):
+    schema = "model_id string, task string, sample_index int, question_index int, raw_question string, reference string, reference_box array<double>, answer string, error string"
+    q = "image;what? ['sun', 'rain']"
+    rows = [("m", "Weather", 0, 0, q, "sun", None, "sun", None), ("m", "Weather", 1, 0, q, "sun", None, "rain", "bad"), ("m", "Weather", 2, 0, q, "sun", None, "rain", None), ("m", "Weather", 2, 1, q, " ", None, "rain", None)]
+    run = Evaluation(spark.createDataFrame(rows, schema))
+    assert [(r["score"], r["n"]) for r in run.task_scores().collect()] == [(100.0, 1)]
+    d = run.denominators().first()
+    assert (d["samples_expected"], d["samples_scored"], d["questions_received"], d["questions_scored"]) == (3, 1, 4, 1)
 
 
 def test_label_operators(spark):
@@ -146,6 +173,12 @@ def test_identity(spark):
     df = spark.createDataFrame([('{"b": 1, "a": [1.0, "é"]}',), (None,)], "j string")
     got = [r[0] for r in df.select(identity.canonical_digest(F.col("j"))).collect()]
     assert got == [identity.digest({"a": [1.0, "é"], "b": 1}), None]
+    sample = '{"questions": ["a;b"], "reference": [1.50]}'
+    listed = ["r", "T", 0, 1, identity.digest({"questions": ["a;b"], "reference": [1.5]})]
+    assert spark.range(1).select(identity.question_id(F.lit("r"), F.lit("T"), F.lit(0), F.lit(1), F.lit(sample))).first()[0] == identity.digest(listed)[:24]
+    payload = {"model": "m", "messages": [{"role": "user", "content": [{"type": "image_url", "image_url": {"url": "u/é", "detail": "low"}}, {"type": "text", "text": 'say "x"\n'}]}], "max_tokens": 9, "reasoning": {"effort": "high"}}
+    made = identity.request_digest(F.lit("m"), F.lit('say "x"\n'), F.array(F.lit("u/é")), F.lit(9), F.lit("high"), F.lit("reasoning"), detail="low")
+    assert spark.range(1).select(made).first()[0] == identity.digest(payload)
     pair = spark.createDataFrame([("ab", "c"), ("a", "bc")], "x string, y string").select(identity.short_id(F.col("x"), F.col("y")).alias("i")).distinct().count()
     assert pair == 2
 
@@ -163,9 +196,23 @@ def test_grid_composite(spark):
 def test_reference_errors_and_order(spark):
     from scorelake.operators import exports
 
-    df = spark.createDataFrame([("grounding", "", None), ("grounding", "", [1.0, 1.0, 2.0]), ("grounding", "", [1.0, 1.0, 2.0, 2.0]), ("relation", "1/2/3", None), ("relation", None, None), ("speed", "to [1, 2]", None), ("choice", " ", None)], "f string, t string, b array<double>")
+    df = spark.createDataFrame([("grounding", "", None), ("grounding", "", [1.0, 1.0, 2.0]), ("grounding", "", [1.0, 1.0, 2.0, 2.0]), ("grounding", "", [1.0, 1.0, 2.0, float("inf")]), ("relation", "1/2/3", None), ("relation", None, None), ("speed", "to [1, 2]", None), ("choice", " ", None)], "f string, t string, b array<double>")
     got = [r[0] for r in df.select(exports.reference_errors(F.col("f"), F.col("f") == "grounding", F.col("t"), F.col("b"))).collect()]
-    assert got == ["bad box", "bad box", None, None, "bad relation", None, "empty reference"]
+    assert got == ["bad box", "bad box", None, "bad box", None, "bad relation", None, "empty reference"]
     s = spark.createDataFrame([("g", 1, 2.0), ("g", 2, None), ("g", 3, 2.0), ("h", 4, 9.0)], "g string, at int, v double")
     assert [r["at"] for r in s.orderBy(*exports.by_statistic("v", "g", "at")).collect()] == [3, 1, 2, 4]
     assert [r["at"] for r in s.orderBy(*exports.by_statistic("v", "g", "at", descending=False)).collect()] == [2, 1, 3, 4]
+
+
+def test_filters_and_orders_of_reports(spark):
+    from scorelake.operators import exports
+
+    df = spark.createDataFrame([("a", 1.0, None, True), ("b", None, 2.0, None), ("c", 0.5, 1.0, False)], "model_id string, p95 double, total double, featured boolean")
+    with pytest.raises(ValueError):
+        exports.of_models(df, [])
+    assert [r[0] for r in exports.serving_order(df).collect()] == ["a"] and [r[0] for r in exports.by_cost(df, "p95").collect()] == ["c", "a"]
+    assert [r[0] for r in exports.published_columns(df).collect()] == ["c", "b"] and exports.of_groups(df, [], "model_id").count() == 3
+    paths = [("a/b", True), ("/a", False), ("a/../b", False), ("a\\b", False), ("", False), (".", False), ("..a/b", True), (None, False)]
+    assert [r[0] for r in spark.createDataFrame([(p,) for p, _ in paths], "p string").select(identity.is_relative_path(F.col("p"))).collect()] == [w for _, w in paths]
+    cell = spark.range(1).select(exports.mark_cell(F.lit(1 / 3), F.lit(2 / 3)).alias("c")).first()["c"]
+    assert tuple(cell) == (0.333333, 0.6667)
