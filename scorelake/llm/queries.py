@@ -108,20 +108,30 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND
   CASE WHEN n >= 1000 AND page_id < keep THEN keep END AS refers_to FROM k
 """
 
-_SUBSETS = (
-    ["m"]
-    + [f"list_filter(m, lambda x: substring(x, 3, 1) IN ({', '.join(repr(c) for c in imatch.HEX[i : i + 4])}))" for i in range(0, 16, 4)]
-    + [f"list_filter(m, lambda x: starts_with(x, '{c}'))" for c in imatch.HEX]
-    + [f"list_filter(m, lambda x: starts_with(x, 'f{c}'))" for c in imatch.HEX]
-    + [f"list_filter(m, lambda x: starts_with(x, 'ef{c}'))" for c in imatch.HEX]
-)
-_PRINTS = "concat(" + ", ".join(f"CASE WHEN len({s}) = 0 THEN '000000' ELSE substring(md5(array_to_string({s}, '')), 1, 6) END" for s in _SUBSETS) + ")"
+_DIGIT = "(strpos('0123456789abcdef', substring(x, {}, 1)) - 1)"
+_D1, _D2, _D3 = (_DIGIT.format(k) for k in (1, 2, 3))
+
+
+def _subsets(many: int, part: str, other: str = "true") -> str:
+    """Hashes of the terms of m in each of many parts, in one text."""
+    each = f"list_filter(m, lambda x: {other} AND {part} = i)"
+    return f"array_to_string(list_transform(range({many}), lambda i: CASE WHEN len({each}) = 0 THEN '000' ELSE substring(md5(array_to_string({each}, '')), 1, 3) END), '')"
+
+
+_PRINTS = "concat(" + ", ".join((
+    "CASE WHEN len(m) = 0 THEN '0000000000000000' ELSE substring(md5(array_to_string(m, '')), 1, 16) END", _subsets(64, f"{_D1} * 4 + {_D2} // 4"),
+    _subsets(32, f"{_D2} * 2 + {_D3} // 8", f"{_D1} = 0"), _subsets(32, f"{_D2} * 16 + {_D3}", f"{_D1} = 0 AND {_D2} < 2"),
+)) + ")"
 
 
 def _near(a: str, b: str) -> str:
-    x, y = (f"substring({c}, CAST(i * 6 + 1 AS BIGINT), 6)" for c in (a, b))
-    either = f"len(list_filter(range(53), lambda i: {x} <> '000000' OR {y} <> '000000'))"
-    return f"CASE WHEN {either} = 0 THEN 1.0::DOUBLE ELSE len(list_filter(range(53), lambda i: {x} = {y} AND {x} <> '000000'))::DOUBLE / {either} END"
+    x, y = (f"substring({c}, CAST(i * 3 + 17 AS BIGINT), 3)" for c in (a, b))
+    out = ""
+    for lo, hi in ((0, 64), (64, 96), (96, 128)):
+        either = f"len(list_filter(range({lo}, {hi}), lambda i: {x} <> '000' OR {y} <> '000'))"
+        share = f"len(list_filter(range({lo}, {hi}), lambda i: {x} = {y} AND {x} <> '000'))::DOUBLE / greatest({either}, 1)"
+        out = f"CASE WHEN {either} >= 8 THEN {share} ELSE {out} END" if out else f"CASE WHEN {either} = 0 THEN 1.0::DOUBLE ELSE {share} END"
+    return out
 
 
 OP7 = rf"""
@@ -134,7 +144,7 @@ lex AS (SELECT t FROM u WHERE kind = 0 GROUP BY t HAVING count(*) >= greatest(2.
 b AS (SELECT doc_id, kind, list_sort(list(md5(t))) AS band FROM u JOIN lex USING (t) GROUP BY ALL),
 m AS (SELECT t.doc_id, t.kind, coalesce(b.band, list_sort(list_transform(ts, lambda x: md5(x)))) AS m FROM t LEFT JOIN b ON b.doc_id = t.doc_id AND b.kind = t.kind),
 f AS (SELECT doc_id, kind, {_PRINTS} AS fp FROM m)
-SELECT e.doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a.fp AS fingerprint, c.fp AS edited_fingerprint, {_near("a.fp", "c.fp")} AS near_edited, {_near("a.fp", "x.fp")} AS near_next
+SELECT e.doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, a.fp AS fingerprint, c.fp AS edited_fingerprint, {_near("a.fp", "c.fp")} AS near_edited, {_near("a.fp", "x.fp")} AS near_next, next_id
 FROM e JOIN f a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN f c ON c.doc_id = e.doc_id AND c.kind = 1 JOIN f x ON x.doc_id = e.next_id AND x.kind = 0
 """
 
