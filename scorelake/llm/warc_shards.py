@@ -1,41 +1,46 @@
 """A deterministic sharded WARC writer, and the reader of its archives.
 
-Records are range-sorted by page_id into shards of about ``SHARD`` payload bytes.  Where
-shards end follows from exact byte totals of at most 65,536 equal id ranges (a bounded table,
-which is broadcast), not from a sample, so reruns write the same files.  A task streams each
-of its shards through gzip members, one a record, and starts another file when one has
-``ROLL`` compressed bytes.  A file is written under a temporary name and renamed; names
+Records are range-sorted by (page_id, hash of the payload) into shards of about ``SHARD``
+bytes, or a ``SHARDS``-th of all if that is more.  Where shards end follows from exact running
+byte totals over all records, not from a sample, so reruns write the same files, however
+page_ids crowd.  The first records of the shards, ``SHARDS`` at most, are sent to the tasks.
+A task streams one shard through gzip members, one a record, and starts another file when one
+has ``ROLL`` compressed bytes.  A file is written under a temporary name and renamed; names
 depend on shard and number only, so a task that runs again replaces a file by the same one.
 The manifest, written through Spark's committer when all tasks are done, commits the set:
-the reader takes no file that it does not list with its size.
+the reader takes the files that it lists, and fails if one is missing or differs in its SHA-256.
 
 Payloads are the html in UTF-8 (null: empty).  Of records with equal payloads of at least
 ``SAME`` bytes the one with the largest page_id is a response, the others revisit it.
 Headers and digests are generated anew and checked when read.
 
 Rows with a null page_id are kept as responses or, if equal to a larger one, revisits; rows
-equal in page_id and payload are both responses.  A null url has no target header.  An empty
+equal in page_id and payload are both responses, in one shard.  A null url has no target header.  An empty
 table writes an empty manifest and reads as no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import uuid
 import zlib
 from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, lean, written
+from .common import drop_dir, fresh_dir, lean, running, written
 
 SAME = 1000
-SHARD = 64 << 20
+SHARD = 32 << 20
+SHARDS = 65536
 ROLL = 16 << 20
-RANGES = 65536
+#: Bytes of a record besides its payload, about.
+HEAD = 512
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "name string, shard bigint, seq int, records bigint, payload_bytes bigint, bytes bigint, sha256 string"
@@ -93,20 +98,14 @@ class _Roller:
         return row
 
 
-def _shards(sizes: DataFrame, shard_bytes: int) -> tuple[DataFrame, int, int]:
-    """(range, shard) of at most RANGES ranges, the least id and the width of a range."""
-    low, high = sizes.agg(F.min("page_id"), F.max("page_id")).first()
-    low = 0 if low is None else low
-    step = max(1, -(-((0 if high is None else high) - low + 1) // RANGES))
-    from pyspark.sql import Window
-
-    totals = sizes.groupBy(_range(low, step).alias("range")).agg(F.sum("bytes").alias("n"))
-    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select("range", F.floor(F.coalesce(F.sum("n").over(ahead), F.lit(0)) / shard_bytes).cast("bigint").alias("shard")), low, step
-
-
-def _range(low: int, step: int):
-    return F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(step)), F.lit(0)).cast("int")
+def _starts(sizes: DataFrame, shard_bytes: int) -> list[tuple[bool, int, str]]:
+    """The first record of each shard as (has a page_id, page_id, key), in order."""
+    own = sizes.groupBy("page_id", "key").agg(F.sum(F.col("bytes") + HEAD).alias("n"))
+    order = running(own, [F.col("page_id").asc_nulls_first(), F.col("key")], "order", before=F.col("n"))
+    total = sizes.agg(F.sum(F.col("bytes") + HEAD)).first()[0] or 0
+    shard = F.floor(F.col("before") / max(shard_bytes, -(-total // SHARDS)))
+    first = order.groupBy(shard.alias("shard")).agg(F.min(F.struct("page_id", "key")).alias("first"))  # nulls are least
+    return sorted((r["first"]["page_id"] is not None, r["first"]["page_id"] or 0, r["first"]["key"]) for r in first.collect())
 
 
 def write_archives(pages: DataFrame, uri: str, shard_bytes: int = SHARD, roll: int = ROLL, same: int = SAME) -> str:
@@ -117,25 +116,29 @@ def write_archives(pages: DataFrame, uri: str, shard_bytes: int = SHARD, roll: i
     rows = lean(pages, page_id="bigint", url="string", html="string").withColumn("html", F.coalesce("html", F.lit("")))
     rows = rows.withColumn("key", F.sha2(F.col("html").cast("binary"), 256))
     small = written(rows.select("page_id", "key", F.octet_length("html").cast("bigint").alias("bytes")), "sizes")
-    shards, low, step = _shards(small, shard_bytes)
-    shards = F.broadcast(written(shards, "shards"))  # at most RANGES rows of two numbers
+    starts = spark.sparkContext.broadcast(_starts(small, shard_bytes))  # at most SHARDS rows
+
+    @F.pandas_udf("int")
+    def shard_of(known: pd.Series, page_id: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(starts.value, x) - 1 for x in zip(known.tolist(), page_id.tolist(), key)], dtype="int32")
+
     kept = written(small.where(F.col("bytes") >= same).groupBy("key").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1 and keep is not null").drop("n"), "kept")
     told = small.join(kept, "key").where("page_id is null or page_id < keep").select("page_id", "key", F.col("keep").alias("refers_to")).distinct()
     both = told.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "key", "refers_to").union(
         rows.select("page_id", "url", "html", "key", F.lit(None).cast("bigint").alias("refers_to"))
     )
     # a revisit's row without html comes just before the page, so that html is shuffled once
-    placed = both.withColumn("range", _range(low, step)).join(shards, "range").drop("range")
+    placed = both.withColumn("shard", shard_of(F.col("page_id").isNotNull(), F.coalesce("page_id", F.lit(0)), "key"))
     home, folder = fs.FileSystem.from_uri(uri)
     home.create_dir(f"{folder}/_temp", recursive=True)
 
     def run(batches):
         at, out, said, done = None, None, {}, []
         for b in batches:
-            for page_id, url, html, key, refers_to, shard in zip(b["page_id"].tolist(), b["url"], b["html"], b["key"], b["refers_to"].tolist(), b["shard"].tolist()):
-                page_id = None if pd.isna(page_id) else int(page_id)
+            columns = [b.column(c).to_pylist() for c in ("page_id", "url", "html", "key", "refers_to", "shard")]
+            for page_id, url, html, key, refers_to, shard in zip(*columns):
                 if html is None:
-                    said = {(page_id, key): int(refers_to)} | (said if any(k[0] == page_id for k in said) else {})
+                    said = {(page_id, key): refers_to} | (said if any(k[0] == page_id for k in said) else {})
                     continue
                 if shard != at:
                     done.append(out.end() if out else None)
@@ -143,10 +146,11 @@ def write_archives(pages: DataFrame, uri: str, shard_bytes: int = SHARD, roll: i
                 payload = html.encode()
                 done.append(out.add(record(page_id, url, payload, said.get((page_id, key))), len(payload)))
         done.append(out.end() if out else None)
-        yield pd.DataFrame([x for x in done if x], columns=[c.split()[0] for c in MANIFEST.split(", ")])
+        names = [c.split()[0] for c in MANIFEST.split(", ")]
+        yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in done if x], pa.schema(list(zip(names, (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string())))))
 
-    order = ["shard", F.col("page_id").asc_nulls_first(), F.col("refers_to").isNull(), "key", "url"]
-    placed.repartition("shard").sortWithinPartitions(*order).mapInPandas(run, MANIFEST).write.json(f"{uri}/manifest")
+    order = [F.col("page_id").asc_nulls_first(), F.col("refers_to").isNull(), "key", "url"]
+    placed.repartitionById(max(1, len(starts.value)), "shard").sortWithinPartitions("shard", *order).mapInArrow(run, MANIFEST).write.json(f"{uri}/manifest")
     return uri
 
 
@@ -176,24 +180,32 @@ def parse(content: bytes):
 
 def read_archives(spark: SparkSession, uri: str) -> DataFrame:
     """A row for each record of the archives that the manifest lists."""
-    listed = spark.read.schema(MANIFEST).json(f"{uri}/manifest").select("name", "bytes")
-    schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
-    if listed.isEmpty():
-        return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(uri)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), "content")
-    # a task takes one archive at a time: at most ROLL bytes and one record
-    files = files.join(listed, ["name", "bytes"], "left_semi").select("content")
+    listed = spark.read.schema(MANIFEST).json(f"{uri}/manifest").select("name", "sha256")
+    many = listed.count()
 
     def run(batches):
+        from pyarrow import fs
+
+        home, folder = fs.FileSystem.from_uri(uri)
         for b in batches:
-            for content in b["content"]:
-                rows = pd.DataFrame(parse(content), columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield rows.astype({"page_id": "Int64", "refers_to": "Int64"})
+            for name, sha256 in zip(b.column("name").to_pylist(), b.column("sha256").to_pylist()):
+                with home.open_input_stream(f"{folder}/{name}", compression=None) as f:  # at most ROLL bytes and one record
+                    content = f.read()
+                if hashlib.sha256(content).hexdigest() != sha256:
+                    raise ValueError(f"damaged archive {name}")
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*parse(content)), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names)
 
-    return files.mapInPandas(run, schema)
+    schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return listed.repartition(max(1, min(many, 10_000))).mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, uri: str | None = None) -> DataFrame:
+    """The records of all pages as read back; archives that got no uri of their own are deleted then."""
     spark = pages.sparkSession
-    return read_archives(spark, write_archives(pages, uri or fresh_dir(spark, "warc")))
+    at = write_archives(pages, uri or fresh_dir(spark, "warc"))
+    if uri:
+        return read_archives(spark, at)
+    back = written(read_archives(spark, at), "records")
+    drop_dir(spark, at)
+    return back

@@ -4,9 +4,10 @@ import json
 from pathlib import Path
 
 import pytest
+from pyspark.errors import PythonException
 
 from scorelake.llm import warc_shards as W
-from scorelake.llm.common import fresh_dir
+from scorelake.llm.common import fresh_dir, shared_dir
 
 PAGES = "page_id bigint, url string, html string, key string, shard bigint, range int"
 
@@ -15,7 +16,7 @@ def rows_():
     big = "<p>é" + "x" * 2000
     rows = [(k, f"http://h/{k} ü", f"page {k} " + "y" * (k % 50) * 40, "k", 5, 1) for k in range(200)]
     rows += [(1000 + k, None, big, None, None, None) for k in range(20)] + [(1019, None, big, None, None, None)]
-    return rows + [(-5, "u", big, "", 0, 0), (300, "u", "short", "", 0, 0), (301, "u", "short", "", 0, 0), (302, "u", None, "", 0, 0), (303, "u", "", "", 0, 0), (None, "n", "no id", "", 0, 0), (None, "n", big, "", 0, 0), (10**15, "far", "far", "", 0, 0)]
+    return rows + [(-5, "u", big, "", 0, 0), (300, "u", "short", "", 0, 0), (301, "u", "short", "", 0, 0), (302, "u", None, "", 0, 0), (303, "u", "", "", 0, 0), (None, "n", "no id", "", 0, 0), (None, "n", big, "", 0, 0), (2**63 - 1, "far", "far", "", 0, 0), (-(2**63), None, "far", "", 0, 0), (2**60 + 1, "u", big, "", 0, 0)]
 
 
 def brute(rows):
@@ -48,6 +49,10 @@ def test_round_trip_and_same_files_again(spark, options):
             assert len(files) > 5 and all(m["bytes"] < 400 + 1500 for m in listed)
         with gzip.open(files[0]) as f:
             assert f.readline() == b"WARC/1.1\r\n"
+        sizes = {}
+        for m in listed:
+            sizes[m["shard"]] = sizes.get(m["shard"], 0) + m["payload_bytes"] + W.HEAD * m["records"]
+        assert max(sizes.values()) < 2 * options.get("shard_bytes", W.SHARD)  # no id or gap between ids makes a shard long
         (home / "part-99999999-00000.warc.gz").write_bytes(files[0].read_bytes())  # not in the manifest
         assert W.read_archives(spark, uri).count() == len(rows_())
     assert sums[0] == sums[1]
@@ -60,5 +65,23 @@ def test_damage_is_found():
     assert list(W.parse(gzip.compress(data) + gzip.compress(W.record(None, None, b"x", 7)))) == [(1, 7, hashlib.sha1(b"payload").hexdigest(), "response", None), (None, 1, hashlib.sha1(b"x").hexdigest(), "revisit", 7)]
 
 
+def test_a_missing_or_changed_archive_fails(spark):
+    df = spark.createDataFrame(rows_(), PAGES)
+    uri = W.write_archives(df, fresh_dir(spark, "warc-test"))
+    file = next(Path(uri.removeprefix("file://")).glob("*.warc.gz"))
+    data = file.read_bytes()
+    for change in (lambda: file.write_bytes(data + gzip.compress(b"")), file.unlink):
+        change()
+        with pytest.raises(PythonException):
+            W.read_archives(spark, uri).collect()
+
+
+def test_archives_of_a_query_are_deleted(spark):
+    home = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(home.glob("warc-*"))
+    assert W.round_trip(spark.createDataFrame(rows_(), PAGES)).count() == len(rows_())
+    assert set(home.glob("warc-*")) == before
+
+
 def test_empty_table(spark):
     assert W.round_trip(spark.createDataFrame([], PAGES)).count() == 0
