@@ -6,10 +6,14 @@ from scorelake.llm import embed_forest as E
 SCHEMA = "vec_id bigint, embedding array<float>, label int, key string, rep bigint, copies int"
 
 
+def usable(r):
+    return r[0] is not None and r[2] is not None and bool(r[1]) and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])
+
+
 def brute(rows):
-    ok = [(r[0], np.asarray(r[1], float), r[2]) for r in rows if r[0] is not None and r[2] is not None and E.unit(r[1]) is not None]
+    ok = [(r[0], np.asarray(r[1], float), r[2]) for r in rows if usable(r)]
     links = {k: [] for k in range(len(rows))}
-    at = [k for k, r in enumerate(rows) if r[0] is not None and r[2] is not None and E.unit(r[1]) is not None]
+    at = [k for k, r in enumerate(rows) if usable(r)]
     for x, (i, v, lab) in zip(at, ok):
         for y, (j, w, lab2) in zip(at, ok):
             if x != y and lab == lab2 and len(v) == len(w) and v @ w / np.sqrt((v @ v) * (w @ w)) >= 0.93:
@@ -54,6 +58,9 @@ def test_awkward_rows(spark):
     rows = [(1, v, 1), (2, v, 1), (2, v, 1), (3, [2.0, 4.0, 1.0], 1), (4, v, 2), (5, v, None), (None, v, 1), (6, None, 1), (7, [], 1), (8, [0.0] * 3, 1), (9, [1.0, None, 2.0], 1), (10, [nan, 1.0, 1.0], 1), (11, [inf, 1.0, 1.0], 1), (12, [1.0, 2.0], 1), (13, [1.0, 2.0], 1), (14, [1e-30] * 3, 1), (15, [1e-30] * 3, 1)]
     assert found(spark, rows) == brute(rows)
     assert E.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+    # one vec_id, unlike vectors: each has its own links
+    twice = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.1], 1), (3, [0.1, 1.0], 1), (4, [0.0, 1.1], 1)]
+    assert found(spark, twice) == brute(twice) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
     assert found(spark, [(1, None, 1)]) == [(1, 0, 1)]
 
 
