@@ -28,7 +28,7 @@ def op4_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return curriculum_mix.mix(table(spark, sf_dir, "documents"))
 
 
 def op6_embed_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,12 +70,14 @@ w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUB
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS level
       FROM w WINDOW o AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 v AS (SELECT arg_min(level, struct_pack(a := cap / weight, b := rank)) AS level FROM l WHERE level * weight <= cap),
-t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, least(cap, coalesce(v.level * weight, cap)) AS target FROM l, v),
-o AS (SELECT d.*, source_size, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(CAST(doc_id AS VARCHAR)), size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+t AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, least(cap, coalesce(v.level * weight, cap)) AS target, rank FROM l, v),
+o AS (SELECT d.*, source_size, target, rank, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(CAST(doc_id AS VARCHAR)), size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(size, CAST(round(target) AS BIGINT) - before)) + greatest(0, least(size, CAST(round(target) AS BIGINT) - before - source_size))
-     + greatest(0, least(size, CAST(round(target) AS BIGINT) - before - 2 * source_size)) AS BIGINT) AS taken FROM o
+SELECT doc_id, size, source_size, target, g0 + g1 + g2 AS taken, CAST((g0 > 0) AS BIGINT) + CAST((g1 > 0) AS BIGINT) + CAST((g2 > 0) AS BIGINT) + CAST((size = 0 AND before <= target) AS BIGINT) AS n_passes,
+  CASE WHEN g0 = 0 AND NOT (size = 0 AND before <= target) THEN NULL WHEN target = 0 THEN 0.0::DOUBLE WHEN tilt = 0 THEN before / target
+    ELSE (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * (before / target)) - (1 - tilt)) / (2 * tilt) END AS first_position
+FROM (SELECT *, CAST(greatest(0, least(size, CAST(round(target) AS BIGINT) - before)) AS BIGINT) AS g0, CAST(greatest(0, least(size, CAST(round(target) AS BIGINT) - before - source_size)) AS BIGINT) AS g1,
+  CAST(greatest(0, least(size, CAST(round(target) AS BIGINT) - before - 2 * source_size)) AS BIGINT) AS g2, (rank % 3 - 1) * 0.5::DOUBLE AS tilt FROM o)
 """
 
 OP6 = """

@@ -37,6 +37,20 @@ def test_against_resharing(spark, seed):
         taken[s] = taken.get(s, 0) + r["taken"]
     assert all(abs(taken[s] - want[s]) <= 0.5 + 1e-6 for s in sizes)
     assert sorted(map(tuple, got)) == sorted(map(tuple, C.mix(spark.createDataFrame(rows[::-1], DOCS)).collect()))
+    # range-sorted by position, and what a document gives is the demand from there on
+    places = [r["first_position"] for r in got]
+    known = [x for x in places if x is not None]
+    assert known == sorted(known) == places[: len(known)] and all(0 <= x <= 1 for x in known)
+    assert all((r["first_position"] is None) == (r["n_passes"] == 0) and (r["taken"] > 0 or r["size"] == 0 or r["n_passes"] == 0) for r in got)
+
+
+def test_many_sources_are_ranked_and_filled_in_ranges(spark):
+    rng = random.Random(5)
+    sizes = {f"host{k}.example": rng.choice([0, 1, 5, 40, 300]) for k in range(500)}
+    got = C.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")).collect()
+    want = brute_targets(sizes)
+    assert len(got) == 500 and all(r["target"] == pytest.approx(want[r["source"]]) for r in got)
+    assert [r["source"] for r in sorted(got, key=lambda r: r["rank"])] == sorted(sizes)
 
 
 def test_positions_follow_the_schedule(spark):
@@ -53,6 +67,10 @@ def test_awkward_rows(spark):
     df = spark.createDataFrame(awkward(), DOCS)
     assert C.mix(df).count() == len(awkward())
     assert C.training_order(df).columns == df.columns
+    # documents without words have their place too, once
+    few = spark.createDataFrame([*[doc(k, "w " * 10) for k in range(10)], doc(100, ""), doc(101, None)], DOCS)
+    assert sorted(r["doc_id"] for r in C.training_order(few).collect()) == [*range(10), 100, 101]
     nothing = spark.createDataFrame([doc(1, ""), doc(2, None, None)], DOCS)
     assert sorted((r["size"], r["target"], r["taken"]) for r in C.mix(nothing).collect()) == [(0, 0.0, 0), (0, 0.0, 0)]
+    assert C.training_order(nothing).count() == 2 and {r["first_position"] for r in C.mix(nothing).collect()} == {0.0}
     assert C.mix(spark.createDataFrame([], DOCS)).count() == 0 and C.training_order(spark.createDataFrame([], DOCS)).count() == 0
