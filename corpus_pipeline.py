@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.llm import curriculum_mix, piece_viterbi, quality_fm, simhash_bk, substring_rk
-from scorelake.llm.common import table, written
+from scorelake.llm.common import drop_dir, fresh_dir, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; tables of the stages before it, and all that they wrote, are deleted when they have been read."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage-{k}")
+        path = fresh_dir(spark, f"stage-{k}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            drop_dir(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
