@@ -16,7 +16,7 @@ from ..operators import analysis, exports, joins
 from ..sources import writers
 from . import dims
 from .evaluation import Evaluation
-from .queries import PLACE, SCORES, r6, registered, table, task_scores
+from .queries import PLACE, SCORES, models, r6, registered, table, task_scores
 
 TASKS = ("VRU_Cross", "Sign_Sign_Relation", "Lane_Speed_Relation", "VRU_Recognition", "Weather", "Lane_Change_Relation")
 
@@ -163,21 +163,20 @@ def score_sheet(spark, d):
     return out.select("task", F.col("num").cast("bigint").alias("num"), *[r6(f"`{m[0]}`").alias(str(m[0])) for m in LINES])
 
 
-@registered("SELECT s_suppkey AS model_id, s_acctbal AS p95, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS place FROM supplier WHERE s_nationkey % 3 <> 0 AND s_acctbal > 0")
+@registered("SELECT s_suppkey AS model_id, s_nationkey::DOUBLE AS p95, row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS place FROM supplier WHERE s_acctbal >= 0 AND s_nationkey > 0")
 def serving_table(spark, d):
     """SRT-6: featured models with latencies, the fastest first."""
-    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("model_id"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("p95"), (F.col("s_nationkey") % 3 != 0).alias("featured"))
-    out = exports.serving_order(rows)
-    return out.select("model_id", "p95", F.row_number().over(Window.orderBy("p95", "model_id")).cast("bigint").alias("place"))
+    rows = models(spark, d).select("model_id", "featured", F.when(F.col("s_nationkey") > 0, F.col("s_nationkey").cast("double")).alias("p95"))
+    return exports.serving_order(rows).select("model_id", "p95", F.row_number().over(Window.orderBy("p95", "model_id")).cast("bigint").alias("place"))
 
 
-@registered(f"""WITH {SCORES}, t AS (SELECT model_id, sum(score * n) / sum(n) AS total FROM ts GROUP BY model_id) SELECT model_id, round(total, 6) AS total FROM t WHERE model_id % 4 <> 0""")
+@registered(f"""WITH {SCORES} SELECT model_id, round(sum(score * n) / sum(n), 6) AS total FROM ts JOIN supplier ON s_suppkey = model_id WHERE s_acctbal >= 0 GROUP BY model_id""")
 def published_columns(spark, d):
     """SRT-8: models without a published total are left out."""
     from ..operators.scores import totals
 
-    rows = totals(task_scores(spark, d)).withColumn("total", F.when(F.col("model_id") % 4 != 0, F.col("total")))
-    return exports.published_columns(rows).select("model_id", r6("total").alias("total"))
+    rows = totals(task_scores(spark, d)).join(models(spark, d), "model_id").withColumn("total", F.when(F.col("featured"), F.col("total")))
+    return exports.published_columns(rows.select("model_id", "total")).select("model_id", r6("total").alias("total"))
 
 
 @registered(f"""WITH {SCORES} SELECT model_id, substring(task, 1, 7) AS grp, count(*) AS tasks, round(sum(score * n) / sum(n), 6) AS mean FROM ts WHERE substring(task, 1, 7) IN ('Brand#1', 'Brand#3') GROUP BY ALL""")

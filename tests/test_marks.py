@@ -15,26 +15,27 @@ def answers_of(spark, rows, schema, **columns):
 
 
 # question after the selector, reference, answer; accuracy, instruction, kind
+TREES = "Which tree stands there? ['Oak', 'Elm', 'Ash']"
 CHOICES = [
-    ("Pick one from ['Red', 'Green', 'Yellow'].", "Red", "Red", 1.0, 1, "choice"),
-    ("Pick one from ['Red', 'Green', 'Yellow'].", "Red", "The light is red.", 1.0, 0, "choice"),
-    ("Pick one from ['Red', 'Green', 'Yellow'].", "Red", "Red or Green", 0.0, 0, "choice"),  # another option is there too
-    ("Pick one from ['Red', 'Green', 'Yellow'].", "Blue", "it is blue", 0.0, 0, "choice"),  # holds the reference, which is no option
-    ("Pick one from ['Red', 'Green', 'Yellow'].", "Blue", "BLUE", 1.0, 0, "choice"),  # equal, option or not
-    ("Pick one from ['Red', 'Green', 'Yellow'].", "Red", "['Red', 'Green']", 0.0, 0, "choice"),  # two options quoted: no single answer
-    ("Pick one from ['Red', 'Red', 'Green'].", "Red", "so red", 0.0, 0, "choice"),  # listed twice: the other one is in the answer
-    ("Pick one from ['Red', 'Dark red'].", "Red", "dark red", 0.0, 1, "choice"),
-    ("Pick one from ['Red', 'Dark red'].", "Dark red", "dark red", 1.0, 1, "choice"),
-    ("Pick one from ['', 'Red'].", "Red", "so red", 0.0, 0, "choice"),  # an empty option lies in every answer
-    ("Pick one from [Red, Green].", "Green", "a green one", 1.0, 0, "choice"),  # without quotes
-    ("First [a, b]; then ['Red', 'Green'].", "Red", "so red", 1.0, 0, "choice"),  # the last list counts
-    ("No list here.", "Red", "so red", 0.0, 0, "choice"),
-    ("Pick one from ['Red', 'Green'].", "Red", "", 0.0, 1, "choice"),  # nothing lies in every question
-    ("Pick one from ['Red', 'Green'].", "Red", "Green? The correct answer is: *Red*.\n", 1.0, 1, "choice"),
-    ("Pick one from ['Red', 'Green'].", "Red", "correct answer is: red, correct answer is: green", 0.0, 1, "choice"),  # the last marker counts
-    ("Pick one from ['Red', 'Green'].", "Red", '("Red")', 1.0, 1, "choice"),
-    ("Is it so? ['True', 'False']", "True", "true", 1.0, 1, "boolean"),
-    ("Is it so? ['True', 'False']", "FALSE", "true", 0.0, 1, "boolean"),
+    (TREES, "Oak", "oak", 1.0, 1, "choice"),
+    (TREES, "Oak", "I would say an oak!", 1.0, 0, "choice"),
+    (TREES, "Oak", "an elm, not an oak", 0.0, 0, "choice"),  # another option is there too
+    (TREES, "Fir", "it must be a fir", 0.0, 0, "choice"),  # holds the reference, which is no option
+    (TREES, "Fir", "FIR", 1.0, 0, "choice"),  # equal, option or not
+    (TREES, "Oak", "['Oak', 'Ash']", 0.0, 0, "choice"),  # two options quoted: no single answer
+    ("Which? ['Oak', 'Oak', 'Elm']", "Oak", "an oak", 0.0, 0, "choice"),  # listed twice: the other one is in the answer
+    ("Which? ['Oak', 'Red oak']", "Oak", "red oak", 0.0, 1, "choice"),
+    ("Which? ['Oak', 'Red oak']", "Red oak", "red oak", 1.0, 1, "choice"),
+    ("Which? ['', 'Oak']", "Oak", "an oak", 0.0, 0, "choice"),  # an empty option lies in every answer
+    ("Which? [Oak, Elm]", "Elm", "an elm", 1.0, 0, "choice"),  # without quotes
+    ("Not [a, b]; but ['Oak', 'Elm']", "Oak", "an oak", 1.0, 0, "choice"),  # the last list counts
+    ("Which, of any?", "Oak", "an oak", 0.0, 0, "choice"),
+    (TREES, "Oak", "", 0.0, 1, "choice"),  # nothing lies in every question
+    (TREES, "Oak", "An elm? No, the correct answer is: *Oak*.\n", 1.0, 1, "choice"),
+    (TREES, "Oak", "correct answer is: oak, correct answer is: elm", 0.0, 1, "choice"),  # the last marker counts
+    (TREES, "Oak", '("Oak")', 1.0, 1, "choice"),
+    ("Does it stand? ['True', 'False']", "True", "true", 1.0, 1, "boolean"),
+    ("Does it stand? ['True', 'False']", "FALSE", "true", 0.0, 1, "boolean"),
 ]
 
 
