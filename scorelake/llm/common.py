@@ -39,14 +39,14 @@ def drop_dir(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, the tables that ``written`` made inside; what reads them must be stored before."""
     mine: list[str] = []
-    token = _SCRATCH.set(mine)
+    token = _SCRATCH.set((*_SCRATCH.get(), mine))
     try:
         yield
     finally:
@@ -55,15 +55,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             drop_dir(spark, uri)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder.
+def written(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+    """The rows as a table in the shared folder; one that outlives its scratch block goes with the block around that.
 
     This cuts the lineage so that a lost executor costs no earlier work, and gives
     later joins true sizes, from which Spark decides whether a side may be broadcast.
     """
     path = fresh_dir(df.sparkSession, name)
-    if (mine := _SCRATCH.get()) is not None:
-        mine.append(path)
+    open_blocks = _SCRATCH.get()
+    if len(open_blocks) > outlives:
+        open_blocks[-1 - outlives].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import scratch, written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -20,13 +20,14 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = links.select("u", "v")
-    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-    joined = both.join(least, "u")
-    if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select("u", F.col("m").alias("v")))
-    return written(out.where("u > v").distinct(), "star")
+    with scratch(links.sparkSession):
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        joined = both.join(least, "u")
+        if large:
+            out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        else:
+            out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select("u", F.col("m").alias("v")))
+        return written(out.where("u > v").distinct(), "star", outlives=True)
 
 
 def connected(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:

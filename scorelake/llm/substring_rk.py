@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, lean, written
+from .common import SPACE, lean, scratch, written
 
 WINDOW = 13
 ANCHOR = 5
@@ -199,17 +199,23 @@ def _cut(texts: list, gone: list, size: int):
 def remove_repeats(docs: DataFrame, size: int = WINDOW, gram: int = ANCHOR, name: str = "cut") -> DataFrame:
     """The rows and columns of docs, and a struct ``name``: n_words, n_removed, kept (the words left, joined by one space)."""
     named = lean(docs, doc_id="bigint", text="string").where("doc_id is not null")
-    grams = _anchor_rows(named, size, gram)
-    shared = written(grams.groupBy("h").count().where("count > 1").select("h"), "anchors")
-    flagged = written(grams.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("found")), "flagged")
-    seen = written(_window_rows(named.join(flagged, "doc_id"), size, gram), "windows")
-    first = written(seen.groupBy("h", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h", "c", "first"), "firsts")
-    gone = written(seen.join(first, ["h", "c"]).where("doc_id > first").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("h").alias("_gone")), "gone")
+    spark = docs.sparkSession
+    with scratch(spark):
+        with scratch(spark):
+            grams = _anchor_rows(named, size, gram)
+            shared = written(grams.groupBy("h").count().where("count > 1").select("h"), "anchors")
+            flagged = written(grams.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("found")), "flagged")
+            seen = written(_window_rows(named.join(flagged, "doc_id"), size, gram), "windows", outlives=True)
+        first = seen.groupBy("h", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        first = written(first.select("h", "c", "first"), "firsts")
+        again = seen.join(first, ["h", "c"]).where("doc_id > first")
+        gone = written(again.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("h").alias("_gone")), "gone", outlives=True)
 
     @F.pandas_udf("n_words bigint, n_removed bigint, kept string")
     def cut(text: pd.Series, hashes: pd.Series) -> pd.DataFrame:
         got = [x for t, g in _chunks([pd.DataFrame({"text": text, "gone": hashes})], ["text", "gone"]) for x in _cut(t, g, size)]
         return pd.DataFrame(got, columns=["n_words", "n_removed", "kept"])
 
+    cut = cut.asNondeterministic()  # else a filter on what it returns would run it a second time
     joined = docs.join(gone, docs["doc_id"].cast("bigint") == gone["_id"], "left")
     return joined.select(*[docs[c] for c in docs.columns], cut(docs["text"].cast("string"), gone["_gone"]).alias(name))

@@ -12,7 +12,11 @@ def test_written_tables_go_with_their_scope(spark):
         df = written(spark.range(5), "some")
         path = Path(df.inputFiles()[0].removeprefix("file://")).parent
         assert df.count() == 5 and path.exists()
-    assert not path.exists() and outer.count() == 3
+        with scratch(spark):
+            inner = written(spark.range(7), "inner", outlives=True)
+        assert inner.count() == 7
+        at = Path(inner.inputFiles()[0].removeprefix("file://")).parent
+    assert not path.exists() and not at.exists() and outer.count() == 3
 
 
 def test_a_cluster_needs_a_shared_folder():
