@@ -8,8 +8,9 @@ labels every block as main text or not, so each decision uses the whole document
 The network is trained here, on the driver, on pages that ``made_page`` generates with known
 labels: a bounded number (``PAGES``), of random layouts and words, and none of any corpus.
 
-Comments, scripts, styles and other raw or hidden elements are markup and never blocks; they
-end at their own end tag.  Text in math belongs to the block around it, that in object is blocks.  Character
+Comments, scripts, styles and other raw elements are markup and never blocks; they end at
+their own end tag.  Elements that are hidden (``hidden``, ``aria-hidden="true"``, or a style of
+their own without display or visibility) are no blocks either.  Text in math belongs to the block around it, that in object is blocks.  Character
 references are decoded, white space inside a block becomes one space, blocks are trimmed,
 and those labelled main are joined in page order by one space.  Pages are read whole.  Null
 or empty html gives the empty text.  Rows with null or repeated page_ids are each extracted.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import functools
 import html as html_lib
 import math
+import random
 import re
 import zlib
 from dataclasses import dataclass
@@ -34,8 +36,8 @@ from .common import lean
 
 PATH, TEXT, STATS = 256, 24, 10
 HIDDEN = 16
-PAGES = 900
-CELLS = 1 << 15
+PAGES = 3000
+CELLS = 1 << 13
 
 #: Fixed names of HTML: elements that do not end a block, that have no end tag, and whose content is not text of the page.
 INLINE = frozenset(
@@ -62,16 +64,21 @@ _TOKEN = re.compile(
     rf"|<(/?)([a-zA-Z][^\s/>]*+)({_IN})>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|([^<]++|<)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[a-z]+")
+_UNSEEN = re.compile(r"(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden)")
 
 
-@functools.lru_cache(1 << 14)
-def _names(tag: str, attrs: str) -> tuple[str, ...]:
-    found = [tag]
-    for _, a, b, c in _ATTR.findall(attrs):
-        found += [f".{x}" for x in _PART.findall((a or b or c).lower())]
-    return tuple(found)
+@functools.lru_cache(1 << 12)
+def _names(tag: str, attrs: str) -> tuple[tuple[str, ...], bool]:
+    """Names of an element for paths, and whether it is hidden."""
+    found, unseen = [tag], False
+    for name, a, b, c in _ATTR.findall(attrs):
+        name, value = name.lower(), (a or b or c).lower()
+        if name in ("class", "id", "role"):
+            found += [f".{x}" for x in _PART.findall(value)]
+        unseen |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _UNSEEN.search(value) is not None
+    return tuple(found), unseen
 
 
 @dataclass
@@ -83,11 +90,11 @@ class Block:
 
 def leaf_blocks(source: str | None) -> list[Block]:
     """The blocks of a page in order."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], bool]] = []
     out: list[Block] = []
     parts: list[str] = []
     path: tuple[str, ...] = ()
-    linked = links = 0
+    linked = links = unseen = 0
 
     def flush() -> None:
         nonlocal parts, linked
@@ -96,11 +103,20 @@ def leaf_blocks(source: str | None) -> list[Block]:
             out.append(Block(path, text, min(1.0, linked / len(text))))
         parts, linked = [], 0
 
+    def close(k: int) -> None:
+        """Ends the open elements from the k-th on."""
+        nonlocal links, unseen
+        links -= sum(t == "a" for t, _, _ in stack[k:])
+        unseen -= sum(h for _, _, h in stack[k:])
+        del stack[k:]
+
     for m in _TOKEN.finditer(source or ""):
         text = m[9]
         if text is not None:
+            if unseen:
+                continue
             if not parts and not text.isspace():
-                path = tuple(dict.fromkeys(x for _, n in stack for x in n))
+                path = tuple(dict.fromkeys(x for _, n, _ in stack for x in n))
             if "&" in text:
                 text = html_lib.unescape(text)
             parts.append(text)
@@ -116,25 +132,25 @@ def leaf_blocks(source: str | None) -> list[Block]:
             parts.append(" ")
         if end:
             at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if at is not None and not (name in INLINE and any(t not in INLINE for t, _ in stack[at + 1 :])):
-                links -= sum(t == "a" for t, _ in stack[at:])
-                del stack[at:]
+            if at is not None and not (name in INLINE and any(t not in INLINE for t, _, _ in stack[at + 1 :])):
+                close(at)
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in ENDS.get(name, ()):
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k][0] not in INLINE and stack[k][0] not in ("p", "li", "td", "th", "dt", "dd"):
                     break
             if name not in VOID and not (m[5] or m[8] or "").endswith("/"):
-                stack.append((name, _names(name, m[5] or m[8] or "")))
+                names, hides = _names(name, m[5] or m[8] or "")
+                stack.append((name, names, hides))
                 links += name == "a"
+                unseen += hides
     flush()
     return out
 
 
-@functools.lru_cache(1 << 16)
+@functools.lru_cache(1 << 14)
 def _slot(word: str, size: int) -> tuple[int, float]:
     h = zlib.crc32(word.encode())
     return (h >> 1) % size, 1.0 if h & 1 else -1.0
@@ -241,14 +257,14 @@ _GOOD = "content post entry story body article-body post-content entry-content a
 _TALK = "home about contact login subscribe cookie privacy terms copyright search menu newsletter share comments reply advertisement sponsored sign accept policy rights reserved more read".split()
 
 
-def made_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
+def made_page(rng: random.Random) -> tuple[str, list[bool]]:
     """A page of random layout and invented words, and whether each of its leaf blocks is main text."""
-    r = lambda a: a[int(rng.integers(len(a)))]
+    r = rng.choice
     p = lambda x: rng.random() < x
-    word = lambda: "".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(2, 9))))
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 9)))
 
     def phrase(lo: int, hi: int, junk: bool = False) -> str:
-        ws = [r(_TALK) if junk and p(0.3) else word() + ("," if p(0.08) else "." if p(0.05) else "") for _ in range(int(rng.integers(lo, hi + 1)))]
+        ws = [r(_TALK) if junk and p(0.3) else word() + ("," if p(0.08) else "." if p(0.05) else "") for _ in range(rng.randrange(lo, hi + 1))]
         ws[0] = ws[0].capitalize() if p(0.8) else ws[0]
         return " ".join(ws) + ("." if p(0.3 if hi < 8 else 0.85) else "")
 
@@ -262,28 +278,32 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
     def junk(kind: str) -> None:
         names = _JUNK[kind].split()
         tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind, "section") if p(0.5) else r(["div", "div", "section", "ul" if kind == "nav" else "div"])
-        named = tag in ("div", "section", "ul") or p(0.4)
+        named = p(0.8 if kind in ("nav", "share") else 1) if tag in ("div", "section", "ul") else p(0.4)
         attrs = (f' {r(["class", "class", "id"])}="{" ".join(dict.fromkeys([r(names), *([word()] if p(0.3) else [])]))}"' if named else "") + (f' data-x="{word()}"' if p(0.1) else "")
         out.append(f"<{tag}{attrs}>")
-        if kind in ("nav", "share") or kind in ("header", "footer", "aside") and p(0.4):
+        lone = kind == "footer" and p(0.4)  # a copyright line and nothing else
+        if lone:
+            out.append(f"&copy; {word()}.example {phrase(1, 12, p(0.5))}")
+            marks.append(False)
+        elif kind in ("nav", "share") or kind in ("header", "footer", "aside") and p(0.4):
             many = tag != "ul" and p(0.7)
             out.append("<ul>" if many else "")
-            for _ in range(int(rng.integers(1, 9))):
+            for _ in range(rng.randrange(1, 9)):
                 out.append(f'<li><a href="/{word()}">')
                 out.append(phrase(1, 3, True))
                 out.append("</a></li>")
                 marks.append(False)
             out.append("</ul>" if many else "")
         elif kind == "comments":
-            for _ in range(int(rng.integers(1, 5))):
+            for _ in range(rng.randrange(1, 5)):
                 leaf(r(["p", "div", "li", "p"]), phrase(4, 40), False, f' class="{r(names)}"' if p(0.5) else "")
         elif p(0.4):
             out.append(phrase(2, 14, kind != "ad" or p(0.5)))
             marks.append(False)
         else:
-            for _ in range(int(rng.integers(1, 4))):
+            for _ in range(rng.randrange(1, 4)):
                 leaf(r(["p", "div", "h3", "p", "label"]) if kind != "form" else r(["p", "div", "h3", "button"]), phrase(1, 25, p(0.6)), False)
-        if kind == "footer" and p(0.7):
+        if kind == "footer" and not lone and p(0.7):
             out.append(f"<p>&copy; {word()}.example &middot; {phrase(1, 8, True)}</p>")
             marks.append(False)
         out.append(f"</{tag}>")
@@ -296,11 +316,13 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
     out.append("<style>p{margin:0}</style></head><body>" if p(0.5) else "<script>var t='</p>';</script></head><body>")
     wrap = p(0.3)
     out.append('<div class="%s">' % r(["wrap", "container", "page", "site", word()]) if wrap else "")
-    for kind in ("header", "nav", "notice", "ad", "share", "aside"):
+    bare = p(0.15)  # nothing but the article
+    out.append(f"<div {r(['hidden', 'aria-hidden=true', 'style=display:none'])}><p>{phrase(3, 20)}</p></div>" if p(0.1) else "")
+    for kind in () if bare else ("header", "nav", "notice", "ad", "share", "aside"):
         if p({"header": 0.4, "nav": 0.7}.get(kind, 0.25)):
             junk(kind)
-    tag, attrs = r([("article", ""), ("article", f' class="{r(_GOOD)}"'), ("main", ""), ("div", f' class="{r(_GOOD)}"'), ("div", f' id="{r(_GOOD)}"'), ("section", f' class="{r(_GOOD)}"'), ("article", "")])
-    out.append(f"<{tag}{attrs}>")
+    tag, attrs = r([("article", ""), ("article", f' class="{r(_GOOD)}"'), ("main", ""), ("div", f' class="{r(_GOOD)}"'), ("div", f' id="{r(_GOOD)}"'), ("section", f' class="{r(_GOOD)}"'), ("article", ""), ("div", ""), ("div", ""), ("section", ""), ("div", f' class="{word()}"'), ("", "")])
+    out.append(f"<{tag}{attrs}>" if tag else "")
     inner = p(0.2)
     if p(0.8):
         head = p(0.15)
@@ -308,24 +330,24 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
         leaf(r(["h1", "h1", "h2"]), title, True)
         out.append("</header>" if head and tag in ("article", "main") else "")
     out.append(f'<div class="{r(_GOOD)}">' if inner else "")
-    for _ in range(int(rng.integers(1, 16)) if p(0.9) else int(rng.integers(15, 40))):
+    for _ in range(rng.randrange(1, 4) if p(0.3) else rng.randrange(1, 16) if p(0.9) else rng.randrange(15, 40)):
         what = rng.random()
-        if what < 0.1 and len(marks) > 2:
+        if what < 0.1 and len(marks) > 2 and not bare:
             junk(r(["ad", "share", "aside", "form", "notice", "ad"]))
         elif what < 0.2:
             leaf(r(["h2", "h3", "h4"]), phrase(1, 7), True)
         elif what < 0.28:
             out.append("<ul>")
-            for _ in range(int(rng.integers(1, 6))):
+            for _ in range(rng.randrange(1, 6)):
                 leaf("li", phrase(1, 20), True)
             out.append("</ul>")
         else:
-            leaf(r(["p", "p", "p", "p", "p", "blockquote", "pre", "td", "div"]), phrase(1, r([1, 2, 12])) if p(0.25) else phrase(8, 120), True)
+            leaf(r(["p", "p", "p", "p", "p", "blockquote", "pre", "td", "div"]), phrase(1, r([1, 2, 12, 16])) if p(0.35) else phrase(8, 120), True)
     out.append("</div>" if inner else "")
-    if p(0.15):
+    if p(0.15) and not bare:
         junk("comments")
-    out.append(f"</{tag}>")
-    for kind in ("share", "comments", "aside", "ad", "form", "notice", "nav", "footer"):
+    out.append(f"</{tag}>" if tag else "")
+    for kind in () if bare else ("footer",) if p(0.4) else ("share", "comments", "aside", "ad", "form", "notice", "nav", "footer"):
         if p({"footer": 0.8, "comments": 0.35}.get(kind, 0.2)):
             junk(kind)
     out.append("</div>" if wrap else "")
@@ -335,12 +357,12 @@ def made_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
 
 
 @functools.lru_cache(2)
-def trained(pages: int = PAGES, epochs: int = 6, seed: int = 3) -> Labeller:
+def trained(pages: int = PAGES, epochs: int = 9, seed: int = 3) -> Labeller:
     """Trained by Adam on ``pages`` generated pages; the same on every run."""
-    rng, net = np.random.default_rng(seed), Labeller()
+    rng, maker, net = np.random.default_rng(seed), random.Random(seed), Labeller()
     data = []
     while len(data) < pages:
-        source, marks = made_page(rng)
+        source, marks = made_page(maker)
         blocks = leaf_blocks(source)
         if len(blocks) == len(marks):  # the generator may nest what the parser merges
             data.append((vectors(blocks), np.array(marks, float)))
@@ -357,7 +379,7 @@ def trained(pages: int = PAGES, epochs: int = 6, seed: int = 3) -> Labeller:
             for name, g in net.gradients(x, real, y).items():
                 first[name] = 0.9 * first[name] + 0.1 * g
                 second[name] = 0.99 * second[name] + 0.01 * g * g
-                net.p[name] = net.p[name] - 0.02 * 0.7**epoch * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
+                net.p[name] = net.p[name] - 0.02 * 0.75**epoch * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
     return net
 
 

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from scorelake.llm import html_blocks as H
@@ -40,7 +42,7 @@ def test_blocks():
 
 
 def test_held_out_accuracy_on_made_pages():
-    rng, net = np.random.default_rng(12345), H.trained()
+    rng, net = random.Random(12345), H.trained()
     right = total = 0
     for _ in range(150):
         source, marks = H.made_page(rng)
@@ -91,3 +93,26 @@ def test_only_raw_elements_are_left_out():
 def test_every_class_name_is_in_the_path():
     names = "flex flex-col md:w-full p-4 m-2 text-sm bg-white border rounded shadow grid gap-2 hidden lg:block sidebar"
     assert ".sidebar" in H.leaf_blocks(f'<div class="{names}">x</div>')[0].path
+
+
+def test_hidden_elements_and_other_attributes():
+    texts = lambda page: [b.text for b in H.leaf_blocks(page)]
+    for how in ("hidden", "HIDDEN=''", 'aria-hidden="true"', "style='color:red; display : none'", 'style="visibility:hidden"'):
+        assert texts(f"<p>One <span {how}>no</span>two.</p><div {how}><p>no</p>no</div><p {how}>no<p>Three.") == ["One two.", "Three."], how
+    for how in ("data-hidden", 'aria-hidden="false"', "class=hidden", "style='--display:none; display:block'", "title='hidden'"):
+        assert texts(f"<p {how}>One.</p>") == ["One."], how
+    assert H.leaf_blocks("<p data-id='x' data-class=y class=z my-role='w'>t</p>")[0].path == ("p", ".z")
+
+
+def test_pages_off_the_usual_template():
+    line = "This is paragraph {} of the text, and it tells its readers of one thing or another."
+    six = "".join(f"<p>{line.format(k)}</p>" for k in range(6))
+    want = " ".join(line.format(k) for k in range(6))
+    menu = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li><li><a href='/c'>About us</a></li></ul>"
+    pages = [
+        (f"<html><body><div>{six}</div></body></html>", want), (six, want), (f"<html><head><title>A name</title></head><body><article><p>{line.format(1)}</p></article></body></html>", line.format(1)),
+        (f"<body><nav>{menu}</nav><div>{six}</div><footer><p>&copy; host, all rights reserved</p></footer></body>", want), (f"<body><svg/><article>{six}</article></body>", want),
+        (f"<body><main><p>{line.format(1)}</p><p>{line.format(2)}</p></main><div class='comments'><p>Nice one, thanks for it</p></div></body>", f"{line.format(1)} {line.format(2)}"),
+        (f"<body><div hidden>{six}</div><section>{six}</section></body>", want),
+    ]
+    assert H.main_texts([p for p, _ in pages], H.trained()) == [w for _, w in pages]
