@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import runs, shard_pairs
-from .common import SPACE, lean, written
+from .common import SPACE, lean, width, written
 from .components import connected
 
 RADIUS = 2
@@ -150,7 +150,8 @@ def bk_links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Data
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
-    return dealt.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, "a bigint, b bigint")
+    # by number: tasks of few bytes but much comparing must not be merged
+    return dealt.repartition(width(nodes.sparkSession), *by).sortWithinPartitions(*by).mapInPandas(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE, shard: int = SHARD) -> DataFrame:
