@@ -43,8 +43,12 @@ _SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at its end, the tables that ``written`` made inside; what reads them must be stored before."""
+def scratch(spark: SparkSession, shuffles: bool = False) -> Iterator[None]:
+    """Deletes, at its end, the tables that ``written`` made inside; what reads them must be stored before.
+
+    Spark deletes the shuffle files of jobs that are done when the driver's JVM finds them to be garbage, which on
+    an idle heap may be long after; with ``shuffles`` the end of the block asks it to look.
+    """
     mine: list[str] = []
     token = _SCRATCH.set((*_SCRATCH.get(), mine))
     try:
@@ -53,6 +57,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _SCRATCH.reset(token)
         for uri in mine:
             drop_dir(spark, uri)
+        if shuffles:
+            spark._jvm.System.gc()
 
 
 def written(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:

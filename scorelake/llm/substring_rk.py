@@ -13,9 +13,9 @@ document of smaller doc_id; windows are judged on the input.
    intervals, whose words are removed.
 
 Counts and minima are pre-aggregated before their shuffles; the joins back are plain
-shuffled joins which adaptive execution may split.  A window is known by 95 bits: a hash
-modulo 2**64 and a check modulo the prime 2**31 - 1 (which strings made to collide modulo a
-power of two do not share).  Bytes are hashed in blocks of ``CHUNK``, cut between words.
+shuffled joins which adaptive execution may split.  A window is known by 79 bits: a hash
+modulo 2**64 and 15 bits of a check modulo the prime 2**31 - 1 (which strings made to collide modulo a
+power of two do not share; words are known by all of it).  Bytes are hashed in blocks of ``CHUNK``, cut between words.
 
 Null text has no words.  A row with a null doc_id is kept whole and removes nothing
 elsewhere.  Rows that share a doc_id do not remove each other.  Shorter texts than a window
@@ -145,7 +145,7 @@ def _pairs(doc: np.ndarray, value: np.ndarray, ids: list, check: np.ndarray | No
     doc, value = doc[order], value[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-    more = {} if check is None else {"c": check[order][new].astype(np.int32)}
+    more = {} if check is None else {"c": (check[order][new] & 0x7FFF).astype(np.int16)}
     return pd.DataFrame({"doc_id": np.array(ids, np.int64)[doc[new]], "h": value[new].view(np.int64)} | more)
 
 
@@ -169,7 +169,7 @@ def _window_rows(docs: DataFrame, size: int, gram: int) -> DataFrame:
             s = s[np.isin(anchors(h, doc, s, size, gram), np.concatenate(found).view(np.uint64))]
             yield _pairs(doc[s], _ranges(h, s, s + size, _WORD), ids, _checks(c, s, s + size, _WORD31))
 
-    return docs.mapInPandas(run, "doc_id bigint, h bigint, c int")
+    return docs.mapInPandas(run, "doc_id bigint, h bigint, c smallint")
 
 
 def _cut(texts: list, gone: list, size: int):
@@ -200,8 +200,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, gram: int = ANCHOR, name
     """The rows and columns of docs, and a struct ``name``: n_words, n_removed, kept (the words left, joined by one space)."""
     named = lean(docs, doc_id="bigint", text="string").where("doc_id is not null")
     spark = docs.sparkSession
-    with scratch(spark):
-        with scratch(spark):
+    with scratch(spark, shuffles=True):
+        with scratch(spark, shuffles=True):
             grams = _anchor_rows(named, size, gram)
             shared = written(grams.groupBy("h").count().where("count > 1").select("h"), "anchors")
             flagged = written(grams.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("found")), "flagged")
