@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum_mix, embed_forest, html_blocks, imatch, piece_viterbi, quality_fm, simhash_bk, substring_rk, token_trie, warc_shards
+from . import curriculum_mix, embed_forest, html_blocks, imatch, piece_langid, piece_viterbi, prefix_trie, quality_fm, simhash_bk, substring_rk, suffix_sigma, token_trie, warc_shards
 from .common import table
 
 
@@ -57,8 +57,25 @@ def op10_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_piece_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return piece_langid.predict(docs, piece_langid.learn(docs))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_suffix_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_sigma.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_fm, op2_token_trie, op3_simhash_bk, op4_html_blocks, op5_curriculum_mix, op6_embed_forest, op7_imatch, op8_substring_rk, op9_warc_shards, op10_piece_viterbi)}
+    every = (
+        op1_quality_fm, op2_token_trie, op3_simhash_bk, op4_html_blocks, op5_curriculum_mix, op6_embed_forest, op7_imatch, op8_substring_rk, op9_warc_shards, op10_piece_viterbi,
+        op11_piece_langid, op12_prefix_trie, op13_suffix_sigma,
+    )
+    return {f.__name__: f for f in every}
 
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -151,5 +168,40 @@ FROM e JOIN f a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN f c ON c.doc_id = e.d
 """
 
 
+#: CRC-32 of a decimal text, bit by bit: a byte goes in at the first of its eight steps.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: [ascii(ch), 0, 0, 0, 0, 0, 0, 0]::BIGINT[]))),
+lambda x, b: xor(xor(x, b) >> 1, 3988292384 * (xor(x, b) & 1))))"""
+
+OP12 = rf"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, t.i, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.i < c.h UNION ALL SELECT c.conv_id, 1, t.i, role, text FROM c JOIN t ON t.conv_id = c.conv_id WHERE t.i >= c.h),
+d AS (SELECT conv_id, text, row_number() OVER w AS depth, md5(string_agg(md5(len(role) || ':' || role || text), '') OVER w) AS key FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)),
+z AS (SELECT c.conv_id, coalesce(max(depth), 0) AS size FROM c LEFT JOIN d USING (conv_id) GROUP BY c.conv_id),
+m AS (SELECT conv_id, depth, key, lag(key, 1, 'root') OVER (PARTITION BY conv_id ORDER BY depth) AS above, text, size FROM d JOIN z USING (conv_id) UNION ALL SELECT conv_id, 0, 'root', NULL, '', size FROM z),
+n AS (SELECT key, any_value(depth) AS depth, min(conv_id) AS conv_id, any_value(above) AS above, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^ 	-]+')) AS cost, max(size) = any_value(depth) AS leaf FROM m GROUP BY key),
+k AS (SELECT above AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY above),
+b AS (SELECT m.key, sum(n.cost) AS saved, count(*) FILTER (n.leaf) AS n_leaves FROM n JOIN m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.key),
+e AS (SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM m WHERE depth = size GROUP BY key)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM n JOIN b USING (key) LEFT JOIN k USING (key) LEFT JOIN e USING (key) LEFT JOIN n p ON p.key = n.above
+"""
+
+OP13 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?
+-]')), '[^ 	]+') AS w FROM d),
+g AS (SELECT lang, unnest(flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(0, least(3, len(w) - i + 1)), lambda k: w[i:i + k])))) AS ws FROM p),
+f AS (SELECT lang, ws, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE len(ws) = 1 GROUP BY lang),
+c AS (SELECT lang, ws, f AS a FROM f WHERE len(ws) > 1 AND f >= 10),
+u AS (SELECT c.lang, c.ws, a, k, l.f AS l, r.f AS r, CAST(1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f) AS BIGINT) AS score FROM (SELECT *, unnest(range(1, len(ws))) AS k FROM c) c JOIN f l ON l.lang = c.lang AND l.ws = c.ws[:k] JOIN f r ON r.lang = c.lang AND r.ws = c.ws[k + 1:]),
+s AS (SELECT lang, ws, any_value(a) AS a, arg_min(struct_pack(l, r, score), (score, k)) AS x FROM u GROUP BY lang, ws),
+i AS (SELECT lang, ws, max(a) AS longer FROM (SELECT lang, a, unnest([ws[1:2], ws[2:3]]) AS ws FROM c WHERE len(ws) = 3) GROUP BY lang, ws),
+o AS (SELECT s.lang, array_to_string(s.ws, ' ') AS phrase, a, x.l AS l, x.r AS r, x.score AS score FROM s LEFT JOIN i ON i.lang = s.lang AND i.ws = s.ws WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_curriculum_mix": OP5, "op6_embed_forest": OP6, "op7_imatch": OP7, "op8_substring_rk": OP8, "op9_warc_shards": OP9}
+    return {"op5_curriculum_mix": OP5, "op6_embed_forest": OP6, "op7_imatch": OP7, "op8_substring_rk": OP8, "op9_warc_shards": OP9, "op12_prefix_trie": OP12, "op13_suffix_sigma": OP13}
