@@ -43,12 +43,8 @@ _SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
-def scratch(spark: SparkSession, shuffles: bool = False) -> Iterator[None]:
-    """Deletes, at its end, the tables that ``written`` made inside; what reads them must be stored before.
-
-    Spark deletes the shuffle files of jobs that are done when the driver's JVM finds them to be garbage, which on
-    an idle heap may be long after; with ``shuffles`` the end of the block asks it to look.
-    """
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that ``written`` made inside; what reads them must be stored before."""
     mine: list[str] = []
     token = _SCRATCH.set((*_SCRATCH.get(), mine))
     try:
@@ -57,11 +53,15 @@ def scratch(spark: SparkSession, shuffles: bool = False) -> Iterator[None]:
         _SCRATCH.reset(token)
         for uri in mine:
             drop_dir(spark, uri)
-        if shuffles:
-            spark._jvm.System.gc()
 
 
-def written(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+def free(df: DataFrame, name: str) -> str:
+    """The name, or the first of name_1, name_2, ... that no column has (Spark does not tell upper from lower case)."""
+    have = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{k}" for k in range(1, len(have) + 2))) if n.lower() not in have)
+
+
+def written(df: DataFrame, name: str, outlives: bool = False, **options: str) -> DataFrame:
     """The rows as a table in the shared folder; one that outlives its scratch block goes with the block around that.
 
     This cuts the lineage so that a lost executor costs no earlier work, and gives
@@ -71,7 +71,7 @@ def written(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     open_blocks = _SCRATCH.get()
     if len(open_blocks) > outlives:
         open_blocks[-1 - outlives].append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

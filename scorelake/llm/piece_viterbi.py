@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import lean, slices
+from .common import free, lean, slices
 from .pieces import MARK, Pieces, distinct, load, mix, points_of, powers, prefix_hashes, segments, utf8_sizes
 
 CELLS = 1 << 17
@@ -143,15 +143,16 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
 
 
 def decode(tokens: DataFrame, pieces: Pieces | None = None) -> DataFrame:
-    """The columns of tokens and text, decoded from token_ids."""
+    """The columns of tokens and last the text that token_ids decode to, called text or by ``common.free`` if there is such a column."""
+    name = free(tokens, "text")
     sent = tokens.sparkSession.sparkContext.broadcast(pieces or load())
-    schema = ", ".join(f"`{c}` {t}" for c, t in tokens.dtypes) + ", text string"
+    schema = ", ".join(f"`{c}` {t}" for c, t in tokens.dtypes) + f", {name} string"
 
     def run(batches):
         for b in slices(batches, "token_ids"):
             ids = b.column("token_ids")
             texts = [decode_ids(x.values.to_numpy(), sent.value) if x.is_valid else None for x in ids]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, name])
 
     return tokens.mapInArrow(run, schema)
 

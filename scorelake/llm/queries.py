@@ -41,7 +41,8 @@ def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_substring_rk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_rk.remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "cut.n_words", "cut.n_removed", F.sha2(F.col("cut.kept").cast("binary"), 256).alias("kept_sha256"))
+    cut = found[found.columns[-1]]
+    return found.select("doc_id", cut["n_words"].alias("n_words"), cut["n_removed"].alias("n_removed"), F.sha2(cut["kept"].cast("binary"), 256).alias("kept_sha256"))
 
 
 def op9_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +180,8 @@ r AS (SELECT c.conv_id, 0 AS part, t.i, role, text FROM c JOIN t ON t.conv_id =
 d AS (SELECT conv_id, text, row_number() OVER w AS depth, md5(string_agg(md5(len(role) || ':' || role || text), '') OVER w) AS key FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)),
 z AS (SELECT c.conv_id, coalesce(max(depth), 0) AS size FROM c LEFT JOIN d USING (conv_id) GROUP BY c.conv_id),
 m AS (SELECT conv_id, depth, key, lag(key, 1, 'root') OVER (PARTITION BY conv_id ORDER BY depth) AS above, text, size FROM d JOIN z USING (conv_id) UNION ALL SELECT conv_id, 0, 'root', NULL, '', size FROM z),
-n AS (SELECT key, any_value(depth) AS depth, min(conv_id) AS conv_id, any_value(above) AS above, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^ 	-]+')) AS cost, max(size) = any_value(depth) AS leaf FROM m GROUP BY key),
+n AS (SELECT key, any_value(depth) AS depth, min(conv_id) AS conv_id, any_value(above) AS above, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^ 	-
+]+')) AS cost, max(size) = any_value(depth) AS leaf FROM m GROUP BY key),
 k AS (SELECT above AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY above),
 b AS (SELECT m.key, sum(n.cost) AS saved, count(*) FILTER (n.leaf) AS n_leaves FROM n JOIN m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.key),
 e AS (SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM m WHERE depth = size GROUP BY key)
@@ -190,7 +192,8 @@ FROM n JOIN b USING (key) LEFT JOIN k USING (key) LEFT JOIN e USING (key) LEFT J
 OP13 = r"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?
--]')), '[^ 	]+') AS w FROM d),
+-
+]')), '[^ 	]+') AS w FROM d),
 g AS (SELECT lang, unnest(flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(range(0, least(3, len(w) - i + 1)), lambda k: w[i:i + k])))) AS ws FROM p),
 f AS (SELECT lang, ws, count(*) AS f FROM g GROUP BY ALL),
 n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE len(ws) = 1 GROUP BY lang),

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import runs, shard_pairs
-from .common import SPACE, lean, width, written
+from .common import SPACE, free, lean, width, written
 from .components import connected
 
 RADIUS = 2
@@ -177,17 +177,18 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, k: int = SHINGLE, shard:
     The hash takes columns of plain types; of rows alike in all of these one stays.
     """
     plain = [c for c, t in docs.dtypes if "<" not in t and t not in ("variant", "void")]
-    rows = docs.withColumn("_row", F.xxhash64(*plain))
+    row = free(docs, "row")
+    rows = docs.withColumn(row, F.xxhash64(*plain))
 
     def run(batches):
         for b in batches:
             fp = np.fromiter((fingerprint(t, k) for t in b["text"]), np.uint64, len(b)).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp, "row": b["_row"]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp, "row": b[row]})
 
-    marked = written(lean(rows, doc_id="bigint", text="string", _row="bigint").mapInPandas(run, "doc_id bigint, fp bigint, row bigint"), "fingerprints")
+    marked = written(lean(rows, doc_id="bigint", text="string", **{row: "bigint"}).mapInPandas(run, "doc_id bigint, fp bigint, row bigint"), "fingerprints")
     owners = _owners(marked, radius, shard).select(F.col("owner.doc_id").alias("_id"), F.col("owner.row").alias("_keep")).distinct()
     same = lambda df, one: df["doc_id"].cast("bigint").eqNullSafe(one["_id"])
     kept = written(marked.join(owners, same(marked, owners) & (marked["row"] == owners["_keep"])).groupBy("_id", "_keep").count(), "kept")
-    once, more = (rows.join(one := kept.where(x), same(rows, one) & (rows["_row"] == one["_keep"]), "left_semi") for x in ("count = 1", "count > 1"))
+    once, more = (rows.join(one := kept.where(x), same(rows, one) & (rows[row] == one["_keep"]), "left_semi") for x in ("count = 1", "count > 1"))
     # only rows that repeat exactly are gathered again, to leave one of them
-    return once.unionByName(more.dropDuplicates(["doc_id", "_row"])).drop("_row")
+    return once.unionByName(more.dropDuplicates(["doc_id", row])).drop(row)

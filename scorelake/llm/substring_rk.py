@@ -13,13 +13,13 @@ document of smaller doc_id; windows are judged on the input.
    intervals, whose words are removed.
 
 Counts and minima are pre-aggregated before their shuffles; the joins back are plain
-shuffled joins which adaptive execution may split.  A window is known by 79 bits: a hash
-modulo 2**64 and 15 bits of a check modulo the prime 2**31 - 1 (which strings made to collide modulo a
-power of two do not share; words are known by all of it).  Bytes are hashed in blocks of ``CHUNK``, cut between words.
+shuffled joins which adaptive execution may split.  A window is known by 95 bits: a hash
+modulo 2**64 and a check modulo the prime 2**31 - 1 (which strings made to collide modulo a
+power of two do not share), as words are.  Bytes are hashed in blocks of ``CHUNK``, cut between words.
 
 Null text has no words.  A row with a null doc_id is kept whole and removes nothing
 elsewhere.  Rows that share a doc_id do not remove each other.  Shorter texts than a window
-are kept.  An empty table gives no rows.  Extra columns are ignored.
+are kept.  An empty table gives no rows.  Extra columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, lean, scratch, written
+from .common import SPACE, free, lean, scratch, written
 
 WINDOW = 13
 ANCHOR = 5
@@ -41,6 +41,7 @@ CHUNK = 1 << 18
 _SPACE = re.compile(SPACE)
 _BASE, _WORD = (0x9E3779B97F4A7C15 | 1), (0xD6E8FEB86659FD93 | 1)
 _PRIME, _BASE31, _WORD31 = (1 << 31) - 1, 1_103_515_245, 1_812_433_253
+_KEY = np.dtype([("h", np.int64), ("c", np.int32)])
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
@@ -145,7 +146,7 @@ def _pairs(doc: np.ndarray, value: np.ndarray, ids: list, check: np.ndarray | No
     doc, value = doc[order], value[order]
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-    more = {} if check is None else {"c": (check[order][new] & 0x7FFF).astype(np.int16)}
+    more = {} if check is None else {"c": check[order][new].astype(np.int32)}
     return pd.DataFrame({"doc_id": np.array(ids, np.int64)[doc[new]], "h": value[new].view(np.int64)} | more)
 
 
@@ -169,20 +170,27 @@ def _window_rows(docs: DataFrame, size: int, gram: int) -> DataFrame:
             s = s[np.isin(anchors(h, doc, s, size, gram), np.concatenate(found).view(np.uint64))]
             yield _pairs(doc[s], _ranges(h, s, s + size, _WORD), ids, _checks(c, s, s + size, _WORD31))
 
-    return docs.mapInPandas(run, "doc_id bigint, h bigint, c smallint")
+    return docs.mapInPandas(run, "doc_id bigint, h bigint, c int")
+
+
+def _listed(keys: list[dict] | np.ndarray | None) -> np.ndarray:
+    """Hashes and checks of windows, in order of both."""
+    return np.sort(np.array([(x["h"], x["c"]) for x in keys], _KEY))
 
 
 def _cut(texts: list, gone: list, size: int):
-    """For each text: words, removed words, kept text."""
-    h, _, doc = word_hashes(texts)
+    """For each text: words, removed words, kept text.  gone: hashes and checks of its windows that go."""
+    h, c, doc = word_hashes(texts)
     s = windows(doc, size)
-    w = _ranges(h, s, s + size, _WORD)
+    w = np.empty(len(s), _KEY)
+    w["h"], w["c"] = _ranges(h, s, s + size, _WORD).view(np.int64), _checks(c, s, s + size, _WORD31)
     out = np.zeros(len(h) + 1, np.int64)
-    have = [(k, np.sort(np.asarray(g, np.int64).view(np.uint64))) for k, g in enumerate(gone) if g is not None and len(g)]
+    have = [(k, _listed(g)) for k, g in enumerate(gone) if g is not None and len(g)]
     if have:
         first, last = np.searchsorted(doc[s], [k for k, _ in have]), np.searchsorted(doc[s], [k for k, _ in have], "right")
         for (_, g), a, b in zip(have, first, last):
-            hit = g[np.minimum(np.searchsorted(g, w[a:b]), len(g) - 1)] == w[a:b]
+            hit = np.isin(w["h"][a:b], g["h"])
+            hit[hit] = g[np.minimum(np.searchsorted(g, w[a:b][hit]), len(g) - 1)] == w[a:b][hit]
             np.add.at(out, s[a:b][hit], 1)
             np.add.at(out, s[a:b][hit] + size, -1)
     covered = np.cumsum(out[:-1]) > 0  # overlapping and touching windows have merged
@@ -197,25 +205,28 @@ def _cut(texts: list, gone: list, size: int):
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW, gram: int = ANCHOR, name: str = "cut") -> DataFrame:
-    """The rows and columns of docs, and a struct ``name``: n_words, n_removed, kept (the words left, joined by one space)."""
+    """The rows and columns of docs, and last a struct: n_words, n_removed, kept (the words left, joined by one space).
+
+    The struct is called ``name``, or by ``common.free`` if docs has such a column.
+    """
     named = lean(docs, doc_id="bigint", text="string").where("doc_id is not null")
-    spark = docs.sparkSession
-    with scratch(spark, shuffles=True):
-        with scratch(spark, shuffles=True):
+    with scratch(docs.sparkSession):
+        with scratch(docs.sparkSession):
             grams = _anchor_rows(named, size, gram)
             shared = written(grams.groupBy("h").count().where("count > 1").select("h"), "anchors")
             flagged = written(grams.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("found")), "flagged")
             seen = written(_window_rows(named.join(flagged, "doc_id"), size, gram), "windows", outlives=True)
-        first = seen.groupBy("h", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        # a row for each document and window: counted, a window of several rows may be one of several documents
+        first = seen.groupBy("h", "c").agg(F.min("doc_id").alias("first"), F.count("*").cast("int").alias("n")).where("n > 1")
         first = written(first.select("h", "c", "first"), "firsts")
         again = seen.join(first, ["h", "c"]).where("doc_id > first")
-        gone = written(again.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("h").alias("_gone")), "gone", outlives=True)
+        gone = written(again.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("h", "c")).alias("_gone")), "gone", outlives=True)
 
     @F.pandas_udf("n_words bigint, n_removed bigint, kept string")
-    def cut(text: pd.Series, hashes: pd.Series) -> pd.DataFrame:
-        got = [x for t, g in _chunks([pd.DataFrame({"text": text, "gone": hashes})], ["text", "gone"]) for x in _cut(t, g, size)]
+    def cut(text: pd.Series, keys: pd.Series) -> pd.DataFrame:
+        got = [x for t, g in _chunks([pd.DataFrame({"text": text, "gone": keys})], ["text", "gone"]) for x in _cut(t, g, size)]
         return pd.DataFrame(got, columns=["n_words", "n_removed", "kept"])
 
     cut = cut.asNondeterministic()  # else a filter on what it returns would run it a second time
     joined = docs.join(gone, docs["doc_id"].cast("bigint") == gone["_id"], "left")
-    return joined.select(*[docs[c] for c in docs.columns], cut(docs["text"].cast("string"), gone["_gone"]).alias(name))
+    return joined.select(*[docs[c] for c in docs.columns], cut(docs["text"].cast("string"), gone["_gone"]).alias(free(docs, name)))

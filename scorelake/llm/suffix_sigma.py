@@ -182,7 +182,7 @@ def phrase_counts(docs: DataFrame, most: int = MOST, least: int = LEAST, chunk:
     """k, f: every phrase of at most ``most`` words and ``least`` occurrences, as suffixes are written."""
     spark = docs.sparkSession
     with scratch(spark):
-        rows = written(_suffixes(docs, most, chunk), "suffixes")
+        rows = written(_suffixes(docs, most, chunk), "suffixes", compression="zstd")
         # from the last to the first, so that longer suffixes come before their prefixes
         dealt = rows.repartitionByRange(width(spark), F.desc("k")).sortWithinPartitions(F.desc("k"))
         found = written(dealt.mapInArrow(lambda b: _prefixes(b, most, least), "k string, f bigint, edge boolean"), "prefixes", outlives=True)

@@ -70,3 +70,17 @@ def test_stages_take_awkward_and_empty_tables(spark):
         for _, stage in C.STAGES:
             docs = written(stage(spark, docs, DATA), "test-stage")
         assert docs.count() <= 3 * len(rows)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Extra columns called as inner ones stay, with their values."""
+    extra = {"_row": "r", "row": "q", "_cut": "c", "cut": "d", "_id": "i", "_keep": "k", "fp": "f", "component_id": "m"}
+    rows = [(k, f"some plain words of text number {k % 3} here", "en", "s", 9, *extra.values()) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in extra))
+    for _, stage in C.STAGES[1:4]:
+        docs = written(stage(spark, docs, DATA), "test-stage")
+        assert docs.columns[5:] == list(extra)
+        assert all(r[c] == v for r in docs.collect() for c, v in extra.items())
+    assert docs.count() > 0
+    again = piece_viterbi.decode(piece_viterbi.encode(docs).selectExpr("*", "'x' as text"))
+    assert again.columns == ["doc_id", "token_ids", "text", "text_1"] and again.where("text <> 'x' or text_1 not like 'some%'").isEmpty()

@@ -47,3 +47,32 @@ def test_awkward_rows(spark):
     assert found(df) == brute([r[:2] for r in rows], 13)
     assert S.remove_repeats(df).columns == [*df.columns, "cut"]
     assert S.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_equal_hashes_of_unlike_words(spark, monkeypatch):
+    """Windows whose hashes are forced to be equal are told apart by their checks."""
+    import numpy as np
+
+    one, other = " ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(20))
+    rows = [doc(1, one), doc(2, other), doc(3, other), doc(4, f"x {one}")]
+    plain = S._ranges
+
+    def few(values, starts, ends, base):
+        return plain(values, starts, ends, base) if base != S._WORD else np.full(len(starts), 7, np.uint64)
+
+    texts = [r[1] for r in rows]
+    monkeypatch.setattr(S, "_ranges", few)
+    gone, first = [], {}
+    for k, t in enumerate(texts):
+        h, c, d = S.word_hashes([t])
+        s = S.windows(d, 13)
+        keys = [{"h": int(a), "c": int(b)} for a, b in zip(few(h, s, s + 13, S._WORD).view(np.int64), S._checks(c, s, s + 13, S._WORD31))]
+        gone.append([x for x in keys if first.setdefault((x["h"], x["c"]), k) < k])
+    got = [(n, r, kept) for n, r, kept in S._cut(texts, gone, 13)]
+    assert got == [x[1:] for x in brute([r[:2] for r in rows], 13)]
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "u", "v", "w", 3)], "doc_id bigint, text string, CUT string, cut_1 string, h string, c int")
+    out = S.remove_repeats(df)
+    assert out.columns == [*df.columns, "cut_2"] and out.first()["cut_2"]["kept"] == "a b"
