@@ -28,10 +28,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document of smaller doc_id has go; a text that loses words is joined
     anew by single spaces, and a document that loses all of them goes."""
-    found = substring_rk.remove_repeats(docs, name="_cut")
-    cut = F.col("_cut.n_removed") > 0
-    text = F.when(cut, F.col("_cut.kept")).otherwise(F.col("text"))
-    out = found.where(~cut | (F.col("_cut.kept") != "")).withColumn("text", text)
+    found = substring_rk.remove_repeats(docs)
+    made = F.col(found.columns[-1])
+    cut = made["n_removed"] > 0
+    text = F.when(cut, made["kept"]).otherwise(F.col("text"))
+    out = found.where(~cut | (made["kept"] != "")).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut, F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
