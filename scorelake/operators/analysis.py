@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import marking, scores
+from . import marking, ranges, scores
 
 
 def with_partners(excluded: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -75,16 +75,14 @@ def shift(new: DataFrame, old: DataFrame, key: str = "task") -> DataFrame:
 
 def islands(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """by, run, value, n, first: stretches of equal values in an order."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    changed = F.coalesce((~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int"), F.lit(1))
-    marked = rows.withColumn("_new", F.when(F.row_number().over(w) == 1, 1).otherwise(changed)).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = ranges.runs(rows, by, order, value)
     return marked.groupBy(*by, "run").agg(F.max(value).alias(value), F.count("*").alias("n"), F.min(order[0]).alias("first"))
 
 
 def running_groups(rows: DataFrame, by: list[str], order: str, closes: Column) -> DataFrame:
     """Adds group: a row that closes a group is its last."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("group", F.coalesce(F.sum(closes.cast("int")).over(w), F.lit(0)))
+    out = ranges.running(rows, by, [order], F.coalesce(closes.cast("int"), F.lit(0)), "group", until=-1)
+    return out.withColumn("group", F.coalesce("group", F.lit(0)))
 
 
 def published_check(rows: DataFrame, by: list[str], slack: float = 0.1) -> DataFrame:

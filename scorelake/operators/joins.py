@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import quantiles
+
 
 def answered(questions: DataFrame, answers: DataFrame, key: str = "id") -> DataFrame:
     """All questions, with their answers where there are any."""
@@ -62,7 +64,8 @@ def billed_clips(answers: DataFrame, shapes: DataFrame, text_tokens: int = 110,
     answers: model_id, id, prompt_tokens.  shapes: id, frames, width, height.
     """
     rows = answers.join(shapes, "id").withColumn("tokens", F.col("prompt_tokens") - text_tokens)
-    return rows.groupBy("model_id", "frames", "width", "height").agg(F.count("tokens").alias("n"), F.median("tokens").alias("billed")).where(F.col("n") >= least)
+    keys = ["model_id", "frames", "width", "height"]
+    return quantiles(rows, keys, "tokens", {"billed": 0.5}).where(F.col("n") >= least).select(*keys, "n", "billed")
 
 
 def priced(models: DataFrame, prices: DataFrame) -> DataFrame:

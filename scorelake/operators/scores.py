@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def composite(other: Column, accuracy: Column, instruction: Column, w_other: Column, w_accuracy: Column, w_instruction: Column) -> Column:
     """Sum in this order, so that the last bit is always the same."""
@@ -73,20 +75,16 @@ def frontier_pairs(points: DataFrame) -> DataFrame:
 
 
 def frontier(points: DataFrame) -> DataFrame:
-    """As frontier_pairs, by a running maximum over the best score of each cost, so equal costs are peers.
-
-    Aggregating first leaves one row a distinct cost for the window.
-    """
+    """As frontier_pairs, by a running maximum (over ranges of cost) of the best score of each cost, so equal costs are peers."""
     known = points.where("cost is not null and score is not null")
     best = known.groupBy("cost").agg(F.max("score").alias("best"))
-    upto = best.withColumn("upto", F.max("best").over(Window.orderBy("cost").rowsBetween(Window.unboundedPreceding, 0))).select("cost", "upto")
+    upto = ranges.running(best, [], ["cost"], F.col("best"), "upto", how=F.max).select("cost", "upto")
     return known.join(upto, "cost").where(F.col("score") >= F.col("upto")).select(*points.columns)
 
 
 def budget_ranges(points: DataFrame, *ties: str) -> DataFrame:
     """The frontier with next_cost: each point is the best for budgets from cost up to next_cost."""
-    order = Window.orderBy("cost", *ties)
-    return frontier(points).withColumn("next_cost", F.lead("cost").over(order))
+    return ranges.following(frontier(points), ["cost", *ties], "cost", "next_cost")
 
 
 def task_summary(task_scores: DataFrame) -> DataFrame:

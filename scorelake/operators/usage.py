@@ -5,46 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Distinct values of each key with how many are at most as large.
-
-    Equal values are counted before the shuffle, so the window holds one row a distinct
-    value and no task collects the values of a key.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
-
-
-def _at(index: Column, value: str) -> Column:
-    """The value at a place of the sorted values: the least with more than that many up to it."""
-    return F.min(F.when(F.col("_upto") > index, F.col(value)))
+from . import ranges
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """keys, n and a column for each share q: the sorted value at min(n - 1, floor(n * q))."""
-    r = _ranks(rows, keys, value)
-    place = lambda q: F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(q)))
-    return r.groupBy(*keys).agg(F.max("_n").alias("n"), *[_at(place(q), value).alias(name) for name, q in shares.items()], F.max(value).alias("max"))
+    place = lambda q: lambda n: F.least(n - 1, F.floor(n * F.lit(q)))
+    return ranges.order_statistics(rows, keys, value, {name: place(q) for name, q in shares.items()} | {"max": lambda n: n - 1})
 
 
 def upper_median(rows: DataFrame, keys: list[str], value: str, name: str = "upper_median") -> DataFrame:
     """keys and the sorted value at n div 2."""
-    return _ranks(rows, keys, value).groupBy(*keys).agg(_at(F.floor(F.col("_n") / 2), value).alias(name))
+    return ranges.order_statistics(rows, keys, value, {name: lambda n: F.floor(n / 2)}).drop("n")
 
 
 def spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, median, population sd, min, max, range."""
     v = F.col(value)
-    return rows.groupBy(*keys).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("spread")
-    )
+    out = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("spread"))
+    out = ranges.joined(out, ranges.quantiles(rows, keys, value, {"median": 0.5}).drop("n"), keys, "left")
+    return out.select(*keys, "n", "mean", "median", "sd", "min", "max", "spread")
 
 
 def quartiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Interpolated quartiles."""
-    return rows.groupBy(*keys).agg(*[F.percentile(value, F.lit(q)).alias(name) for name, q in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))])
+    """Interpolated quartiles; null for keys without values."""
+    found = ranges.quantiles(rows, keys, value, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).drop("n")
+    return ranges.joined(rows.select(*keys).distinct(), found, keys, "left")
 
 
 def billed(rows: DataFrame, keys: list[str], cost: str = "cost") -> DataFrame:
@@ -95,7 +81,9 @@ def run_totals(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def fit_residuals(rows: DataFrame, keys: list[str], billed_tokens: str, rule_tokens: str, least: int = 20) -> DataFrame:
     """Per shape with at least ``least`` rows: the median billed, the rule's figure, and the residual in percent."""
-    out = rows.groupBy(*keys).agg(F.median(billed_tokens).alias("billed"), F.max(rule_tokens).alias("rule"), F.count("*").alias("n")).where(F.col("n") >= least)
+    big = rows.groupBy(*keys).agg(F.max(rule_tokens).alias("rule"), F.count("*").alias("n")).where(F.col("n") >= least)
+    median = ranges.quantiles(rows, keys, billed_tokens, {"billed": 0.5}).drop("n")
+    out = ranges.joined(big, median, keys, "left").select(*keys, "billed", "rule", "n")
     return out.withColumn("residual_pct", F.try_divide(100 * (F.col("billed") - F.col("rule")), F.col("rule")))
 
 
