@@ -63,8 +63,9 @@ def test_hot_words_and_passages(spark):
 
 
 def test_awkward_rows(spark):
-    rows = awkward() * 3
-    assert found(spark.createDataFrame(rows, DOCS), least=2) == brute([(r[1], r[2]) for r in rows], least=2)
+    rows = awkward() * 3 + [doc(200, "A b c")] * 5 + [(201, "a b c", None, None, None, None, None, None, None)] * 4
+    want = brute([(r[1], r[2]) for r in rows], least=4)
+    assert found(spark.createDataFrame(rows, DOCS), least=4) == want and {r[0] for r in want} == {"en", "und"}
     assert found(spark.createDataFrame([], DOCS)) == []
 
 
