@@ -19,19 +19,38 @@ def digest(value: object) -> str:
     return hashlib.sha256(canonical(value).encode()).hexdigest()
 
 
+def digest_or_none(value: object) -> str | None:
+    """None for a value that has no canonical form: a number that is not finite."""
+    try:
+        return digest(value)
+    except ValueError:
+        return None
+
+
 def canonical_digest(raw: Column) -> Column:
-    """SHA-256 of the canonical form of JSON texts; null for null.
+    """SHA-256 of the canonical form of JSON texts; null for null and for texts without such a form (see digest_error).
 
     Spark's to_json neither sorts keys nor writes floats like this, so it is an Arrow function.
     """
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else digest(json.loads(t)))
+        def of(text: str | None) -> str | None:
+            try:
+                return None if text is None else digest(json.loads(text))
+            except ValueError:  # no JSON, or a number that is not finite
+                return None
+
+        return texts.map(of)
 
     return run(raw)
 
 
+def digest_error(raw: Column, digest: Column) -> Column:
+    """Why a text has no digest; null where it has one, or is null itself."""
+    return F.when(raw.isNotNull() & digest.isNull(), "no canonical JSON")
+
+
 def joined_digest(*parts: Column) -> Column:
     """SHA-256 of the parts, each with its length in front: distinct lists never join to one text."""
     each = [F.concat(F.char_length(F.coalesce(p.cast("string"), F.lit(""))).cast("string"), F.lit(":"), F.coalesce(p.cast("string"), F.lit(""))) for p in parts]
@@ -44,8 +63,13 @@ def short_id(*parts: Column) -> Column:
 
 def question_id(revision: Column, task: Column, sample_index: Column, question_index: Column, sample: Column) -> Column:
     """24 hex digits that name a question: of the canonical list of revision, task, both positions and the digest of the sample's JSON."""
+    return question_id_of(revision, task, sample_index, question_index, canonical_digest(sample))
+
+
+def question_id_of(revision: Column, task: Column, sample_index: Column, question_index: Column, sample_digest: Column) -> Column:
+    """The same, from the sample's digest."""
     names = F.to_json(F.array(revision, task))
-    listed = F.concat(F.substring(names, F.lit(1), F.char_length(names) - 1), F.lit(","), F.concat_ws(",", sample_index, question_index), F.lit(',"'), canonical_digest(sample), F.lit('"]'))
+    listed = F.concat(F.substring(names, F.lit(1), F.char_length(names) - 1), F.lit(","), F.concat_ws(",", sample_index, question_index), F.lit(',"'), sample_digest, F.lit('"]'))
     return F.substring(F.sha2(listed.cast("binary"), 256), 1, 24)
 
 
@@ -69,8 +93,8 @@ def request_digest(model: Column, prompt: Column, urls: Column, max_tokens: Colu
 CLIP = "struct<encoded_frames:int,frames:array<string>>"
 
 # Forms of identifiers.
-REVISION = "^[0-9a-f]{40}$"
-SHA256 = "^[0-9a-f]{64}$"
+REVISION = r"\A[0-9a-f]{40}\z"
+SHA256 = r"\A[0-9a-f]{64}\z"
 COLOUR = "^#[0-9a-f]{6}$"
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,6 +145,19 @@ def two_decimals(c: Column) -> Column:
     return F.when(F.isnan(c), "NaN").otherwise(F.concat(F.when(c < 0, "-").otherwise(""), F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """The nearest number of that many decimals to the double's exact value (0.1234565, which is less than it looks, gives 0.123456), ties to even.
+
+    Spark rounds the shortest text of a double instead, so it is an Arrow function.
+    """
+
+    @F.pandas_udf("double")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: round(x, digits), na_action="ignore")
+
+    return run(c.cast("double"))
+
+
 def frame_url(base: str, folder: Column, name: Column) -> Column:
     """base/folder/name with everything percent-encoded but letters, digits, ``_.-~`` and slashes."""
     part = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))

@@ -81,7 +81,7 @@ def image_urls(base: str, folder: Column, raw_question: Column, sequence: Column
 
 def mark_cell(accuracy: Column, other: Column) -> Column:
     """The two numbers of an answer cell, to 6 and 4 decimals."""
-    return F.struct(F.round(accuracy, 6).alias("accuracy"), F.round(other, 4).alias("other"))
+    return F.struct(T.rounded(accuracy, 6).alias("accuracy"), T.rounded(other, 4).alias("other"))
 
 
 def of_models(rows: DataFrame, chosen: list) -> DataFrame:
@@ -143,12 +143,18 @@ def by_statistic(statistic: str, group: str, ordinal: str, descending: bool = Tr
     return [F.col(group).asc(), *keys]
 
 
+# What references of two families must look like; digits and blanks of any script.
+RELATION = r"(?U)\A-?\d+(?:/-?\d+)*\z"
+SPEED_PAIR = r"(?U)\[\s*-?\d+\s*,\s*-?\d+\s*\]"
+
+
 def reference_errors(family: Column, is_box: Column, text: Column, box: Column) -> Column:
-    """What is wrong with a reference of a family; null if nothing."""
+    """What is wrong with a reference of a family; null if nothing.  Grounding checks boxes only, and a blank is a reference."""
     bad_box = box.isNull() | (F.size(box) != 4) | F.exists(box, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | (F.get(box, F.lit(0)) > F.get(box, F.lit(2))) | (F.get(box, F.lit(1)) > F.get(box, F.lit(3)))
     return (
         F.when((family == "grounding") & is_box, F.when(F.coalesce(bad_box, F.lit(True)), "bad box"))
-        .when(family == "relation", F.when(~F.coalesce(F.rlike(text, F.lit(r"^-?\d+(/\d+)*$")), F.lit(False)), "bad relation"))
-        .when(family == "speed", F.when(~F.coalesce(F.rlike(text, F.lit(r"\[\s*-?\d+\s*,\s*-?\d+\s*\]")), F.lit(False)), "bad speed pair"))
-        .otherwise(F.when(F.coalesce(F.trim(text), F.lit("")) == "", "empty reference"))
+        .when(family == "relation", F.when(~F.coalesce(F.rlike(text, F.lit(RELATION)), F.lit(False)), "bad relation"))
+        .when(family == "speed", F.when(~F.coalesce(F.rlike(text, F.lit(SPEED_PAIR)), F.lit(False)), "bad speed pair"))
+        .when(family == "grounding", None)
+        .otherwise(F.when(F.coalesce(text, F.lit("")) == "", "empty reference"))
     )

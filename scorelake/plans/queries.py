@@ -698,9 +698,9 @@ def reference_checks(spark, d):
     """FLT-9, FLT-10."""
     k, many = F.col("l_linenumber") % 4, F.col("l_quantity") > 25
     family = F.when(k == 0, "grounding").when(k == 1, "relation").when(k == 2, "speed").otherwise("choice")
-    text = F.when(k == 1, F.when(many, "1/").otherwise("1/2")).when(k == 2, F.when(many, "x [1, 2]").otherwise("[1]")).otherwise(F.when(many, " ").otherwise("A"))
+    text = F.when(k == 1, F.when(many, "1/").otherwise("1/2")).when(k == 2, F.when(many, "x [1, 2]").otherwise("[1]")).otherwise(F.when(many, "").otherwise("A"))
     box = F.array(F.when(many, 9.0).otherwise(1.0), F.lit(1.0), F.lit(5.0), F.lit(5.0))
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", exports.reference_errors(family, k == 0, text, box).alias("error"))
 
 
-from . import whole  # noqa: E402, F401  (registers the queries of the whole evaluation, which use the helpers above)
+from . import from_files, whole  # noqa: E402, F401  (register the queries of the whole evaluation and of files, which use the helpers above)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +16,18 @@ def session(name: str = "scorelake", master: str | None = None, **settings: str)
     for key, value in (fixed | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir, which driver and executors share; a local one only where that is unset, on a local master."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file:///tmp/scorelake-shared"
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
