@@ -101,7 +101,7 @@ def leaderboard(task_scores: DataFrame, models: DataFrame) -> DataFrame:
     return ranked(out, [F.desc("total"), F.asc("model_id")])
 
 
-def best_of_lab(models: DataFrame) -> DataFrame:
-    """Adds lab_best, and position: labs by their best mean, then name, size rank and id."""
+def best_of_lab(models: DataFrame, collation: str = "UNICODE") -> DataFrame:
+    """Adds lab_best, and position: labs by their best mean, then name (in a collation's order, and where that finds names equal by their bytes), size rank and id."""
     best = models.withColumn("lab_best", F.max("mean").over(Window.partitionBy("lab")))
-    return ranked(best, [F.desc("lab_best"), F.asc("lab"), F.asc(F.coalesce("size_rank", F.lit(99))), F.asc("model_id")], "position")
+    return ranked(best, [F.desc("lab_best"), F.collate(F.col("lab"), collation).asc(), F.asc("lab"), F.asc(F.coalesce("size_rank", F.lit(99))), F.asc("model_id")], "position")

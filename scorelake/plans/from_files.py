@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import identity
 from ..functions import text as T
-from ..operators import exports
+from ..operators import audit, exports, scores
 from ..session import drop_folder, fresh_folder
-from ..sources import lines
+from ..sources import lines, readers, writers
+from . import sql_functions
 from .queries import r6, registered, table
 from .scoring_run import Model, Spec, candidates, scoring_run
 
@@ -119,3 +120,87 @@ def exact_checks(spark: SparkSession, d: str) -> DataFrame:
     revision = F.when(F.col("doc_id") % 3 == 0, F.concat(sha, F.lit("\n"))).when(F.col("doc_id") % 3 == 1, sha).otherwise(F.substring(sha, 1, 39))
     cell = exports.mark_cell(F.col("doc_id") / 7.0 + F.lit(0.1234565).cast("double"), (F.col("doc_id") % 1000) / 32.0 + F.lit(0.00005).cast("double"))
     return table(spark, d, "documents").select("doc_id", exports.reference_errors(family, F.lit(False), text, F.lit(None).cast("array<double>")).alias("relation_error"), identity.is_revision(revision).alias("revision"), cell.alias("c")).select("doc_id", "relation_error", "revision", "c.*")
+
+
+# ---- audit, order of names, tasks written anew, SQL functions --------------------------------------
+
+
+_Q = """q AS (SELECT o_orderkey AS k, o_custkey AS sample_index, o_orderkey % 5 AS t FROM orders),
+a AS (SELECT k, sample_index, CASE t WHEN 0 THEN 'Sign_Sign_Relation' WHEN 1 THEN 'VRU_Cross' ELSE 'Weather' END AS task,
+  CASE t WHEN 0 THEN 'scene_local_relation_ids' WHEN 1 THEN CASE WHEN k % 2 = 1 THEN 'yes_no [front]' ELSE 'yes_no' END WHEN 2 THEN 'categorical ["a", "b c", "d''e"]' WHEN 3 THEN 'categorical ["x", "y"]' ELSE 'categorical question Plain ' || k % 4 END AS key,
+  CASE t WHEN 0 THEN 'scene_local_relation_ids' WHEN 1 THEN 'yes_no' ELSE 'categorical' END AS type,
+  CASE t WHEN 0 THEN CASE WHEN k % 3 = 0 THEN 'x' ELSE '1/-2' END WHEN 1 THEN CASE WHEN k % 3 = 0 THEN 'yes' ELSE 'no' END WHEN 2 THEN CASE WHEN k % 11 = 0 THEN 'zzz' ELSE 'd''e' END WHEN 3 THEN CASE WHEN k % 4 < 2 THEN 'x' ELSE 'y' END ELSE 'one' END AS norm,
+  CASE t WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN (k % 11 <> 0)::INTEGER WHEN 3 THEN 0 ELSE 1 END AS changed, CASE t WHEN 0 THEN (k % 3 = 0)::INTEGER WHEN 2 THEN (k % 11 = 0)::INTEGER ELSE 0 END AS bad FROM q)"""
+
+
+def _audited(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    t = k % 5
+    raw = (
+        F.when(t == 0, "a.png;Which signs?").when(t == 1, F.concat(F.when(k % 2 == 1, "[front]").otherwise("a.png"), F.lit(";Is it? [2, 3] or ['yes', 'no']"))).when(t == 2, "a.png;Which of ['A', \"B c\", 'd\\'e', 'a'] [not a list]?")
+        .when(t == 3, "a.png;Which? [1] ['y', 'x']").otherwise(F.concat(F.lit("a.png;Plain "), k % 4))
+    )
+    ref = (
+        F.when(t == 0, F.when(k % 3 == 0, "x").otherwise("1/-2")).when(t == 1, F.when(k % 3 == 0, "(Yes.").otherwise("No:")).when(t == 2, F.when(k % 11 == 0, "zzz").otherwise("D'E"))
+        .when(t == 3, F.when(k % 4 < 2, "x").otherwise("y")).otherwise("One")
+    )
+    rows = table(spark, d, "orders").select(
+        F.when(t == 0, "Sign_Sign_Relation").when(t == 1, "VRU_Cross").otherwise("Weather").alias("task"), F.when(t == 0, "relation").when(t == 1, "judge").otherwise("choice").alias("family"), F.col("o_custkey").alias("sample_index"),
+        k.alias("question_index"), raw.alias("raw_question"), ref.alias("reference"), F.lit("text").alias("reference_kind"), F.concat(F.lit('"'), ref, F.lit('"')).alias("raw_reference"), F.lit(None).cast("array<double>").alias("reference_box"),
+    )
+    return audit.labelled(rows)
+
+
+@registered(f"""WITH {_Q}, n AS (SELECT task, key, norm, count(*) AS n, min(struct_pack(s := sample_index, k)) AS first FROM a GROUP BY ALL),
+m AS (SELECT task, key, arg_max(norm, (n, -first.s, -first.k)) AS answer, max(n) AS correct FROM n GROUP BY ALL),
+b AS (SELECT task, key, any_value(type) AS type, count(*) AS questions, count(DISTINCT sample_index) AS samples, CAST(sum(changed) AS BIGINT) AS changed, CAST(sum(bad) AS BIGINT) AS bad FROM a GROUP BY ALL)
+SELECT task, key, type, questions, samples, changed, bad, CASE WHEN g THEN answer END AS answer, CASE WHEN g THEN correct END AS correct, CASE WHEN g THEN round(correct / questions, 6) END::DOUBLE AS accuracy
+FROM (SELECT *, type = 'yes_no' OR (key LIKE 'categorical [%' AND bad = 0) AS g FROM b JOIN m USING (task, key))""")
+def audit_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-26, AGG-27: buckets by kind and options (quotes and escapes of Python), selector or question; bad references; baselines only where answers are clean."""
+    return audit.buckets(_audited(spark, d)).withColumn("accuracy", r6("accuracy"))
+
+
+@registered(f"""WITH {_Q} SELECT task, key, 'normalized' AS form, norm AS label, count(*) AS n FROM a GROUP BY ALL
+UNION ALL SELECT task, key, 'raw', '"' || CASE key[1:6] WHEN 'scene_' THEN norm WHEN 'yes_no' THEN CASE norm WHEN 'yes' THEN '(Yes.' ELSE 'No:' END ELSE CASE norm WHEN 'd''e' THEN 'D''E' WHEN 'one' THEN 'One' ELSE norm END END || '"', count(*) FROM a GROUP BY ALL""")
+def audit_distributions(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-26: raw labels beside normalised ones."""
+    return audit.distributions(_audited(spark, d)).drop("first")
+
+
+_LABS = ("Zeta", "alpha", "Éclair", "eclipse", "Beta", "ångström", "apple")
+
+
+@registered("""WITH m AS (SELECT s_suppkey AS model_id, s_nationkey % 7 AS k, s_suppkey % 5 AS size_rank, (s_suppkey % 3)::DOUBLE AS mean FROM supplier),
+l AS (SELECT *, max(mean) OVER (PARTITION BY k) AS lab_best, [7, 1, 5, 6, 4, 2, 3][k + 1] AS place FROM m)
+SELECT model_id, ['Zeta', 'alpha', 'Éclair', 'eclipse', 'Beta', 'ångström', 'apple'][k + 1] AS lab, lab_best, row_number() OVER (ORDER BY lab_best DESC, place, size_rank, model_id) AS position FROM l""")
+def lab_names(spark: SparkSession, d: str) -> DataFrame:
+    """SRT-2: names of labs in the order of a locale, whatever their case and accents."""
+    rows = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("model_id"), F.element_at(F.array(*map(F.lit, _LABS)), (F.col("s_nationkey") % 7 + 1).cast("int")).alias("lab"), (F.col("s_suppkey") % 5).alias("size_rank"), (F.col("s_suppkey") % 3).cast("double").alias("mean")
+    )
+    return scores.best_of_lab(rows).select("model_id", "lab", "lab_best", F.col("position").cast("bigint").alias("position"))
+
+
+@registered("SELECT task, l_suppkey, CASE task WHEN 'R' THEN 100 * n ELSE n END AS n FROM (SELECT l_returnflag AS task, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)")
+def rewritten_task(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-1, SNK-5, SRC-13: a folder a task; one task is written anew, others stay, and each is read by its folder only."""
+    at = fresh_folder(spark, "tasks")
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("task"), "l_suppkey").agg(F.count("*").alias("n"))
+    writers.by_task(rows, at)
+    writers.by_task(rows.where("task = 'R'").withColumn("n", F.col("n") * 100), at)
+    flags = ("A", "N", "R")
+    parts = [readers.task_answers(spark, at, f) for f in flags]
+    return _kept(spark, parts[0].unionByName(parts[1]).unionByName(parts[2]).select("task", "l_suppkey", "n"), at)
+
+
+@registered("""WITH b AS (SELECT p_partkey, [10, 10, 50 + p_size, 60] AS a, [p_size, 20, p_size + 40, 70] AS g, p_size FROM part), s AS (SELECT *, greatest(least(a[3], g[3]) - greatest(a[1], g[1]) + 1, 0) * greatest(least(a[4], g[4]) - greatest(a[2], g[2]) + 1, 0) AS shared FROM b)
+SELECT p_partkey, round(30.0 * (shared::DOUBLE / ((a[3] - a[1] + 1) * 51 + 41 * 51 - shared)) + 50.0 * (p_size % 2) + 20.0, 6)::DOUBLE AS score, (8 * ceil((640 + p_size * 10) / 16.0) * 30 * 1.2)::DOUBLE AS tokens FROM s""")
+def sql_function_scores(spark: SparkSession, d: str) -> DataFrame:
+    """SQL functions composite, box_iou and clip_tokens, in a query written in SQL."""
+    sql_functions.register(spark)
+    return spark.sql(
+        """select p_partkey, round(composite(box_iou(array(10D, 10D, double(50 + p_size), 60D), array(double(p_size), 20D, double(p_size + 40), 70D)), double(p_size % 2), 1D, 0.3D, 0.5D, 0.2D), 6) as score,
+        clip_tokens('patch', 640 + p_size * 10, 480, 8, 16, 1.2D, null, null) as tokens from {part}""",
+        part=table(spark, d, "part"),
+    )

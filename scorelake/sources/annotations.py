@@ -116,7 +116,7 @@ def selector_error(sample: Column, raw_question: Column) -> Column:
 
 
 def questions(spark: SparkSession, path: str, families: DataFrame, revision: str, scorer_model: str = "") -> DataFrame:
-    """A row for each question: id, task, family, sample_id, sample_index, question_index, raw_question, prompt, sequence, frames, reference (text), reference_box, dimension, error.
+    """A row for each question: id, task, family, sample_id, sample_index, question_index, raw_question, prompt, sequence, frames, reference (text), reference_kind, raw_reference (JSON), reference_box, dimension, error.
 
     Rows of a sample that has an error in its structure stand for it with question_index null; other errors are those of a question.
     """
@@ -128,7 +128,7 @@ def questions(spark: SparkSession, path: str, families: DataFrame, revision: str
     side = box_numbers(F.try_variant_get("sample", "$.dimension", "variant"))
     rows = rows.select(
         "task", "family", "sample", "sample_index", "question_index", "digest", text_of.alias("sample_id"), raw.alias("raw_question"), _text_field("country").alias("country"), _text_field("sequence").alias("sequence"),
-        token_text(ref).alias("reference"), _kind(ref).alias("kind"), box_numbers(ref).alias("reference_box"), side.alias("dimension"), "error", F.size(F.try_variant_get("sample", "$.questions", "array<variant>")).alias("n"),
+        token_text(ref).alias("reference"), _kind(ref).alias("kind"), F.to_json(ref).alias("raw_reference"), box_numbers(ref).alias("reference_box"), side.alias("dimension"), "error", F.size(F.try_variant_get("sample", "$.questions", "array<variant>")).alias("n"),
     )
     box = M.is_box_question(F.col("raw_question"))
     strings = F.when((F.col("kind") == "text") | ~F.col("family").isin("relation", "speed"), F.col("reference"))
@@ -141,5 +141,5 @@ def questions(spark: SparkSession, path: str, families: DataFrame, revision: str
     name = identity.question_id_of(F.lit(revision), F.col("task"), F.col("sample_index"), F.col("question_index"), F.col("digest"))
     return rows.select(
         F.when(F.col("question_index").isNotNull(), name).alias("id"), "task", "family", "sample_id", "sample_index", "question_index", "raw_question", T.prompt(F.col("raw_question"), F.col("country")).alias("prompt"), "sequence",
-        frames(F.col("sample"), F.col("raw_question")).alias("frames"), "reference", "reference_box", "dimension", F.coalesce("error", own).alias("error"),
+        frames(F.col("sample"), F.col("raw_question")).alias("frames"), "reference", F.col("kind").alias("reference_kind"), "raw_reference", "reference_box", "dimension", F.coalesce("error", own).alias("error"),
     )

@@ -55,6 +55,11 @@ def answer_documents(marked: DataFrame) -> DataFrame:
     return marked.groupBy("task", "sample_index", "question_index").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("model_id"), cell)))).alias("answers"))
 
 
+def by_task(df: DataFrame, path: str) -> None:
+    """A folder a task; folders of tasks that df has are written anew, those of all others stay as they are."""
+    df.repartition("task").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("task").parquet(path)
+
+
 def text_table(scores: DataFrame, models: list, row: str = "task", form: str = "csv") -> DataFrame:
     """A line for each row with a score of two decimals for each model, as CSV or LaTeX."""
     wide = scores.groupBy(row).pivot("model_id", models).agg(F.max("score"))

@@ -151,4 +151,22 @@ def test_rounding_takes_the_exact_value(spark):
     values = [0.1234565, 0.5e-6, 1.5e-6, 2.5, -0.1234565, 1e300, None, float("nan")]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(T.rounded(F.col("v"), 6)).collect()]
     assert got[:6] == [round(v, 6) for v in values[:6]] and got[6] is None
-    assert marks is not None
+
+
+def test_option_literals():
+    from scorelake.operators.audit import literal_options
+
+    assert literal_options("['x'];Which ['A', \"it's\", 'd\\'e', 'a']?") == ["a", "d'e", "it's"]
+    assert literal_options("a;['ok'] then [not a list] and [1, 2]") == ["ok"]
+    assert literal_options("no selector ['b' 'c']") == ["bc"] and literal_options("a;none") == [] and literal_options("a;[]") == [] and literal_options(None) is None
+
+
+def test_sql_functions_equal_columns(spark):
+    from scorelake.functions import metering
+    from scorelake.plans import sql_functions
+
+    sql_functions.register(spark)
+    df = spark.createDataFrame([([1.0, 2.5, 30.9, 40.0], [5.0, 5.0, 25.5, 60.0], "patch"), ([9.0, 9.0, 1.0, 1.0], [0.0] * 4, "area"), ([1.0, 1.0, 2.0, 2.0], [50.0, 50.0, 60.0, 60.0], "pair"), ([0.0] * 4, [0.0] * 4, "none")], "a array<double>, b array<double>, kind string")
+    tokens = metering.clip_tokens(F.col("kind"), F.lit(640), F.lit(480), F.lit(5), F.lit(16), F.lit(1.5), F.lit(0.001), F.lit(7.0))
+    rows = df.select(marks.box_iou(F.col("a"), F.col("b")), F.expr("box_iou(a, b)"), tokens, F.expr("clip_tokens(kind, 640, 480, 5, 16, 1.5D, 0.001D, 7D)")).collect()
+    assert all(r[0] == r[1] and r[2] == r[3] for r in rows)
