@@ -6,7 +6,7 @@ for, other the family's own part, kind what sort of question it is.  Malformed n
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -163,3 +163,113 @@ def mark(family: Column, raw_question: Column, reference: Column, reference_box:
         .when(family == "speed", speed_mark(reference, answer))
         .otherwise(choice_mark(raw_question, reference, answer))
     )
+
+
+# ---- the same marks added to rows -------------------------------------------------------------------
+# What a mark uses more than once becomes a column of its own first.  Spark keeps such projections apart, so that each value is
+# computed once and in generated code, where the lambda that binds it inside one expression is interpreted.
+
+
+def _staged(rows: DataFrame, *stages: dict[str, Column], drop: tuple[str, ...] = ()) -> DataFrame:
+    for stage in stages:
+        rows = rows.withColumns(stage)
+    return rows.drop(*drop)
+
+
+_PARTS = ("_question", "_cleaned", "_list", "_tips", "_right", "_found", "_box", "_grown", "_iou", "_ids", "_given", "_wanted")
+
+
+def _asked(rows: DataFrame, raw_question: Column, answer: Column, when: Column | None = None) -> DataFrame:
+    """Adds the question's text, the cleaned answer and the question's options (where ``when`` holds)."""
+    only = (lambda c: c) if when is None else (lambda c: F.when(when, c))
+    last = F.regexp_extract_all("_question", F.lit(r"\[([^\]]+)\]"), F.lit(1))
+    return _staged(
+        rows, {"_question": T.question_text(raw_question), "_cleaned": only(T.clean(F.lower(T.remove_symbols(answer))))}, {"_list": F.try_element_at(only(last), F.lit(-1))}, {"_tips": T.parted(F.col("_list"))}, drop=("_list",)
+    )
+
+
+def _choice(reference: Column) -> Column:
+    ref, cleaned = F.lower(reference), F.col("_cleaned")
+    kind = F.when(ref.isin("true", "false"), "boolean").otherwise("choice")
+    return _mark(_chosen(cleaned, ref, F.col("_tips")), T.single(cleaned) & F.contains(F.col("_question"), cleaned), None, kind)
+
+
+def _judge(reference: Column) -> Column:
+    yes_no, cleaned, right = is_judgment(reference), F.col("_cleaned"), F.col("_right")
+    told = T.single(cleaned) & F.contains(F.col("_question"), F.replace(cleaned, F.lit(";"), F.lit("")))
+    return _mark(right, told, F.when(yes_no, right.cast("double")), F.when(yes_no, "judgment").otherwise("description"))
+
+
+def _is_right(reference: Column) -> Column:
+    return _chosen(F.col("_cleaned"), T.clean(F.lower(reference)), F.col("_tips"))
+
+
+def _four(text: Column) -> Column:
+    """Four numbers of a box, each part's digits and points, written out."""
+    parts = F.split(text, ",")
+    return F.array(*[F.regexp_replace(F.get(parts, F.lit(k)), "[^0-9.]", "").try_cast("double") for k in range(4)])
+
+
+def _grid(box: Column, size: float = 1000.0) -> Column:
+    side = [F.get(box, F.lit(k)) for k in range(4)]
+    return F.when(side[0] + side[1] + side[2] + side[3] < 4, F.array(*[v * size for v in side])).otherwise(box)
+
+
+def _boxed(rows: DataFrame, reference: Column, answer: Column, when: Column | None = None) -> DataFrame:
+    """Adds _found (boxes of the answer) and _iou."""
+    only = (lambda c: c) if when is None else (lambda c: F.when(when, c))
+    one = F.size("_found") == 1
+    return _staged(
+        rows, {"_found": only(boxes_in(answer))}, {"_box": F.when(one, _four(F.get("_found", F.lit(0)))).otherwise(F.array(*[F.lit(0.0)] * 4))}, {"_grown": _grid(F.col("_box"))},
+        {"_iou": only(box_iou(reference, F.col("_grown")))}, drop=("_box", "_grown"),
+    )
+
+
+def _overlap() -> Column:
+    return _mark((F.col("_iou") > 0.5).cast("double"), F.size("_found") == 1, F.col("_iou"), "box")
+
+
+def _related(rows: DataFrame, reference: Column, answer: Column, when: Column | None = None) -> DataFrame:
+    """Adds _ids (what the answer names), _given and _wanted."""
+    only = (lambda c: c) if when is None else (lambda c: F.when(when, c))
+    told, linked = F.contains(answer, F.lit("corresponds to")), F.contains(answer, F.lit("corresponding to"))
+    last = F.coalesce(F.try_element_at(F.regexp_extract_all(answer, F.lit(NUMBERS), F.lit(1)), F.lit(-1)), F.lit(""))
+    raw = F.when(told, F.regexp_extract(answer, CORRESPONDS, 1)).when(linked, F.regexp_extract(answer, CORRESPONDING, 1)).otherwise(last)
+    given = F.when(F.col("_ids") == "", F.array().cast("array<string>")).otherwise(F.split("_ids", "/"))
+    return _staged(rows, {"_ids": only(raw), "_wanted": only(F.split(reference, "/"))}, {"_given": given})
+
+
+def _relation(answer: Column) -> Column:
+    told, linked = F.contains(answer, F.lit("corresponds to")), F.contains(answer, F.lit("corresponding to"))
+    wrong = F.size(F.array_except("_given", "_wanted")) > 0
+    credit = F.when(wrong, 0.0).otherwise(F.aggregate("_given", F.lit(0.0), lambda z, n: z + F.lit(1.0) / F.size("_wanted")))
+    return _mark(credit, ~told & ~linked & (F.col("_ids") != ""), None, "relation")
+
+
+def with_choice_mark(rows: DataFrame, raw_question: Column, reference: Column, answer: Column, name: str = "mark") -> DataFrame:
+    return _asked(rows, raw_question, answer).withColumn(name, _choice(reference)).drop(*_PARTS)
+
+
+def with_judge_mark(rows: DataFrame, raw_question: Column, reference: Column, answer: Column, name: str = "mark") -> DataFrame:
+    return _staged(_asked(rows, raw_question, answer), {"_right": _is_right(reference)}, {name: _judge(reference)}, drop=_PARTS)
+
+
+def with_box_mark(rows: DataFrame, reference: Column, answer: Column, name: str = "mark") -> DataFrame:
+    return _boxed(rows, reference, answer).withColumn(name, _overlap()).drop(*_PARTS)
+
+
+def with_relation_mark(rows: DataFrame, reference: Column, answer: Column, name: str = "mark") -> DataFrame:
+    return _related(rows, reference, answer).withColumn(name, _relation(answer)).drop(*_PARTS)
+
+
+def with_mark(rows: DataFrame, name: str = "mark") -> DataFrame:
+    """Adds the mark of an answer by its task's family.  rows: family, raw_question, reference, reference_box, answer."""
+    family, raw, reference, answer = (F.col(c) for c in ("family", "raw_question", "reference", "answer"))
+    kind = F.when((family == "grounding") & is_box_question(raw), "box").when(family.isin("judge", "relation", "speed"), family).otherwise("choice")
+    rows = rows.withColumn("_kind", kind)
+    k = F.col("_kind")
+    rows = _asked(rows, raw, answer, k.isin("judge", "choice"))
+    rows = _related(_boxed(rows, F.col("reference_box"), answer, k == "box"), reference, answer, k == "relation")
+    rows = rows.withColumn("_right", F.when(k == "judge", _is_right(reference)))
+    made = F.when(k == "box", _overlap()).when(k == "judge", _judge(reference)).when(k == "relation", _relation(answer)).when(k == "speed", speed_mark(reference, answer)).otherwise(_choice(reference))
+    return rows.withColumn(name, made).drop(*_PARTS, "_kind")

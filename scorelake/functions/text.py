@@ -47,12 +47,13 @@ def clean(c: Column) -> Column:
 def options(text: Column) -> Column:
     """The entries of the last bracketed list; without quotes in it they part at comma and space, else between quotes."""
     last = let(F.regexp_extract_all(text, F.lit(r"\[([^\]]+)\]"), F.lit(1)), lambda g: F.when(F.size(g) > 0, F.element_at(g, -1)))
+    return let(last, parted)
 
-    def parted(one: Column) -> Column:
-        quoted = F.transform(F.split(one, "', '"), lambda x: F.btrim(squish(x), F.lit("'")))
-        return F.coalesce(F.when(F.contains(one, F.lit("'")), quoted).otherwise(F.split(one, ", ")), F.array().cast("array<string>"))
 
-    return let(last, parted)
+def parted(one: Column) -> Column:
+    """The entries of what stood between brackets; none for null."""
+    quoted = F.transform(F.split(one, "', '"), lambda x: F.btrim(squish(x), F.lit("'")))
+    return F.coalesce(F.when(F.contains(one, F.lit("'")), quoted).otherwise(F.split(one, ", ")), F.array().cast("array<string>"))
 
 
 def single(cleaned: Column) -> Column:

@@ -26,7 +26,7 @@ def flatten(samples: DataFrame) -> DataFrame:
 def mark_answers(answers: DataFrame, families: DataFrame) -> DataFrame:
     """answers: task, raw_question, reference, reference_box, answer and more.  Adds family and mark."""
     rows = answers.join(F.broadcast(families), "task", "left")  # one row a task
-    return rows.withColumn("mark", M.mark(F.col("family"), F.col("raw_question"), F.col("reference"), F.col("reference_box"), F.col("answer")))
+    return M.with_mark(rows)
 
 
 def pair_halves(rows: DataFrame, keys: list[str], position: str, accuracy: str, name: str = "pair") -> DataFrame:

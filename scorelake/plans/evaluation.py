@@ -32,8 +32,7 @@ class Evaluation:
     def marks(self) -> DataFrame:
         """Answers of complete, valid samples with their marks and pairs."""
         rows = self.checked().where("eligible").drop("eligible", "error")
-        made = marks.mark(F.col("family"), F.col("raw_question"), F.col("reference"), F.col("reference_box"), F.col("answer"))
-        flat = rows.withColumn("mark", made).select(*rows.columns, "mark.*")
+        flat = marks.with_mark(rows).select(*rows.columns, "mark.*")
         return marking.pair_halves(flat, self.KEYS, "question_index", "accuracy")
 
     def denominators(self) -> DataFrame:

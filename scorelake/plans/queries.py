@@ -313,7 +313,7 @@ def flag_answers(spark: SparkSession, d: str) -> DataFrame:
 CASE WHEN NOT contains(c, ''', ''') AND contains('which flag? options: [''a'', ''n'', ''r'']', c) THEN 1 ELSE 0 END::INTEGER AS instruction FROM x""")
 def choice_marks(spark, d):
     """MRK-1, TXT-5."""
-    rows = flag_answers(spark, d).withColumn("m", M.choice_mark(F.col("raw"), F.col("ref"), F.col("answer")))
+    rows = M.with_choice_mark(flag_answers(spark, d), F.col("raw"), F.col("ref"), F.col("answer"), "m")
     return rows.select("l_orderkey", "l_linenumber", "m.accuracy", "m.instruction")
 
 
@@ -323,7 +323,7 @@ def judge_marks(spark, d):
     """MRK-2."""
     ref = F.when(F.col("l_returnflag") == "N", "yes").when(F.col("l_returnflag") == "A", "no").otherwise("car")
     answer = F.when(F.col("l_linenumber") % 3 == 0, "Yes.").when(F.col("l_linenumber") % 3 == 1, "no").otherwise("car")
-    rows = table(spark, d, "lineitem").withColumn("m", M.judge_mark(F.lit("image;Is it a car? Options: ['yes', 'no', 'car']"), ref, answer))
+    rows = M.with_judge_mark(table(spark, d, "lineitem"), F.lit("image;Is it a car? Options: ['yes', 'no', 'car']"), ref, answer, "m")
     return rows.select("l_orderkey", "l_linenumber", "m.accuracy", "m.instruction", "m.other", "m.kind")
 
 
@@ -333,7 +333,7 @@ def relation_marks(spark, d):
     """MRK-6."""
     ref = F.concat_ws("/", F.col("l_linenumber"), F.col("l_linenumber") % 3 + 1)
     answer = F.concat(F.lit("Sign 0 belongs to lanes "), F.concat_ws("/", F.col("l_orderkey") % 4 + 1, F.col("l_linenumber") % 3 + 1), F.lit("."))
-    rows = table(spark, d, "lineitem").withColumn("m", M.relation_mark(ref, answer))
+    rows = M.with_relation_mark(table(spark, d, "lineitem").withColumn("given", answer), ref, F.col("given"), "m")
     return rows.select("l_orderkey", "l_linenumber", "m.accuracy", "m.instruction")
 
 
@@ -359,7 +359,7 @@ def box_marks(spark, d):
     ref = F.array(F.lit(100.0), F.lit(100.0), (100 + F.col("l_linenumber") * 20).cast("double"), F.lit(200.0))
     side = lambda c: F.format_string("%.1f", c)
     answer = F.concat(F.lit("It is at ["), F.concat_ws(", ", side(100 + F.col("l_quantity")), F.lit("90"), side(160 + F.col("l_quantity")), F.lit("190.5")), F.lit("]"))
-    rows = table(spark, d, "lineitem").withColumn("m", M.box_mark(ref, answer))
+    rows = M.with_box_mark(table(spark, d, "lineitem"), ref, answer, "m")
     return rows.select("l_orderkey", "l_linenumber", r6("m.other").alias("iou"), "m.accuracy", "m.instruction")
 
 

@@ -154,3 +154,23 @@ def test_text_of_chat_content(spark):
     cases = [('"plain"', "plain"), ('[{"type":"text","text":"a"},{"type":"image_url"},{"type":"text","text":"b"}]', "ab"), ("[]", ""), ("null", None), (None, None)]
     got = spark.createDataFrame([(c,) for c, _ in cases], "c string").select(T.message_text(F.col("c"))).collect()
     assert [r[0] for r in got] == [w for _, w in cases]
+
+
+def test_marks_of_rows_equal_marks_of_columns(spark):
+    """The staged forms give what the expressions give, for every family and awkward answers."""
+    schema = "family string, raw_question string, reference string, reference_box array<double>, answer string"
+    rows = [("choice", f"x.png;{q}", ref, None, a) for q, ref, a, *_ in CHOICES]
+    rows += [("judge", "image;Is it? ['yes', 'no', 'car']", ref, None, a) for ref in ("yes", "No.", "car") for a in ("Yes.", "no", "a car", "", "['yes', 'no']", None)]
+    rows += [("relation", "i;Which?", ref, None, a) for ref in ("1/2", "3/-4", "1") for a in ("1", "1/2", "corresponds to No.1/2", "corresponding to x is 3/-4", "none", "2/2", "", None)]
+    rows += [("speed", "i;Which?", "[40, 80]", None, a) for a in ("[40, 80]", "[40,90]", "[1, 2] [3, 4]", "", None)]
+    rows += [("grounding", "i;Located in the image?", None, [1.0, 1.0, 9.0, 9.0], a) for a in ("[1, 1, 9, 9]", "[0.1, 0.1, 0.2, 0.2]", "[a, 1, 2, 3]", "[1.2.3, 1, 9, 9]", "[1, 1, 9, 9] [2, 2, 3, 3]", "", None)]
+    rows += [("grounding", "i;Which? ['a', 'b']", "a", None, "a"), ("lane_change", "i;Which? ['1', '2']", "1", None, "1"), (None, "i;Which? ['1', '2']", "1", None, "2")]
+    df = spark.createDataFrame(rows, schema)
+    want = df.select("*", M.mark(*[F.col(c) for c in df.columns]).alias("mark"))
+    got = M.with_mark(df)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    q, ref, box, a = (F.col(c) for c in ("raw_question", "reference", "reference_box", "answer"))
+    for one, made in ((M.with_choice_mark(df, q, ref, a), M.choice_mark(q, ref, a)), (M.with_judge_mark(df, q, ref, a), M.judge_mark(q, ref, a)), (M.with_relation_mark(df, ref, a), M.relation_mark(ref, a))):
+        assert sorted(map(repr, one.collect())) == sorted(map(repr, df.select("*", made.alias("mark")).collect()))
+    boxed = df.where("reference_box is not null")
+    assert sorted(map(repr, M.with_box_mark(boxed, box, a).collect())) == sorted(map(repr, boxed.select("*", M.box_mark(box, a).alias("mark")).collect()))
