@@ -39,6 +39,12 @@ def drop_dir(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_at_end(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder when the driver's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 _SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
@@ -62,7 +68,7 @@ def free(df: DataFrame, name: str) -> str:
 
 
 def written(df: DataFrame, name: str, outlives: bool = False, **options: str) -> DataFrame:
-    """The rows as a table in the shared folder; one that outlives its scratch block goes with the block around that.
+    """The rows as a table in the shared folder; one that outlives its scratch block goes with the block around that, and one that has no block with the application.
 
     This cuts the lineage so that a lost executor costs no earlier work, and gives
     later joins true sizes, from which Spark decides whether a side may be broadcast.
@@ -72,6 +78,8 @@ def written(df: DataFrame, name: str, outlives: bool = False, **options: str) ->
     if len(open_blocks) > outlives:
         open_blocks[-1 - outlives].append(path)
     df.write.options(**options).parquet(path)
+    if len(open_blocks) <= outlives:
+        drop_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
