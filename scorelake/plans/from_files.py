@@ -72,9 +72,10 @@ def _files(spark: SparkSession, d: str, at: str) -> None:
 
 
 def _kept(spark: SparkSession, df: DataFrame, *gone: str) -> DataFrame:
-    """A small result as a table, after which the files that it came from go."""
+    """A small result as a table, after which the files that it came from go; the table goes with the application."""
     path = fresh_folder(spark, "result")
     df.write.parquet(path)
+    drop_folder(spark, path, at_end=True)
     for uri in gone:
         drop_folder(spark, uri)
     return spark.read.schema(df.schema).parquet(path)

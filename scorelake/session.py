@@ -28,6 +28,8 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def drop_folder(spark: SparkSession, uri: str) -> None:
+def drop_folder(spark: SparkSession, uri: str, at_end: bool = False) -> None:
+    """Deletes a folder, now or when the driver's JVM ends."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.deleteOnExit(path) if at_end else system.delete(path, True)
