@@ -116,3 +116,95 @@ def test_pages_off_the_usual_template():
         (f"<body><div hidden>{six}</div><section>{six}</section></body>", want),
     ]
     assert H.main_texts([p for p, _ in pages], H.trained()) == [w for _, w in pages]
+
+
+def plain_chances(net, x):
+    """The labeller written out number by number: gates in, forget, out, then the new value, forwards and backwards."""
+    import math
+
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    n, states = net.hidden, {}
+    for way in "fb":
+        w, u, c0 = (net.p[k + way].tolist() for k in ("W", "U", "c"))
+        h, c, out = [0.0] * n, [0.0] * n, {}
+        for t in range(len(x)) if way == "f" else range(len(x) - 1, -1, -1):
+            z = [c0[j] + sum(x[t][i] * w[i][j] for i in range(len(x[t])) if x[t][i]) + sum(h[i] * u[i][j] for i in range(n)) for j in range(4 * n)]
+            c = [sigmoid(z[n + j]) * c[j] + sigmoid(z[j]) * math.tanh(z[3 * n + j]) for j in range(n)]
+            h = [sigmoid(z[2 * n + j]) * math.tanh(c[j]) for j in range(n)]
+            out[t] = h
+        states[way] = out
+    v = net.p["v"][:, 0].tolist()
+    return [sigmoid(net.p["d"][0] + sum(a * b for a, b in zip(states["f"][t] + states["b"][t], v))) for t in range(len(x))]
+
+
+def test_forward_pass_against_plain_numbers():
+    net = H.Labeller(hidden=4, seed=9)
+    pages = [H.vectors(H.leaf_blocks(f"<body><nav class=menu><a href=x>Home</a></nav>{'<p>Some words, here.</p>' * k}<div>5 © x</div></body>")) for k in (1, 4, 2)]
+    x, real = H.padded(pages)
+    got = net.chances(x, real)
+    for k, page in enumerate(pages):
+        assert np.allclose(got[: len(page), k], plain_chances(net, page.tolist()))
+
+
+def parsed_blocks(source):
+    """Texts between tags of blocks, cut by another parser."""
+    from html.parser import HTMLParser
+
+    class Cutter(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.parts, self.raw = [], [], 0
+
+        def flush(self):
+            text = " ".join("".join(self.parts).split())
+            if text:
+                self.out.append(text)
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "style"):
+                self.raw += 1
+            elif tag not in H.INLINE:
+                self.flush()
+            elif tag == "br":
+                self.parts.append(" ")
+
+        def handle_startendtag(self, tag, attrs):
+            if tag not in H.INLINE:
+                self.flush()
+            elif tag == "br":
+                self.parts.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in ("script", "style"):
+                self.raw -= 1
+            elif tag not in H.INLINE:
+                self.flush()
+
+        def handle_data(self, data):
+            if not self.raw:
+                self.parts.append(data)
+
+    cutter = Cutter()
+    cutter.feed(source)
+    cutter.close()
+    cutter.flush()
+    return cutter.out
+
+
+def test_blocks_against_another_parser():
+    """On the pages of a table and on made ones, the blocks' texts are those that the standard library's parser gives."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(8)
+    tags = ["p", "div", "ul", "li", "h2", "span", "b", "a", "em", "section", "td"]
+    made = []
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 25)):
+            tag = rng.choice(tags)
+            parts.append(rng.choice([f"<{tag} class='x y'>", f"</{tag}>", "<br>", "<br/>", "<!-- c -->", "<script>if (a < b) x()</script>", "text &amp; more ", " é&nbsp;", "\n  \n", "5 &lt; 6"]))
+        made.append("".join(parts))
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist()
+    for page in [p for p in pages if p] + made:
+        assert [b.text for b in H.leaf_blocks(page)] == parsed_blocks(page), page[:300]
