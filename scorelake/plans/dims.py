@@ -25,14 +25,16 @@ WEIGHTS = {
 
 # Tasks of each family of marks; all others are choices.
 FAMILIES = {
-    "grounding": "Vehicle_Recognition VRU_Recognition Obstruction_Recognition",
-    "relation": "Light_Lane_Relation Sign_Sign_Relation Sign_Lane_Relation",
-    "lane_change": "Lane_Change_Relation",
-    "speed": "Lane_Speed_Relation",
-    "judge": "VRU_Cutin Vehicle_Cutin VRU_Cross Key_Obsturction_Detection Spatial_Temporal_Reasoning Risk_Prediction",
-    "choice": "Pavement_Marking Traffic_Sign Traffic_Light Right_Of_Way Light Weather Lane_Recognition Vehicle_Status Long_Short_Parking "
-    "Vehicle_Bahavior VRU_Bahavior Drive_Efficiency Longitudinal Lateral",
-}
+    "grounding": ["Vehicle_Recognition", "VRU_Recognition", "Obstruction_Recognition"],
+    "relation": ["Light_Lane_Relation", "Sign_Sign_Relation", "Sign_Lane_Relation"],
+    "lane_change": ["Lane_Change_Relation"],
+    "speed": ["Lane_Speed_Relation"],
+    "judge": ["VRU_Cutin", "Vehicle_Cutin", "VRU_Cross", "Key_Obsturction_Detection", "Spatial_Temporal_Reasoning", "Risk_Prediction"],
+    "choice": [
+        "Pavement_Marking", "Traffic_Sign", "Traffic_Light", "Right_Of_Way", "Light", "Weather", "Lane_Recognition", "Vehicle_Status", "Long_Short_Parking", "Vehicle_Bahavior", "VRU_Bahavior", "Drive_Efficiency",
+        "Longitudinal", "Lateral",
+    ],
+}
 
 
 def task_weights(spark: SparkSession) -> DataFrame:
@@ -40,4 +42,4 @@ def task_weights(spark: SparkSession) -> DataFrame:
 
 
 def task_families(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(t, f) for f, ts in FAMILIES.items() for t in ts.split()], "task string, family string")
+    return spark.createDataFrame([(t, f) for f, ts in FAMILIES.items() for t in ts], "task string, family string")
