@@ -159,6 +159,34 @@ def rounded(c: Column, digits: int) -> Column:
     return run(c.cast("double"))
 
 
+def utc_text(epoch: Column) -> Column:
+    """Seconds since 1970 as ISO text in UTC, with six decimals unless they are nought: 2026-01-02T03:04:05.250000+00:00."""
+    us = F.bround(epoch * 1_000_000).cast("bigint")
+    shown = F.date_format(F.to_utc_timestamp(F.timestamp_micros(us), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+    part = F.pmod(us, F.lit(1_000_000))
+    return F.concat(shown, F.when(part == 0, "").otherwise(F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0"))), F.lit("+00:00"))
+
+
+def day_of(iso: Column) -> Column:
+    return F.substring(iso, 1, 10)
+
+
+def second_of(iso: Column) -> Column:
+    """Date and time to the second, as reports show it."""
+    return F.concat(F.substring(iso, 1, 19), F.lit("Z"))
+
+
+# How reports name what a model was sent.
+VIDEO_LABEL = "Lossless 1 FPS MP4 sequences and image URLs"
+FALLBACK_LABEL = "; receipted H.264 fallback above the provider body limit"
+IMAGE_LABEL = "Ordered image URLs for sequences and image URLs"
+
+
+def transport_label(input_transport: Column, oversize_fallback: Column) -> Column:
+    video = F.concat(F.lit(VIDEO_LABEL), F.when(oversize_fallback == "none", "").otherwise(FALLBACK_LABEL))
+    return F.when(input_transport == "video_mp4", video).otherwise(IMAGE_LABEL)
+
+
 def frame_url(base: str, folder: Column, name: Column) -> Column:
     """base/folder/name with everything percent-encoded but letters, digits, ``_.-~`` and slashes."""
     part = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))

@@ -12,13 +12,15 @@ from . import dims
 
 class Evaluation:
     """answers: model_id, task, sample_index, question_index, raw_question, reference, reference_box, answer, and
-    error (what is wrong with the sample) where that was found before; bad references are found here."""
+    error (what is wrong with the sample) where that was found before; bad references are found here.
+
+    ``scorer_model`` names a model whose boxes may be on a grid: references then are marked on it by ``dimension`` (width, height)."""
 
     KEYS = ["model_id", "task", "sample_index"]
 
-    def __init__(self, answers: DataFrame, weights: DataFrame | None = None, families: DataFrame | None = None) -> None:
+    def __init__(self, answers: DataFrame, weights: DataFrame | None = None, families: DataFrame | None = None, scorer_model: str = "") -> None:
         spark = answers.sparkSession
-        self.answers = answers
+        self.answers, self.scorer_model = answers, scorer_model
         self.weights = weights if weights is not None else dims.task_weights(spark)
         self.families = families if families is not None else dims.task_families(spark)
 
@@ -32,6 +34,8 @@ class Evaluation:
     def marks(self) -> DataFrame:
         """Answers of complete, valid samples with their marks and pairs."""
         rows = self.checked().where("eligible").drop("eligible", "error")
+        if self.scorer_model:
+            rows = rows.withColumn("reference_box", marks.rescaled(F.col("reference_box"), F.col("dimension"), self.scorer_model))
         flat = marks.with_mark(rows).select(*rows.columns, "mark.*")
         return marking.pair_halves(flat, self.KEYS, "question_index", "accuracy")
 

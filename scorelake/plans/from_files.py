@@ -205,3 +205,17 @@ def sql_function_scores(spark: SparkSession, d: str) -> DataFrame:
         clip_tokens('patch', 640 + p_size * 10, 480, 8, 16, 1.2D, null, null) as tokens from {part}""",
         part=table(spark, d, "part"),
     )
+
+
+_US = "epoch_us(ts) + event_id % 3 * 250000"
+
+
+@registered(f"""SELECT event_id, t AS iso, substring(t, 1, 10) AS day, substring(t, 1, 19) || 'Z' AS second, CASE event_id % 3 WHEN 0 THEN 'Ordered image URLs for sequences and image URLs' WHEN 1 THEN 'Lossless 1 FPS MP4 sequences and image URLs' ELSE 'Lossless 1 FPS MP4 sequences and image URLs; receipted H.264 fallback above the provider body limit' END AS transport
+FROM (SELECT event_id, strftime(make_timestamp({_US}), '%Y-%m-%dT%H:%M:%S') || CASE WHEN ({_US}) % 1000000 = 0 THEN '' ELSE '.' || lpad((({_US}) % 1000000)::VARCHAR, 6, '0') END || '+00:00' AS t FROM events)""")
+def record_labels(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ-7 and date scalars: times as ISO text, their day and second, and what a transport is called."""
+    k = F.col("event_id") % 3
+    iso = T.utc_text((F.unix_micros(F.col("ts").cast("timestamp")) + k * 250_000) / 1_000_000)
+    rows = table(spark, d, "events").withColumn("iso", iso)
+    label = T.transport_label(F.when(k == 0, "ordered_image_urls").otherwise("video_mp4"), F.when(k == 1, "none").otherwise("h264_crf18"))
+    return rows.select("event_id", "iso", T.day_of(F.col("iso")).alias("day"), T.second_of(F.col("iso")).alias("second"), label.alias("transport"))

@@ -113,4 +113,4 @@ def scoring_run(
     last = lines.last_lines(known.select("model_id", "task", "id", "answer", "file", "line"), ["model_id", "task", "id"])
     models = F.explode(F.array(*[F.lit(m.id) for m in live.models])).alias("model_id")
     rows = asked.select(models, "*").drop("family").join(last.select("model_id", "task", "id", "answer"), ["model_id", "task", "id"], "left")
-    return ScoringRun(asked, known, Evaluation(rows, families=families))
+    return ScoringRun(asked, known, Evaluation(rows, families=families, scorer_model=scorer_model))

@@ -170,3 +170,35 @@ def test_sql_functions_equal_columns(spark):
     tokens = metering.clip_tokens(F.col("kind"), F.lit(640), F.lit(480), F.lit(5), F.lit(16), F.lit(1.5), F.lit(0.001), F.lit(7.0))
     rows = df.select(marks.box_iou(F.col("a"), F.col("b")), F.expr("box_iou(a, b)"), tokens, F.expr("clip_tokens(kind, 640, 480, 5, 16, 1.5D, 0.001D, 7D)")).collect()
     assert all(r[0] == r[1] and r[2] == r[3] for r in rows)
+
+
+def test_specifications_are_checked(spark):
+    from scorelake.sources.specs import protocol_spec
+
+    model = {
+        "id": "m", "provider": "p", "endpoint": "e", "model": "x", "reasoning_effort": "low", "reasoning_parameter": "reasoning_effort", "input_transport": "ordered_image_urls", "single_frame_policy": "not_applicable",
+        "oversize_fallback": "not_applicable", "video_options": {}, "credential": {"type": "environment"}, "backend_reproducibility": None,
+    }
+    good = {"schema_version": 2, "dataset_revision": "r", "tasks": "all", "protocol": {"temperature": None, "prompt": "original", "coordinate_convention": "native_pixels", "max_tokens": 5}, "models": [model]}
+    text = json.dumps(good)
+    assert protocol_spec(text, "r")["sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    video = {**model, "input_transport": "video_mp4", "single_frame_policy": "as_is", "oversize_fallback": "h264_crf18", "video_options": {"payload": {}}}
+    assert protocol_spec(json.dumps({**good, "models": [video]}), "r")
+    for change, why in (
+        ({"schema_version": 1}, "schema_version"), ({"models": []}, "models"), ({"models": [model, model]}, "models"), ({"protocol": {**good["protocol"], "max_tokens": True}}, "max_tokens"),
+        ({"models": [{**model, "reasoning_effort": "huge"}]}, "m: bad reasoning_effort"), ({"models": [{**model, "video_options": {"payload": 1}}]}, "video_options"), ({"models": [{**video, "oversize_fallback": "not_applicable"}]}, "oversize_fallback"),
+        ({"models": [{k: v for k, v in model.items() if k != "endpoint"}]}, "missing"),
+    ):
+        with pytest.raises(ValueError, match=why):
+            protocol_spec(json.dumps(good | change), "r")
+    with pytest.raises(ValueError, match="dataset_revision"):
+        protocol_spec(text, "other")
+
+
+def test_boxes_on_a_grid_in_a_run(spark):
+    from scorelake.plans.evaluation import Evaluation
+
+    rows = [("m", "VRU_Recognition", 0, 0, "i;Located in the image?", None, [64.0, 48.0, 320.0, 240.0], [640.0, 480.0], "[100, 100, 500, 500]"), ("m", "VRU_Recognition", 0, 1, "i;Is it? ['a']", "a", None, [640.0, 480.0], "a")]
+    df = spark.createDataFrame(rows, "model_id string, task string, sample_index int, question_index int, raw_question string, reference string, reference_box array<double>, dimension array<double>, answer string")
+    assert Evaluation(df, scorer_model="Qwen2").task_scores().first()["other"] == 1.0
+    assert Evaluation(df).task_scores().first()["other"] < 0.5
