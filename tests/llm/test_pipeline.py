@@ -19,7 +19,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "conversations"):
         c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return c
 
