@@ -142,7 +142,7 @@ def test_denominators(spark):
 def test_invalid_samples_and_bad_references_are_left_out(spark):
     schema = "model_id string, task string, sample_index int, question_index int, raw_question string, reference string, reference_box array<double>, answer string, error string"
     q = "image;what? ['sun', 'rain']"
-    rows = [("m", "Weather", 0, 0, q, "sun", None, "sun", None), ("m", "Weather", 1, 0, q, "sun", None, "rain", "bad"), ("m", "Weather", 2, 0, q, "sun", None, "rain", None), ("m", "Weather", 2, 1, q, " ", None, "rain", None)]
+    rows = [("m", "Weather", 0, 0, q, "sun", None, "sun", None), ("m", "Weather", 1, 0, q, "sun", None, "rain", "bad"), ("m", "Weather", 2, 0, q, "sun", None, "rain", None), ("m", "Weather", 2, 1, q, "", None, "rain", None)]
     run = Evaluation(spark.createDataFrame(rows, schema))
     assert [(r["score"], r["n"]) for r in run.task_scores().collect()] == [(100.0, 1)]
     d = run.denominators().first()
@@ -196,9 +196,9 @@ def test_grid_composite(spark):
 def test_reference_errors_and_order(spark):
     from scorelake.operators import exports
 
-    df = spark.createDataFrame([("grounding", "", None), ("grounding", "", [1.0, 1.0, 2.0]), ("grounding", "", [1.0, 1.0, 2.0, 2.0]), ("grounding", "", [1.0, 1.0, 2.0, float("inf")]), ("relation", "1/2/3", None), ("relation", None, None), ("speed", "to [1, 2]", None), ("choice", " ", None)], "f string, t string, b array<double>")
+    df = spark.createDataFrame([("grounding", "", None), ("grounding", "", [1.0, 1.0, 2.0]), ("grounding", "", [1.0, 1.0, 2.0, 2.0]), ("grounding", "", [1.0, 1.0, 2.0, float("inf")]), ("relation", "1/2/3", None), ("relation", None, None), ("speed", "to [1, 2]", None), ("choice", "", None), ("choice", " ", None)], "f string, t string, b array<double>")
     got = [r[0] for r in df.select(exports.reference_errors(F.col("f"), F.col("f") == "grounding", F.col("t"), F.col("b"))).collect()]
-    assert got == ["bad box", "bad box", None, "bad box", None, "bad relation", None, "empty reference"]
+    assert got == ["bad box", "bad box", None, "bad box", None, "bad relation", None, "empty reference", None]
     s = spark.createDataFrame([("g", 1, 2.0), ("g", 2, None), ("g", 3, 2.0), ("h", 4, 9.0)], "g string, at int, v double")
     assert [r["at"] for r in s.orderBy(*exports.by_statistic("v", "g", "at")).collect()] == [3, 1, 2, 4]
     assert [r["at"] for r in s.orderBy(*exports.by_statistic("v", "g", "at", descending=False)).collect()] == [2, 1, 3, 4]
