@@ -167,7 +167,8 @@ def mark(family: Column, raw_question: Column, reference: Column, reference_box:
 
 # ---- the same marks added to rows -------------------------------------------------------------------
 # What a mark uses more than once becomes a column of its own first.  Spark keeps such projections apart, so that each value is
-# computed once and in generated code, where the lambda that binds it inside one expression is interpreted.
+# computed once and in generated code, where the lambda that binds it inside one expression is interpreted.  For rows of mixed
+# families ``mark`` is the faster form: it works out only what a row's own family needs.
 
 
 def _staged(rows: DataFrame, *stages: dict[str, Column], drop: tuple[str, ...] = ()) -> DataFrame:
@@ -260,16 +261,3 @@ def with_box_mark(rows: DataFrame, reference: Column, answer: Column, name: str
 
 def with_relation_mark(rows: DataFrame, reference: Column, answer: Column, name: str = "mark") -> DataFrame:
     return _related(rows, reference, answer).withColumn(name, _relation(answer)).drop(*_PARTS)
-
-
-def with_mark(rows: DataFrame, name: str = "mark") -> DataFrame:
-    """Adds the mark of an answer by its task's family.  rows: family, raw_question, reference, reference_box, answer."""
-    family, raw, reference, answer = (F.col(c) for c in ("family", "raw_question", "reference", "answer"))
-    kind = F.when((family == "grounding") & is_box_question(raw), "box").when(family.isin("judge", "relation", "speed"), family).otherwise("choice")
-    rows = rows.withColumn("_kind", kind)
-    k = F.col("_kind")
-    rows = _asked(rows, raw, answer, k.isin("judge", "choice"))
-    rows = _related(_boxed(rows, F.col("reference_box"), answer, k == "box"), reference, answer, k == "relation")
-    rows = rows.withColumn("_right", F.when(k == "judge", _is_right(reference)))
-    made = F.when(k == "box", _overlap()).when(k == "judge", _judge(reference)).when(k == "relation", _relation(answer)).when(k == "speed", speed_mark(reference, answer)).otherwise(_choice(reference))
-    return rows.withColumn(name, made).drop(*_PARTS, "_kind")
