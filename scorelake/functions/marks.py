@@ -180,12 +180,11 @@ def _staged(rows: DataFrame, *stages: dict[str, Column], drop: tuple[str, ...] =
 _PARTS = ("_question", "_cleaned", "_list", "_tips", "_right", "_found", "_box", "_grown", "_iou", "_ids", "_given", "_wanted")
 
 
-def _asked(rows: DataFrame, raw_question: Column, answer: Column, when: Column | None = None) -> DataFrame:
-    """Adds the question's text, the cleaned answer and the question's options (where ``when`` holds)."""
-    only = (lambda c: c) if when is None else (lambda c: F.when(when, c))
+def _asked(rows: DataFrame, raw_question: Column, answer: Column) -> DataFrame:
+    """Adds the question's text, the cleaned answer and the question's options."""
     last = F.regexp_extract_all("_question", F.lit(r"\[([^\]]+)\]"), F.lit(1))
     return _staged(
-        rows, {"_question": T.question_text(raw_question), "_cleaned": only(T.clean(F.lower(T.remove_symbols(answer))))}, {"_list": F.try_element_at(only(last), F.lit(-1))}, {"_tips": T.parted(F.col("_list"))}, drop=("_list",)
+        rows, {"_question": T.question_text(raw_question), "_cleaned": T.clean(F.lower(T.remove_symbols(answer)))}, {"_list": F.try_element_at(last, F.lit(-1))}, {"_tips": T.parted(F.col("_list"))}, drop=("_list",)
     )
 
 
@@ -216,13 +215,12 @@ def _grid(box: Column, size: float = 1000.0) -> Column:
     return F.when(side[0] + side[1] + side[2] + side[3] < 4, F.array(*[v * size for v in side])).otherwise(box)
 
 
-def _boxed(rows: DataFrame, reference: Column, answer: Column, when: Column | None = None) -> DataFrame:
+def _boxed(rows: DataFrame, reference: Column, answer: Column) -> DataFrame:
     """Adds _found (boxes of the answer) and _iou."""
-    only = (lambda c: c) if when is None else (lambda c: F.when(when, c))
     one = F.size("_found") == 1
     return _staged(
-        rows, {"_found": only(boxes_in(answer))}, {"_box": F.when(one, _four(F.get("_found", F.lit(0)))).otherwise(F.array(*[F.lit(0.0)] * 4))}, {"_grown": _grid(F.col("_box"))},
-        {"_iou": only(box_iou(reference, F.col("_grown")))}, drop=("_box", "_grown"),
+        rows, {"_found": boxes_in(answer)}, {"_box": F.when(one, _four(F.get("_found", F.lit(0)))).otherwise(F.array(*[F.lit(0.0)] * 4))}, {"_grown": _grid(F.col("_box"))},
+        {"_iou": box_iou(reference, F.col("_grown"))}, drop=("_box", "_grown"),
     )
 
 
@@ -230,14 +228,13 @@ def _overlap() -> Column:
     return _mark((F.col("_iou") > 0.5).cast("double"), F.size("_found") == 1, F.col("_iou"), "box")
 
 
-def _related(rows: DataFrame, reference: Column, answer: Column, when: Column | None = None) -> DataFrame:
+def _related(rows: DataFrame, reference: Column, answer: Column) -> DataFrame:
     """Adds _ids (what the answer names), _given and _wanted."""
-    only = (lambda c: c) if when is None else (lambda c: F.when(when, c))
     told, linked = F.contains(answer, F.lit("corresponds to")), F.contains(answer, F.lit("corresponding to"))
     last = F.coalesce(F.try_element_at(F.regexp_extract_all(answer, F.lit(NUMBERS), F.lit(1)), F.lit(-1)), F.lit(""))
     raw = F.when(told, F.regexp_extract(answer, CORRESPONDS, 1)).when(linked, F.regexp_extract(answer, CORRESPONDING, 1)).otherwise(last)
     given = F.when(F.col("_ids") == "", F.array().cast("array<string>")).otherwise(F.split("_ids", "/"))
-    return _staged(rows, {"_ids": only(raw), "_wanted": only(F.split(reference, "/"))}, {"_given": given})
+    return _staged(rows, {"_ids": raw, "_wanted": F.split(reference, "/")}, {"_given": given})
 
 
 def _relation(answer: Column) -> Column:
