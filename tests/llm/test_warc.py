@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import json
+import re
 from pathlib import Path
 
 import pytest
@@ -58,6 +59,28 @@ def test_round_trip_and_same_files_again(spark, options):
     assert sums[0] == sums[1]
 
 
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 3000, "roll": 400}])
+def test_equal_rows_over_many_shards_with_ids_of_their_own(spark, options):
+    big = "z" * 1500
+    rows = [(None, None, None)] * 300 + [(None, "u", big)] * 40 + [(7, "u", big)] * 30 + [(7, "w", big)] * 3 + [(None, "w", None)] * 2 + [(k, "u", big) for k in range(7)] + [(None, f"n{k}", f"{k}" + big) for k in range(40)] + [(9, "u", f"{k}" + big) for k in range(20)]
+    made = []
+    for parts in (1, 6):
+        uri = W.write_archives(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(parts), fresh_dir(spark, "warc-test"), **options)
+        assert sorted([tuple(r) for r in W.read_archives(spark, uri).collect()], key=str) == brute(rows)
+        files = sorted(Path(uri.removeprefix("file://")).glob("*.warc.gz"))
+        text = b"".join(gzip.decompress(f.read_bytes()) for f in files)
+        ids = re.findall(rb"WARC-Record-ID: (\S+)", text)
+        assert len(ids) == len(set(ids)) == len(rows) and set(re.findall(rb"WARC-Refers-To: (\S+)", text)) <= set(ids)
+        made.append([(f.name, hashlib.sha256(f.read_bytes()).hexdigest()) for f in files])
+        listed = [json.loads(x) for f in (Path(uri.removeprefix("file://")) / "manifest").glob("*.json") for x in f.read_text().splitlines()]
+        if options:
+            sizes = {}
+            for m in listed:
+                sizes[m["shard"]] = sizes.get(m["shard"], 0) + m["payload_bytes"] + W.HEAD * m["records"]
+            assert len(sizes) > 30 and max(sizes.values()) < 2 * options["shard_bytes"]
+    assert made[0] == made[1]
+
+
 def test_damage_is_found():
     data = W.record(1, "u", b"payload", None)
     with pytest.raises(ValueError):
