@@ -15,8 +15,11 @@ most ``BUCKETS`` rows a source, and a running sum inside a bucket, so that no so
 large, is ever summed in one task.  Sources, of which there may be very many, are ranked and
 filled by range-partitioned running sums.
 
+Rows without doc_id go by a hash of their text instead, so that they spread over buckets as others do.
+
 Null text has size 0.  A document of size 0 has its position in the first pass, if the demand
-reaches it, and gives no words.  Rows with null or repeated doc_ids are rows of their own.
+reaches it, and gives no words.  Rows with null or repeated doc_ids are rows of their own; those equal in
+doc_id (without one: in text) share a bucket.
 Sources of size 0 get target 0, and their documents position 0.  An empty table gives no rows.
 Extra columns are ignored.
 """
@@ -53,11 +56,15 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return filled.select(*sources.columns, "rank", "weight", goal.alias("target"))
 
 
+def order_hash() -> Column:
+    """What documents of a source are ordered by: a hash of doc_id, without one of the text."""
+    return F.when(F.col("doc_id").isNotNull(), F.md5(F.col("doc_id").cast("string"))).otherwise(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
 def _ordered(docs: DataFrame) -> DataFrame:
-    """Adds to each row: before (words of its source ahead of it), source_size, target, rank."""
+    """Adds to each row: before (words of its source ahead of it), source_size, target, rank; takes h."""
     named = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
-    rows = docs.withColumn("s", named).withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int") % BUCKETS)
+    rows = docs.withColumn("s", named).withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int") % BUCKETS)
     sums = written(rows.groupBy("s", "bucket").agg(F.sum("size").alias("n"), F.first("source", True).alias("source")), "sums")
     goal = targets(sums.groupBy("s").agg(F.first("source", True).alias("source"), F.sum("n").alias("source_size")))
     ahead = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,7 +81,7 @@ def _ordered(docs: DataFrame) -> DataFrame:
 
 
 def schedule(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, source, size and more.  A row for each document: those columns and
+    """docs: doc_id, source, size, h (``order_hash``) and more.  A row for each document: those columns but h, and
     source_size, target, taken (words, repeats counted), passes (array of (words, position), one for each time it is given)."""
     rows = _ordered(docs)
     goal, target = F.round("target").cast("bigint"), F.col("target")
@@ -105,7 +112,7 @@ def _range_sorted(df: DataFrame, *order: Column) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """One row per document, range-sorted by first position: doc_id, size, source_size, target, taken, n_passes, first_position (null if never given)."""
-    sized = lean(docs, doc_id="bigint", source="string", text="string").select("doc_id", "source", size_of(F.col("text")).alias("size"))
+    sized = lean(docs, doc_id="bigint", source="string", text="string").select("doc_id", "source", size_of(F.col("text")).alias("size"), order_hash().alias("h"))
     own = schedule(sized).select("doc_id", "size", "source_size", "target", "taken", F.size("passes").cast("bigint").alias("n_passes"), F.get("passes", F.lit(0))["position"].alias("first_position"))
     return _range_sorted(own, F.col("first_position").asc_nulls_last(), F.col("doc_id"))
 
@@ -114,7 +121,7 @@ def training_order(docs: DataFrame) -> DataFrame:
     """The documents in training order, with all their columns: a row for each time that one
     is given at least half, range-sorted by position."""
     extra = [c for c in docs.columns if c not in ("doc_id", "source")]
-    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.struct(*extra).alias("rest"))
+    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), order_hash().alias("h"), F.struct(*extra).alias("rest"))
     given = schedule(sized).select("doc_id", "source", "rest", "size", F.explode("passes").alias("p")).where(F.col("p.words") * 2 >= F.col("size"))
     ranged = _range_sorted(given, F.col("p.position"), F.col("doc_id"))
     return ranged.select(*[F.col(c) if c in ("doc_id", "source") else F.col(f"rest.{c}").alias(c) for c in docs.columns])

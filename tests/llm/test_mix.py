@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from scorelake.llm import curriculum_mix as C
 from tests.llm.helpers import DOCS, WORD, awkward, doc
@@ -74,3 +75,21 @@ def test_awkward_rows(spark):
     assert sorted((r["size"], r["target"], r["taken"]) for r in C.mix(nothing).collect()) == [(0, 0.0, 0), (0, 0.0, 0)]
     assert C.training_order(nothing).count() == 2 and {r["first_position"] for r in C.mix(nothing).collect()} == {0.0}
     assert C.mix(spark.createDataFrame([], DOCS)).count() == 0 and C.training_order(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_rows_without_doc_id_spread_by_their_text(spark):
+    rng = random.Random(11)
+    rows = [(None, *doc(k, " ".join(f"w{rng.random()}" for _ in range(rng.randint(0, 40))), rng.choice(["a", "b"]))[1:]) for k in range(600)]
+    df = spark.createDataFrame(rows, DOCS)
+    buckets = df.select(F.substring(C.order_hash(), 1, 3)).distinct().count()
+    assert buckets > 500
+    sizes = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + len(WORD.findall(r[1]))
+    want, got = brute_targets(sizes), C.mix(df).collect()
+    taken = {}
+    for r in got:
+        taken[r["source_size"]] = taken.get(r["source_size"], 0) + r["taken"]
+    assert len(got) == 600 and len(set(sizes.values())) == 2 and all(abs(taken[n] - want[s]) <= 0.5 + 1e-6 for s, n in sizes.items())
+    again = C.training_order(spark.createDataFrame(rows[::-1], DOCS)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, C.training_order(df).collect())) and len(again) > 300
