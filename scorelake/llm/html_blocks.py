@@ -36,7 +36,7 @@ from .common import lean
 
 PATH, TEXT, STATS = 256, 24, 10
 HIDDEN = 16
-PAGES = 3000
+PAGES = 4500
 CELLS = 1 << 13
 
 #: Fixed names of HTML: elements that do not end a block, that have no end tag, and whose content is not text of the page.
@@ -69,7 +69,6 @@ _PART = re.compile(r"[a-z]+")
 _UNSEEN = re.compile(r"(?<![\w-])(?:display\s*:\s*none|visibility\s*:\s*hidden)")
 
 
-@functools.lru_cache(1 << 12)
 def _names(tag: str, attrs: str) -> tuple[tuple[str, ...], bool]:
     """Names of an element for paths, and whether it is hidden."""
     found, unseen = [tag], False
@@ -81,6 +80,9 @@ def _names(tag: str, attrs: str) -> tuple[tuple[str, ...], bool]:
     return tuple(found), unseen
 
 
+_short_names = functools.lru_cache(1 << 12)(_names)
+
+
 @dataclass
 class Block:
     path: tuple[str, ...]
@@ -142,7 +144,8 @@ def leaf_blocks(source: str | None) -> list[Block]:
                 if stack[k][0] not in INLINE and stack[k][0] not in ("p", "li", "td", "th", "dt", "dd"):
                     break
             if name not in VOID and not (m[5] or m[8] or "").endswith("/"):
-                names, hides = _names(name, m[5] or m[8] or "")
+                attrs = m[5] or m[8] or ""
+                names, hides = (_short_names if len(attrs) < 256 else _names)(name, attrs)
                 stack.append((name, names, hides))
                 links += name == "a"
                 unseen += hides
@@ -160,9 +163,10 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     """(blocks, PATH + TEXT + STATS)."""
     x = np.zeros((len(blocks), PATH + TEXT + STATS))
     for k, b in enumerate(blocks):
-        for name in b.path:
-            i, s = _slot(name, PATH)
-            x[k, i] += s
+        for name in b.path:  # two places each, so that names which share one differ in the other
+            for salted in (name, name + "#"):
+                i, s = _slot(salted, PATH)
+                x[k, i] += s
         ws = b.text.lower().split()
         kinds = set(ws)
         for w in kinds:
@@ -275,24 +279,43 @@ def made_page(rng: random.Random) -> tuple[str, list[bool]]:
         out.append(f"<{tag}{attrs}>{inner}" + (f"</{tag}>" if tag not in ("p", "li") or p(0.85) else ""))
         marks.append(main)
 
-    def junk(kind: str) -> None:
+    def links() -> None:
+        for _ in range(rng.randrange(1, 9)):
+            out.append(f'<li><a href="/{word()}">')
+            out.append(phrase(1, 3, True) if p(0.7) else phrase(3, 10))
+            out.append("</a></li>")
+            marks.append(False)
+
+    def column() -> None:
+        """A column beside the article that no name tells apart: links, most often with a heading."""
+        out.append("<td>" if grid else r(["<div>", f'<div class="{beside}">']))
+        if p(0.8):
+            leaf(r(["h2", "h3", "h4", "p", "div"]), phrase(1, 4, p(0.5)), False)
+        out.append("<ul>")
+        links()
+        out.append("</ul></td>" if grid else "</ul></div>")
+
+    def junk(kind: str, cell: bool = False) -> None:
         names = _JUNK[kind].split()
         tag = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form"}.get(kind, "section") if p(0.5) else r(["div", "div", "section", "ul" if kind == "nav" else "div"])
-        named = p(0.8 if kind in ("nav", "share") else 1) if tag in ("div", "section", "ul") else p(0.4)
+        tag = "td" if cell else tag
+        named = p(0.8 if kind in ("nav", "share") else 1) if tag in ("div", "section", "ul", "td") else p(0.4)
         attrs = (f' {r(["class", "class", "id"])}="{" ".join(dict.fromkeys([r(names), *([word()] if p(0.3) else [])]))}"' if named else "") + (f' data-x="{word()}"' if p(0.1) else "")
         out.append(f"<{tag}{attrs}>")
         lone = kind == "footer" and p(0.4)  # a copyright line and nothing else
         if lone:
             out.append(f"&copy; {word()}.example {phrase(1, 12, p(0.5))}")
             marks.append(False)
+        elif kind == "nav" and tag != "ul" and (named or tag == "nav") and p(0.5 if cell else 0.3):  # a menu in one line, with links or without
+            plain = named and p(0.6)
+            out.append(r([" ", " | ", "<br>"]).join(phrase(1, 2, True) if plain else f'<a href="/{word()}">{phrase(1, 2, True)}</a>' for _ in range(rng.randrange(1, 7))))
+            marks.append(False)
         elif kind in ("nav", "share") or kind in ("header", "footer", "aside") and p(0.4):
+            if tag != "ul" and p(0.6 if kind == "aside" else 0.1):
+                leaf(r(["h2", "h3", "h4", "p", "div"]), phrase(1, 4, True), False)
             many = tag != "ul" and p(0.7)
             out.append("<ul>" if many else "")
-            for _ in range(rng.randrange(1, 9)):
-                out.append(f'<li><a href="/{word()}">')
-                out.append(phrase(1, 3, True))
-                out.append("</a></li>")
-                marks.append(False)
+            links()
             out.append("</ul>" if many else "")
         elif kind == "comments":
             for _ in range(rng.randrange(1, 5)):
@@ -310,19 +333,36 @@ def made_page(rng: random.Random) -> tuple[str, list[bool]]:
 
     title = phrase(2, 9)
     out.append("<!DOCTYPE html><html><head><meta charset='utf-8'>")
-    if p(0.9):
+    if p(0.75):
         out.append(f"<title>{title}</title>")
         marks.append(False)
     out.append("<style>p{margin:0}</style></head><body>" if p(0.5) else "<script>var t='</p>';</script></head><body>")
     wrap = p(0.3)
     out.append('<div class="%s">' % r(["wrap", "container", "page", "site", word()]) if wrap else "")
     bare = p(0.15)  # nothing but the article
+    grid = not bare and p(0.2)  # laid out as a table
+    beside = r(["col", "column", "grid", word()])
+    pair = not (bare or grid) and p(0.12)  # two columns of one name
     out.append(f"<div {r(['hidden', 'aria-hidden=true', 'style=display:none'])}><p>{phrase(3, 20)}</p></div>" if p(0.1) else "")
     for kind in () if bare else ("header", "nav", "notice", "ad", "share", "aside"):
         if p({"header": 0.4, "nav": 0.7}.get(kind, 0.25)):
             junk(kind)
+    if grid:
+        out.append(f"<table{r(['', ' border=0', ' width=100%'])}><tr>")
+        if p(0.4):
+            junk("header", True)
+            out.append("</tr><tr>")
+        if p(0.7):
+            junk(r(["nav", "nav", "nav", "aside"]), True)
+        out.append("<td%s>" % r(["", "", " valign=top", f' class="{r(_GOOD)}"']))
+    out.append(f'<div class="row"><div class="{beside}">' if pair else "")
     tag, attrs = r([("article", ""), ("article", f' class="{r(_GOOD)}"'), ("main", ""), ("div", f' class="{r(_GOOD)}"'), ("div", f' id="{r(_GOOD)}"'), ("section", f' class="{r(_GOOD)}"'), ("article", ""), ("div", ""), ("div", ""), ("section", ""), ("div", f' class="{word()}"'), ("", "")])
     out.append(f"<{tag}{attrs}>" if tag else "")
+    if bare and p(0.2):  # text without any elements of its own
+        out.append("<br><br>".join(phrase(4, 60) for _ in range(rng.randrange(1, 5))))
+        out.append(f"</{tag}>" if tag else "")
+        marks.append(True)
+        return "".join(out), marks
     inner = p(0.2)
     if p(0.8):
         head = p(0.15)
@@ -341,12 +381,32 @@ def made_page(rng: random.Random) -> tuple[str, list[bool]]:
             for _ in range(rng.randrange(1, 6)):
                 leaf("li", phrase(1, 20), True)
             out.append("</ul>")
+        elif what < 0.31:
+            out.append("<table>")
+            for k in range(rng.randrange(1, 4)):
+                out.append("<tr>")
+                for _ in range(rng.randrange(1, 4)):
+                    leaf("td" if k else r(["td", "th"]), phrase(1, 6), True)
+                out.append("</tr>")
+            out.append("</table>")
         else:
-            leaf(r(["p", "p", "p", "p", "p", "blockquote", "pre", "td", "div"]), phrase(1, r([1, 2, 12, 16])) if p(0.35) else phrase(8, 120), True)
+            leaf(r(["p", "p", "p", "p", "p", "blockquote", "pre", "p" if grid else "td", "div"]), phrase(1, r([1, 2, 12, 16])) if p(0.35) else phrase(8, 120), True)
     out.append("</div>" if inner else "")
     if p(0.15) and not bare:
         junk("comments")
     out.append(f"</{tag}>" if tag else "")
+    out.append("</div>" if pair else "")
+    if pair or not (bare or grid) and p(0.1):
+        column()
+    out.append("</div>" if pair else "")
+    if grid:
+        out.append("</td>")
+        if p(0.4):
+            column() if p(0.5) else junk(r(["aside", "nav", "ad", "notice", "form"]), True)
+        if p(0.4):
+            out.append("</tr><tr>")
+            junk("footer", True)
+        out.append("</tr></table>")
     for kind in () if bare else ("footer",) if p(0.4) else ("share", "comments", "aside", "ad", "form", "notice", "nav", "footer"):
         if p({"footer": 0.8, "comments": 0.35}.get(kind, 0.2)):
             junk(kind)

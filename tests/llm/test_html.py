@@ -118,6 +118,30 @@ def test_pages_off_the_usual_template():
     assert H.main_texts([p for p, _ in pages], H.trained()) == [w for _, w in pages]
 
 
+def test_tables_columns_and_bare_text():
+    """Pages laid out as tables, a second column of links under a heading, menus without links, tables of the article, text without elements."""
+    line = "This is paragraph {} of the text, and it tells its readers of one thing or another."
+    six = "".join(f"<p>{line.format(k)}</p>" for k in range(6))
+    want = " ".join(line.format(k) for k in range(6))
+    menu = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li><li><a href='/c'>About us</a></li></ul>"
+    pages = [
+        (f"<body><table><tr><td class=menu>Home Shop</td><td>{six}</td></tr></table></body>", want), (f"<body><div class=menu>Home Shop</div><div>{six}</div></body>", want),
+        (f"<body><table><tr><td><a href=/a>Home</a><br><a href=/b>Shop</a></td><td>{six}</td></tr><tr><td colspan=2>&copy; 2020 host</td></tr></table></body>", want),
+        (f"<body><table><tr><td>{six}</td><td class=sidebar>Popular things to read</td></tr></table></body>", want),
+        (f"<html><head><title>T</title></head><body><table width=100%><tr><td colspan=2 class=header>My site</td></tr><tr><td class=nav>{menu}</td><td class=content><h1>A name</h1>{six}</td></tr><tr><td class=footer>&copy; 2020 host</td></tr></table></body>", f"A name {want}"),
+        (f"<body><div class=row><div class=col>{six}</div><div class=col><h3>Most read</h3>{menu}</div></div></body>", want), (f"<body><div>{six}</div><div><h3>Most read</h3>{menu}</div></body>", want),
+        (f"<body><main>{six}</main><aside><h2>Most read</h2>{menu}</aside></body>", want), ("no tags at all", "no tags at all"),
+        (f"<body><nav>{menu}</nav><article>{six}<table><tr><th>Name</th><th>Size</th></tr><tr><td>One</td><td>5</td></tr></table></article></body>", f"{want} Name Size One 5"),
+    ]
+    assert H.main_texts([p for p, _ in pages], H.trained()) == [w for _, w in pages]
+
+
+def test_long_attributes_are_not_kept():
+    before = H._short_names.cache_info().currsize
+    assert H.leaf_blocks(f"<p class=known data-x='{'y' * 100_000}'>t</p>")[0].path == ("p", ".known")
+    assert H._short_names.cache_info().currsize == before
+
+
 def plain_chances(net, x):
     """The labeller written out number by number: gates in, forget, out, then the new value, forwards and backwards."""
     import math
