@@ -703,4 +703,4 @@ def reference_checks(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", exports.reference_errors(family, k == 0, text, box).alias("error"))
 
 
-from . import from_files, whole  # noqa: E402, F401  (register the queries of the whole evaluation and of files, which use the helpers above)
+from . import documents, from_files, whole  # noqa: E402, F401  (register the queries of the whole evaluation, of files and of documents, which use the helpers above)

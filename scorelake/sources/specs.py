@@ -5,6 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # What a specification may say.
 TRANSPORTS = ("ordered_image_urls", "video_mp4")
 PARAMETERS = ("openrouter_reasoning", "reasoning_effort")
@@ -51,3 +55,22 @@ def protocol_spec(text: str, revision: str) -> dict:
     if wrong:
         raise ValueError("; ".join(wrong))
     return spec | {"sha256": hashlib.sha256(text.encode()).hexdigest()}
+
+
+def spec_errors(texts: Column, revision: str) -> Column:
+    """What is wrong with each specification; null if nothing.  Null texts and texts that are no JSON object are errors too."""
+
+    def of(text: str | None) -> str | None:
+        try:
+            protocol_spec(text or "", revision)
+        except ValueError as e:
+            return str(e)
+        except (AttributeError, TypeError, KeyError):
+            return "not a specification"
+        return None
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(of, na_action=None)
+
+    return run(texts)

@@ -1,14 +1,12 @@
 """The answer journal as a stream: an extension, as the journal is append-only files.
 
 Files of JSON lines arrive in a folder.  However late a record arrives it is taken: no operator
-here has a watermark that would drop it.  Ids seen before are found by a join with the stored
-table in each batch, and the counts by task and time window keep one row for each window, in a
-state that grows with time and tasks only.
+here has a watermark that would drop it.  Ids seen before are keyed state, and the counts by task and
+time window keep one row for each window, in a state that grows with time and tasks only.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -38,21 +36,16 @@ def known(answers: DataFrame, questions: DataFrame) -> DataFrame:
 def to_parquet(answers: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Appends what is there now, each id once ever, and stops.
 
-    Each batch is a folder of its own (``batch=N``), overwritten if the batch runs again, and joined against the ids of
-    the earlier ones.  Of records of one id in a batch the least by timestamp and answer stays.
+    The ids are keyed state, so a batch costs what its own records cost, however many are stored; call
+    ``completion.use_state_store`` before, which keeps that state in RocksDB.  Of the records that an id has in the first
+    batch that it comes in, the last by timestamp and answer stays.  Each batch is a folder of its own (``batch=N``),
+    overwritten if the batch runs again.
     """
-    spark = answers.sparkSession
+    rest = [c for c in answers.columns if c not in ("id", "timestamp", "answer")]
+    known_ids = answers.withColumn("_at", F.current_timestamp()).groupBy("id").agg(F.min("_at").alias("_first"), F.max(F.struct("timestamp", "answer", *rest)).alias("r"))
+    fresh = known_ids.where(F.col("_first") == F.current_timestamp()).select("id", "r.*").select(*answers.columns)  # the batch's time
 
     def store(batch: DataFrame, number: int) -> None:
-        try:
-            stored = spark.read.parquet(path).where(F.col("batch") < number).select("id")
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            stored = spark.createDataFrame([], "id string")
-        rest = [c for c in batch.columns if c != "id"]
-        first = batch.groupBy("id").agg(F.min(F.struct("timestamp", "answer", *[c for c in rest if c not in ("timestamp", "answer")])).alias("r"))
-        fresh = first.select("id", *[F.col(f"r.{c}").alias(c) for c in rest]).join(stored, "id", "left_anti")
-        fresh.write.mode("overwrite").partitionBy("task").parquet(f"{path}/batch={number}")
-
-    return answers.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").partitionBy("task").parquet(f"{path}/batch={number}")
+
+    return fresh.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,7 +5,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from scorelake.sources import readers, writers
+from scorelake.sources import readers, specs, writers
 from scorelake.streaming import journal as stream
 
 
@@ -65,6 +65,8 @@ def test_registry_prices_and_checksums(spark, tmp_path):
     assert tuple(readers.prices(spark, str(tmp_path / "prices.json")).first()) == ("a/b", 0.3, 0.2, None, 0.0)
     expected = spark.createDataFrame([("prices.json", "0"), ("models.json", hashlib.sha256((tmp_path / "models.json").read_bytes()).hexdigest()), ("gone", "1")], "name string, sha256 string")
     assert sorted(r["name"] for r in readers.mismatches(readers.checksums(spark, str(tmp_path / "*.json")), expected).collect()) == ["gone", "prices.json"]
+    found = spark.createDataFrame([("{",), ("[]",), ('{"schema_version": 2}',), (None,)], "t string").select(specs.spec_errors(F.col("t"), "0" * 40)).collect()
+    assert all(r[0] for r in found) and "bad models" in found[2][0]
     with pytest.raises(ValueError):
         readers.spec('{"a": 0}', {"a"}, {"a": lambda v: v > 0})
 
@@ -100,6 +102,22 @@ def test_stream_of_the_journal(spark, tmp_path):
     assert once() == ["a", "b"]
 
 
+def test_stream_keeps_the_last_record_of_a_first_batch(spark, tmp_path):
+    """Within the batch that an id first comes in the last by time stays; what comes in later batches does not replace it, and a restart goes on."""
+    d = tmp_path / "in3"
+    d.mkdir()
+    line = lambda i, answer, t: json.dumps({"id": i, "task": "T", "answer": answer, "timestamp": t})
+
+    def once(name, *lines_):
+        (d / name).write_text("\n".join(lines_))
+        q = stream.to_parquet(stream.read(spark, str(d)), str(tmp_path / "out3"), str(tmp_path / "cp3"))
+        q.awaitTermination(120)
+        return sorted((r["id"], r["answer"], r["batch"]) for r in spark.read.parquet(str(tmp_path / "out3")).collect())
+
+    assert once("a.jsonl", line("a", "old", "2024-01-01T00:00:00Z"), line("a", "new", "2024-01-02T00:00:00Z"), line("b", "x", None)) == [("a", "new", 0), ("b", "x", 0)]
+    assert once("b.jsonl", line("a", "newer", "2024-01-03T00:00:00Z"), line("c", "z", "2024-01-01T00:00:00Z")) == [("a", "new", 0), ("b", "x", 0), ("c", "z", 1)]
+
+
 def test_progress_windows(spark, tmp_path):
     d = tmp_path / "in2"
     d.mkdir()
