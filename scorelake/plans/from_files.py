@@ -43,9 +43,13 @@ def _files(spark: SparkSession, d: str, at: str) -> None:
     Journals hold two lines for each answer, of which the earlier is wrong, with broken lines between; questions of one sample in ten lack the second answer.
     """
     rows = _samples(spark, d)
-    whole = rows.groupBy("task").agg(F.sort_array(F.collect_list(F.struct("k", "json"))).alias("all"))  # a task's file, which is read whole
-    whole = whole.select(F.concat("task", F.lit("_E.json")).alias("name"), F.concat(F.lit("["), F.array_join(F.transform("all", lambda x: x["json"]), ", "), F.lit("]")).alias("value"))
-    lines.written_lines(whole, f"{at}/annotations", ["name"], [])
+    # a task's file: its samples in order, one on a line
+    ends = rows.groupBy("task").agg(F.min("k").alias("first"))
+    signs = F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit("[").alias("value")), F.struct(F.lit(2).alias("o"), F.lit("]").alias("value")))).alias("x")
+    signs = ends.select("task", F.col("first").alias("k"), signs).select("task", "k", "x.*")
+    listed = rows.join(F.broadcast(ends), "task")  # a row a task
+    listed = listed.select("task", "k", F.lit(1).alias("o"), F.concat(F.when(F.col("k") == F.col("first"), "").otherwise(", "), "json").alias("value"))
+    lines.written_lines(listed.unionByName(signs).withColumn("name", F.concat("task", F.lit("_E.json"))), f"{at}/annotations", ["name"], ["o", "k"])
     from ..sources import annotations
     from . import dims
 

@@ -1,12 +1,15 @@
 """Annotation files as questions: samples are VARIANT values, as their references are strings, numbers, booleans or boxes.
 
-A file holds the list of a task's samples.  Whole numbers beyond 64 bits, and fractions without an exponent beyond 38
+A file holds the list of a task's samples, on one line or many; a line is read whole.  Whole numbers beyond 64 bits, and fractions without an exponent beyond 38
 digits, are read as doubles; a negative zero loses its sign.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
+import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,26 +20,108 @@ from ..functions import marks as M
 from ..functions import text as T
 from ..operators import exports
 from ..operators.marking import PAIRED
+from . import lines
 
 #: Models whose boxes are marked on a grid need the frame's size (fixed values).
 GRID_MODELS = ("qwen", "internvl", "gemini", "drivemm", "ivl")
 
 
-def _digests(texts: Column) -> Column:
-    """For each file, the canonical digest of every sample; VARIANT does not keep the forms of numbers, which the digest is over."""
+_BLANKS = re.compile(r"[ \t\n\r]*")
+_AHEAD, _MOST = 1 << 16, 128 << 20  # characters read at once; of one sample (VARIANT holds no more)
+
+
+class _NoList(Exception):
+    """A text is no list of JSON values."""
+
+
+def _distinct(pairs: list) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):  # VARIANT refuses names that repeat
+        raise _NoList
+    return found
+
+
+def _refused(constant: str) -> None:
+    raise _NoList
 
-    def of(text: str | None) -> list | None:
-        try:
-            found = json.loads(text) if text is not None else None
-        except ValueError:
-            return None
-        return [identity.digest_or_none(x) for x in found] if isinstance(found, list) else None
 
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(of)
+def _elements(parts: Iterator[str]) -> Iterator[tuple[str, object]]:
+    """Text and value of each element of a JSON list that comes in parts; holds little more than one element at a time."""
+    decoder = json.JSONDecoder(object_pairs_hook=_distinct, parse_constant=_refused)
+    text, at, ended = "", 0, False
 
-    return run(texts)
+    def more() -> None:
+        nonlocal text, at, ended
+        held, size = [text[at:]], 0
+        if len(held[0]) > _MOST:
+            raise _NoList
+        while size < max(_AHEAD, len(held[0])) and not ended:
+            part = next(parts, None)
+            ended = part is None
+            held.append(part or "")
+            size += len(held[-1])
+        text, at = "".join(held), 0
+
+    def sign() -> str:
+        nonlocal at
+        while True:
+            at = _BLANKS.match(text, at).end()
+            if at < len(text) or ended:
+                return text[at : at + 1]
+            more()
+
+    if sign() != "[":
+        raise _NoList
+    at += 1
+    empty = sign() == "]"
+    while not empty:
+        sign()
+        try:
+            value, end = decoder.raw_decode(text, at)
+        except (ValueError, RecursionError):  # wrong, or cut
+            end = len(text)
+            if ended:
+                raise _NoList from None
+        if end == len(text) and not ended:  # it may go on
+            more()
+            continue
+        yield text[at:end], value
+        at = end
+        after = sign()
+        if after not in (",", "]"):
+            raise _NoList
+        if after == "]":
+            break
+        at += 1
+    at += 1
+    if sign():
+        raise _NoList
+
+
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines of files in order to a row for each element, with its text and canonical digest (VARIANT does not keep the forms of
+    numbers, which the digest is over), and at each file's end a row without sample_index that says whether all of it was a list."""
+    rows, size = [], 0
+
+    def made() -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["file", "sample_index", "text", "digest", "listed"]).astype({"sample_index": "Int32", "listed": "boolean"})
+        rows.clear()
+        return out
+
+    lines_of = ((f, v) for batch in batches for f, v in zip(batch["file"], batch["value"]))
+    for file, own in itertools.groupby(lines_of, key=lambda x: x[0]):
+        n = 0
+        try:
+            for text, value in _elements(v + "\n" for _, v in own):
+                rows.append((file, n, text, identity.digest_or_none(value), None))
+                n, size = n + 1, size + len(text)
+                if size > 1 << 20:
+                    yield made()
+                    size = 0
+            rows.append((file, None, None, None, n > 0))
+        except _NoList:
+            rows.append((file, None, None, None, False))
+    yield made()
 
 
 def _kind(v: Column) -> Column:
@@ -71,12 +156,21 @@ def _text_field(name: str) -> Column:
 
 
 def samples(spark: SparkSession, path: str) -> DataFrame:
-    """task, sample_index, sample (VARIANT), digest, and error: one row for a file that holds no list."""
-    whole = spark.read.text(path, wholetext=True)
-    name = F.regexp_extract("_metadata.file_path", r"([^/=]+?)(?:_E)?\.json(?:/[^/]*)?$", 1)  # of the file, or of the folder that Spark wrote it to
-    whole = whole.select(name.alias("task"), F.try_parse_json("value").alias("v"), _digests(F.col("value")).alias("digests"))
-    rows = whole.select("task", "digests", F.posexplode_outer(F.try_variant_get("v", "$", "array<variant>")).alias("sample_index", "sample"))
-    return rows.select("task", "sample_index", "sample", F.get("digests", F.col("sample_index")).alias("digest"), sample_error(F.col("sample")).alias("error"))
+    """task, sample_index, sample (VARIANT), digest, and error: one row for a file that holds no list.
+
+    A task reads a file's lines in order and parts them into samples, of which it holds a few at a time; all else is done by sample.
+    """
+    read = lines.numbered(spark, path).repartition("file").sortWithinPartitions("file", "line").select("file", "value")
+    cut = read.mapInPandas(_cut, "file string, sample_index int, text string, digest string, listed boolean")
+    # a row a file; those without a line too
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    files = files.join(cut.where("listed").select("file", "listed"), "file", "left")
+    found = cut.where("sample_index is not null").select("file", "sample_index", "text", "digest").repartition("file", "sample_index")
+    none = files.where("listed is null").select("file", *[F.lit(None).cast(t).alias(c) for c, t in found.dtypes[1:]])
+    rows = found.join(F.broadcast(files.where("listed")), "file", "left_semi").unionByName(none)
+    name = F.regexp_extract("file", r"([^/=]+?)(?:_E)?\.json(?:/[^/]*)?$", 1)  # of the file, or of the folder that Spark wrote it to
+    rows = rows.select(name.alias("task"), "sample_index", F.try_parse_json("text").alias("sample"), "digest")
+    return rows.withColumn("error", sample_error(F.col("sample")))
 
 
 def sample_error(sample: Column) -> Column:

@@ -94,6 +94,33 @@ def test_errors_of_samples_and_questions(spark, tmp_path):
     assert [r["error"] for r in asked(spark, tmp_path, "VRU_Recognition", {**box, "dimension": [10, 20]}, model="Qwen2")] == [None, None]
 
 
+def test_samples_are_read_as_they_come():
+    """An element is out before much more than it has been read, however it is spread over lines."""
+    read = 0
+
+    def parts():
+        nonlocal read
+        yield "["
+        for k in range(40_000):
+            read += 1
+            yield ("" if k == 0 else " ,\n") + '{"k":\n [%d, "]},{"]}\n' % k
+        yield "]\n"
+
+    found = annotations._elements(parts())
+    assert next(found)[1] == {"k": [0, "]},{"]} and read < 5_000
+    assert [v["k"][0] for _, v in found] == list(range(1, 40_000))
+
+
+@pytest.mark.parametrize("raw", ["", "[]", "5", "[1", "[1,]", "[1 2]", "[1] x", '[{"a": 1, "a": 2}]', "[NaN]", '["\n"]', '{"a": []}'])
+def test_files_without_a_list_of_samples(spark, tmp_path, raw):
+    assert [(r["sample_index"], r["error"]) for r in asked(spark, tmp_path, "Light", raw=raw)] == [(None, "no list of samples")]
+
+
+def test_lists_on_one_line_and_on_many(spark, tmp_path):
+    one = asked(spark, tmp_path, "Weather", SAMPLE, {**SAMPLE, "id": 7}, 12)
+    assert one == asked(spark, tmp_path, "Weather", raw=json.dumps([SAMPLE, {**SAMPLE, "id": 7}, 12], indent=1).replace(": ", "\r\n : ")) and len(one) == 5
+
+
 LIVE = Spec("full", [Model("m", "lab/m", 1024)])
 OLD = [Spec("half", [Model("m", "lab/m", 512)]), Spec("half", [Model("m", "lab/m", 99)]), Spec("other", [Model("n", "lab/n", 512)])]
 
