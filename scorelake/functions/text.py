@@ -26,7 +26,8 @@ def squish(c: Column) -> Column:
 
 
 def blank(c: Column) -> Column:
-    return c.isNull() | (squish(c) == "")
+    """Null, or nothing but white space of any kind."""
+    return c.isNull() | ~F.rlike(c, F.lit(r"(?U)\S"))
 
 
 def question_text(raw: Column) -> Column:

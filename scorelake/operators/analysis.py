@@ -110,6 +110,25 @@ def what_if(marked: DataFrame, gone: DataFrame, weights: DataFrame) -> DataFrame
     return parts.select("model_id", "task", made.alias("score"), F.col("questions").alias("n"))
 
 
+def what_if_parts(marked: DataFrame, weights: DataFrame) -> DataFrame:
+    """model_id, task, score and n over all questions, with kept_score and kept_n over those that stay (both null if none does), in one aggregation.
+
+    marked: model_id, task, family, the marks, and gone (whether a question is left out, its partner's exclusion told already); the same rules as what_if.
+    """
+    stay = marking.parts(~F.col("gone"), lenient=True)
+    both = marked.groupBy("model_id", "task", "family").agg(*[c.alias(k) for k, c in marking.parts().items()], *[c.alias(f"_{k}") for k, c in stay.items()])
+    rows = marking.task_status(scores.with_weights(both, weights))
+    made = scores.composite(F.col("_other"), F.col("_accuracy"), F.col("_instruction"), F.col("w_other"), F.col("w_accuracy"), F.col("w_instruction"))
+    some = F.col("_questions") > 0
+    return rows.select("model_id", "task", "score", F.col("questions").alias("n"), F.when(some, made).alias("kept_score"), F.when(some, F.col("_questions")).alias("kept_n"))
+
+
+def totals_of_parts(parts: DataFrame) -> DataFrame:
+    """As what_if_totals, from what_if_parts."""
+    rows = parts.where("score is not null")
+    return scores.totals(rows.select("model_id", "task", F.coalesce("kept_score", "score").alias("score"), F.coalesce("kept_n", "n").alias("n")))
+
+
 def what_if_totals(task_scores: DataFrame, changed: DataFrame) -> DataFrame:
     """model_id, total, questions with score and weight of the changed tasks in place of their own; tasks that had no score stay out."""
     new = changed.select("model_id", "task", F.col("score").alias("_score"), F.col("n").alias("_n"))

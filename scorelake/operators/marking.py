@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import marks as M
@@ -29,23 +31,33 @@ def mark_answers(answers: DataFrame, families: DataFrame) -> DataFrame:
     return rows.withColumn("mark", M.mark(F.col("family"), F.col("raw_question"), F.col("reference"), F.col("reference_box"), F.col("answer")))
 
 
-def pair_halves(rows: DataFrame, keys: list[str], position: str, accuracy: str, name: str = "pair") -> DataFrame:
+def pair_halves(rows: DataFrame, keys: list[str], position: str, accuracy: str, name: str = "pair", flag: str | None = None, whole: str | None = None) -> DataFrame:
     """Adds pair: on the second half of a sample, whether it is right with its first half or better than it.
 
     The partner is n div 2 positions before; an odd last row has none.  A sample's rows meet in one array, which its questions
     bound, so each row finds its partner by place.  Columns must be of types that have an order (no maps).
+    ``flag`` names a boolean column: in paired families (column family) and samples of even size it then holds for both rows of a pair if for one.  ``whole`` names one
+    that must hold for all rows of a sample; others are left out.  ``accuracy`` may be a field of a column (``mark.accuracy``).
     """
-    rest = [c for c in rows.columns if c not in keys]
-    sample = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.struct(*rest).alias("r")))).alias("_all"))
-    half = F.floor(F.size("_all") / 2).cast("int")
+    rest = [c for c in rows.columns if c not in keys and c != whole]
+    every = F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.struct(*rest).alias("r")))).alias("_all")
+    sample = rows.groupBy(*keys).agg(every, F.bool_and(whole).alias("_whole")).where("_whole") if whole else rows.groupBy(*keys).agg(every)
+    n = F.size("_all")
+    half = F.floor(n / 2).cast("int")
+    value = lambda x: reduce(lambda c, field: c[field], accuracy.split("."), x["r"])
 
     def paired(x: Column, i: Column) -> Column:
-        first, second = F.get(F.col("_all"), i - half)["r"][accuracy], x["r"][accuracy]
+        first, second = value(F.get(F.col("_all"), i - half)), value(x)
         pair = ((second == 1) & (first == 1)) | (second > first)
-        return F.struct(x["r"].alias("r"), F.when((i >= half) & (i < 2 * half), pair.cast("int")).alias("pair"))
+        made = [x["r"].alias("r"), F.when((i >= half) & (i < 2 * half), pair.cast("int")).alias("pair")]
+        if flag:
+            partner = F.get(F.col("_all"), F.when(i < half, i + half).otherwise(i - half))["r"][flag]
+            made.append((F.coalesce(x["r"][flag], F.lit(False)) | F.coalesce(x["r"]["family"].isin(*PAIRED) & (n % 2 == 0) & partner, F.lit(False))).alias("flag"))
+        return F.struct(*made)
 
     out = sample.select(*keys, F.explode(F.transform("_all", paired)).alias("_one"))
-    return out.select(*[F.col(c) if c in keys else F.col(f"_one.r.`{c}`").alias(c) for c in rows.columns], F.col("_one.pair").alias(name))
+    one = lambda c: F.col(c) if c in keys else F.col("_one.flag" if c == flag else f"_one.r.`{c}`").alias(c)
+    return out.select(*[one(c) for c in rows.columns if c != whole], F.col("_one.pair").alias(name))
 
 
 def released_pairs(rows: DataFrame, keys: list[str], position: str, accuracy: str) -> DataFrame:
@@ -57,6 +69,26 @@ def released_pairs(rows: DataFrame, keys: list[str], position: str, accuracy: st
     return out.select(*keys, F.when(half > 0, F.aggregate(flags, F.lit(0), lambda z, v: z + v)).otherwise(0).alias("pairs"))
 
 
+def parts(keep: Column | None = None, lenient: bool = False) -> dict[str, Column]:
+    """The aggregates that components are made of, by name, over the rows of a family (with ``keep``, over those of them that it holds for).
+
+    ``lenient`` takes missing kinds and missing overlaps as 0.
+    """
+    kept = lambda c: c if keep is None else F.when(keep, c)
+    judge, paired = F.col("family") == "judge", F.col("family").isin(*PAIRED)
+    of = lambda kind, c: F.avg(kept(F.when(F.col("kind") == kind, c)))
+    n = F.count(kept(F.lit(1)))
+    other = F.coalesce("other", F.lit(0.0)) if lenient else F.col("other")
+    made = F.when(judge, of("judgment", F.col("accuracy"))).when(paired, F.try_divide(2 * F.sum(kept(F.coalesce("pair", F.lit(0)))), n)).when(F.col("family") == "grounding", of("box", other)).otherwise(0.0)
+    return {
+        "accuracy": F.when(judge, F.coalesce(of("description", F.col("accuracy")), F.lit(0.0))).otherwise(F.avg(kept(F.col("accuracy")))),
+        "instruction": F.avg(kept(F.col("instruction"))),
+        "other": F.coalesce(made, F.lit(0.0)) if lenient else made,
+        "malformed": F.count(kept(F.when(F.col("accuracy").isNull(), 1))),
+        "questions": n,
+    }
+
+
 def components(marked: DataFrame, keys: list[str], lenient: bool = False) -> DataFrame:
     """Mean accuracy, instruction and the family's other part, with malformed (marks without a number) and questions.
 
@@ -65,17 +97,7 @@ def components(marked: DataFrame, keys: list[str], lenient: bool = False) -> Dat
     any: undefined); paired families twice the share of pairs; grounding the mean overlap of boxes.
     ``lenient`` takes missing kinds and missing overlaps as 0.
     """
-    judge, paired = F.col("family") == "judge", F.col("family").isin(*PAIRED)
-    of = lambda kind, c: F.avg(F.when(F.col("kind") == kind, c))
-    other = F.coalesce("other", F.lit(0.0)) if lenient else F.col("other")
-    made = F.when(judge, of("judgment", F.col("accuracy"))).when(paired, 2 * F.sum(F.coalesce("pair", F.lit(0))) / F.count("*")).when(F.col("family") == "grounding", of("box", other)).otherwise(0.0)
-    return marked.groupBy(*keys, "family").agg(
-        F.when(judge, F.coalesce(of("description", F.col("accuracy")), F.lit(0.0))).otherwise(F.avg("accuracy")).alias("accuracy"),
-        F.avg("instruction").alias("instruction"),
-        (F.coalesce(made, F.lit(0.0)) if lenient else made).alias("other"),
-        F.count_if(F.col("accuracy").isNull()).alias("malformed"),
-        F.count("*").alias("questions"),
-    )
+    return marked.groupBy(*keys, "family").agg(*[c.alias(k) for k, c in parts(lenient=lenient).items()])
 
 
 def denominators(rows: DataFrame, keys: list[str]) -> DataFrame:

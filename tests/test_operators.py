@@ -123,6 +123,33 @@ def test_what_if_partners(spark):
     assert rows_of(analysis.with_partners(gone, sizes)) == [("C", "s", 3), ("T", "odd", 0), ("T", "s", 0), ("T", "s", 2)]
 
 
+def test_what_if_in_one_pass(spark):
+    """Partners go in paired families and samples of even size only; faults of one answer leave its sample out; tasks without a kept row keep their score."""
+    schema = "model_id string, task string, sample_index int, question_index int, raw_question string, reference string, reference_box array<double>, answer string, excluded boolean"
+    row = lambda task, s, q, ref, answer, gone=False: ("m", task, s, q, "image;Which? Options: ['a', 'b']", ref, None, answer, gone)
+    rows = [
+        row("Sign_Sign_Relation", 0, 0, "1", "1", True), row("Sign_Sign_Relation", 0, 1, "2", "9"), row("Sign_Sign_Relation", 0, 2, "1", "1"), row("Sign_Sign_Relation", 0, 3, "2", "2"),
+        row("Sign_Sign_Relation", 1, 0, "1", "1", True), row("Sign_Sign_Relation", 1, 1, "2", "2"), row("Sign_Sign_Relation", 1, 2, "3", "3"),
+        row("Weather", 0, 0, "a", "a", True), row("Weather", 0, 1, "a", "b"), row("Weather", 1, 0, "a", "a"), row("Weather", 1, 1, "a", " "), row("Light", 0, 0, "a", "a", True),
+        row("Sign_Lane_Relation", 0, 0, "x", "1"), row("Sign_Lane_Relation", 0, 1, "1", "1"),
+    ]
+    run = Evaluation(spark.createDataFrame(rows, schema))
+    got = {r["task"]: (r["n"], r["kept_n"]) for r in run.what_if().collect()}
+    assert got == {"Sign_Sign_Relation": (7, 4), "Weather": (2, 1), "Light": (1, None)}
+    kept = {r["task"]: r["kept_score"] for r in run.what_if().collect()}
+    assert kept["Weather"] == pytest.approx(20.0) and kept["Sign_Sign_Relation"] == pytest.approx(30 * 2 * 2 / 4 + 50 * 0.75 + 20)
+    assert rows_of(analysis.totals_of_parts(run.what_if()).select("questions")) == [(6,)]
+
+
+def test_evaluation_shuffles_once_by_sample(spark):
+    """Texts are not shuffled: a sample's rows meet as marks."""
+    from scorelake.plans.whole import _what_if
+
+    sf = "/root/testdata/sf0.001"
+    plan = _what_if(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2 and plan.count("lineitem.parquet") == 1
+
+
 def test_what_if_scores_and_totals(spark):
     schema = "model_id string, task string, family string, sample int, position long, kind string, accuracy double, instruction int, other double, pair int"
     rows = [("m", "VRU_Cross", "judge", 0, 0, "judgment", 1.0, 1, 1.0, None), ("m", "VRU_Cross", "judge", 0, 1, "description", 0.0, 1, None, None), ("m", "Weather", "choice", 0, 0, "choice", 1.0, 0, None, None)]
