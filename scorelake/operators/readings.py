@@ -10,12 +10,13 @@ from ..functions.text import let
 from .scores import weighted_mean
 
 
-def grid_marks(boxes: DataFrame, dimensions: DataFrame) -> DataFrame:
+def grid_marks(boxes: DataFrame, dimensions: DataFrame | None = None) -> DataFrame:
     """Adds grid_iou: answers in their model's convention as pixels; an answer without one box has exactly 0.
 
-    boxes: id, convention, reference (array of four), answer.  dimensions: id, width, height.
+    boxes: id, convention, reference (array of four), answer.  dimensions: id, width, height; without them boxes have both, as where
+    they were joined before boxes and texts were made, which then are not sorted.
     """
-    rows = boxes.join(dimensions, "id")
+    rows = boxes if dimensions is None else boxes.join(dimensions, "id")
     pixels = lambda b: M.to_pixels(b, F.col("convention"), F.col("width"), F.col("height"))
     iou = let(M.parse_box(F.col("answer")), lambda b: let(pixels(b), lambda p: F.when(p.isNotNull(), M.box_iou(F.col("reference"), p))))
     return rows.withColumn("grid_iou", F.coalesce(iou, F.lit(0.0)))

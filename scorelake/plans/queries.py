@@ -655,11 +655,11 @@ SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 5 THEN 0.0 ELSE round(
 def grid_overlaps(spark, d):
     """MRK-10, JN-13."""
     x = F.col("l_linenumber") * 3
-    rows = table(spark, d, "lineitem").withColumn("id", F.col("l_orderkey"))
-    answer = F.when(F.col("l_linenumber") == 5, F.lit("nowhere")).otherwise(F.concat(F.lit("["), F.concat_ws(", ", x, F.lit("1"), x + 20, F.format_string("%.1f", F.col("l_quantity"))), F.lit("]")))
-    boxes = rows.select("id", "l_orderkey", "l_linenumber", F.lit("grid").alias("convention"), F.array(x.cast("double"), F.lit(1.0), (x + 100).cast("double"), F.lit(50.0)).alias("reference"), answer.alias("answer"))
     dims = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit(2000).alias("width"), F.lit(1000).alias("height"))
-    out = readings.grid_marks(boxes, dims)
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", "l_quantity").join(dims, "id")
+    answer = F.when(F.col("l_linenumber") == 5, F.lit("nowhere")).otherwise(F.concat(F.lit("["), F.concat_ws(", ", x, F.lit("1"), x + 20, F.format_string("%.1f", F.col("l_quantity"))), F.lit("]")))
+    boxes = rows.select("id", F.col("id").alias("l_orderkey"), "l_linenumber", "width", "height", F.lit("grid").alias("convention"), F.array(x.cast("double"), F.lit(1.0), (x + 100).cast("double"), F.lit(50.0)).alias("reference"), answer.alias("answer"))
+    out = readings.grid_marks(boxes)
     return out.select("l_orderkey", "l_linenumber", r6("grid_iou").alias("grid_iou"))
 
 

@@ -150,6 +150,19 @@ def test_evaluation_shuffles_once_by_sample(spark):
     assert plan.count("Exchange hashpartitioning(") == 2 and plan.count("lineitem.parquet") == 1
 
 
+def test_boxes_on_a_grid_are_made_after_their_join(spark):
+    """Rows are sorted without boxes and texts; marks are those of the join inside."""
+    from scorelake.operators import readings
+    from scorelake.plans.queries import QUERIES
+
+    plan = QUERIES["grid_overlaps"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "nowhere" not in plan[plan.index("Join Inner") :]
+    boxes = spark.createDataFrame([(1, "grid", [0.0, 0.0, 9.0, 9.0], "[0, 0, 5, 10]"), (2, "grid", [0.0, 0.0, 9.0, 9.0], "none")], "id int, convention string, reference array<double>, answer string")
+    sizes = spark.createDataFrame([(1, 2000, 1000), (2, 2000, 1000)], "id int, width int, height int")
+    got = rows_of(readings.grid_marks(boxes, sizes).select("id", "grid_iou"))
+    assert got == rows_of(readings.grid_marks(boxes.join(sizes, "id")).select("id", "grid_iou")) and got[0][1] > 0 and got[1][1] == 0
+
+
 def test_what_if_scores_and_totals(spark):
     schema = "model_id string, task string, family string, sample int, position long, kind string, accuracy double, instruction int, other double, pair int"
     rows = [("m", "VRU_Cross", "judge", 0, 0, "judgment", 1.0, 1, 1.0, None), ("m", "VRU_Cross", "judge", 0, 1, "description", 0.0, 1, None, None), ("m", "Weather", "choice", 0, 0, "choice", 1.0, 0, None, None)]
