@@ -28,6 +28,7 @@ GRID_MODELS = ("qwen", "internvl", "gemini", "drivemm", "ivl")
 
 _BLANKS = re.compile(r"[ \t\n\r]*")
 _AHEAD, _MOST = 1 << 16, 128 << 20  # characters read at once; of one sample (VARIANT holds no more)
+_BATCH, _ROW = 1 << 20, 512  # characters given out at once; what a row counts for besides its text
 
 
 class _NoList(Exception):
@@ -100,27 +101,33 @@ def _elements(parts: Iterator[str]) -> Iterator[tuple[str, object]]:
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Lines of files in order to a row for each element, with its text and canonical digest (VARIANT does not keep the forms of
-    numbers, which the digest is over), and at each file's end a row without sample_index that says whether all of it was a list."""
+    numbers, which the digest is over), and at each file's end a row without sample_index that says whether all of it was a list.
+
+    Rows go out in batches of about a million characters, whatever the size of samples and files."""
     rows, size = [], 0
 
     def made() -> pd.DataFrame:
+        nonlocal size
+        size = 0
         out = pd.DataFrame(rows, columns=["file", "sample_index", "text", "digest", "listed"]).astype({"sample_index": "Int32", "listed": "boolean"})
         rows.clear()
         return out
 
     lines_of = ((f, v) for batch in batches for f, v in zip(batch["file"], batch["value"]))
     for file, own in itertools.groupby(lines_of, key=lambda x: x[0]):
-        n = 0
+        n, listed = 0, True
         try:
             for text, value in _elements(v + "\n" for _, v in own):
                 rows.append((file, n, text, identity.digest_or_none(value), None))
-                n, size = n + 1, size + len(text)
-                if size > 1 << 20:
+                n, size = n + 1, size + len(text) + _ROW
+                if size > _BATCH:
                     yield made()
-                    size = 0
-            rows.append((file, None, None, None, n > 0))
         except _NoList:
-            rows.append((file, None, None, None, False))
+            listed = False
+        rows.append((file, None, None, None, listed and n > 0))
+        size += _ROW
+        if size > _BATCH:
+            yield made()
     yield made()
 
 

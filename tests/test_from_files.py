@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,6 +112,16 @@ def test_samples_are_read_as_they_come():
     assert [v["k"][0] for _, v in found] == list(range(1, 40_000))
 
 
+def test_samples_leave_in_small_batches():
+    """A batch is bounded however small samples or files are (before: a million rows)."""
+    tiny = pd.DataFrame({"file": "a", "value": ["[" + "5, " * 30_000 + "5", *[", 5"] * 9_999, "]"]})
+    files = pd.DataFrame({"file": [f"f{k}" for k in range(10_000)], "value": "5"})
+    out = list(annotations._cut(iter([tiny, files])))
+    assert max(map(len, out)) < 5_000 and sum(map(len, out)) == 40_001 + 10_000
+    made = pd.concat(out)
+    assert made["sample_index"].dropna().tolist() == list(range(40_000)) and made["listed"].sum() == 1 and made["listed"].count() == 10_001
+
+
 @pytest.mark.parametrize("raw", ["", "[]", "5", "[1", "[1,]", "[1 2]", "[1] x", '[{"a": 1, "a": 2}]', "[NaN]", '["\n"]', '{"a": []}'])
 def test_files_without_a_list_of_samples(spark, tmp_path, raw):
     assert [(r["sample_index"], r["error"]) for r in asked(spark, tmp_path, "Light", raw=raw)] == [(None, "no list of samples")]
